@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadgrain.functions.clean import as_number, day_name
+from roadgrain.functions.clean import as_number, day_name, present
 from roadgrain.functions.features import non_fatal, safe_rate
 
 PEOPLE_COUNTS = ("persons", "pedestrians", "cyclists")
@@ -49,26 +49,26 @@ def vehicles_summary(vehicles: DataFrame, key: str) -> DataFrame:
 
 def daily_counts(df: DataFrame, ts: str = "CRASH_DATETIME") -> DataFrame:
     """Crashes per day, for days with any."""
-    days = df.where(F.col(ts).isNotNull()).groupBy(F.to_date(ts).alias("CRASH_DATE"))
+    days = present(df, ts).groupBy(F.to_date(ts).alias("CRASH_DATE"))
     return days.agg(F.count(F.lit(1)).alias("count")).orderBy("CRASH_DATE")
 
 
 def monthly_counts(df: DataFrame, ts: str = "CRASH_DATETIME") -> DataFrame:
     """Crashes per month, keyed by the month's first instant."""
-    months = df.where(F.col(ts).isNotNull()).groupBy(F.date_trunc("month", ts).alias("CRASH_MONTH"))
+    months = present(df, ts).groupBy(F.date_trunc("month", ts).alias("CRASH_MONTH"))
     return months.agg(F.count(F.lit(1)).alias("count")).orderBy("CRASH_MONTH")
 
 
 def hour_counts(df: DataFrame, hour: str = "HOUR") -> DataFrame:
     """Crashes per hour of day."""
-    hours = df.where(F.col(hour).isNotNull()).groupBy(hour)
+    hours = present(df, hour).groupBy(hour)
     return hours.agg(F.count(F.lit(1)).alias("count")).orderBy(hour)
 
 
 def dow_counts(df: DataFrame, ts: str = "CRASH_DATETIME") -> DataFrame:
     """Crashes per day of the week, Monday to Sunday, 0 for a day without any."""
     counts = (
-        df.where(F.col(ts).isNotNull())
+        present(df, ts)
         .groupBy(day_name(ts).alias("DAY_OF_WEEK"))
         .agg(F.count(F.lit(1)).alias("count"))
     )
@@ -184,31 +184,29 @@ def rank_causes(causes: DataFrame, k: int, cause: str = "PRIM_CONTRIBUTORY_CAUSE
     return causes.orderBy(*order, F.asc_nulls_last(cause)).limit(k).withColumnRenamed(cause, "cause")
 
 
-def fatal_rate(
-    df: DataFrame, column: str, fatal: str = "fatal_outcome", weight: str | None = None
-) -> DataFrame:
-    """Rows and share of fatal rows per value; with ``weight``, a row stands for that many."""
-    n = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    hit = F.count_if(fatal) if weight is None else F.sum(F.when(F.col(fatal), F.col(weight)).otherwise(0))
-    groups = df.groupBy(column).agg(n.alias("__n"), hit.alias("__fatal"))
+def fatal_rate(df: DataFrame, column: str, counts: tuple[str, str] | None = None) -> DataFrame:
+    """Rows and share of ``is_fatal`` rows per value.
+
+    Of rows that are counted already, ``counts`` names the columns with all and with fatal cases.
+    """
+    total, fatal = F.count(F.lit(1)), F.count_if("is_fatal")
+    if counts is not None:
+        total, fatal = (F.sum(c) for c in counts)
+    groups = df.groupBy(column).agg(total.alias("__n"), fatal.alias("__fatal"))
     return groups.withColumn("fatal_rate", safe_rate("__fatal", "__n"))
 
 
 def group_fatal_rate(
-    df: DataFrame,
-    column: str,
-    fatal: str = "fatal_outcome",
-    weight: str | None = None,
-    k: int | None = None,
+    df: DataFrame, column: str, counts: tuple[str, str] | None = None, k: int | None = None
 ) -> DataFrame:
     """Fatal share per value, highest first; ``k`` keeps the top of the list."""
-    rated = fatal_rate(df, column, fatal, weight).select(column, "fatal_rate")
+    rated = fatal_rate(df, column, counts).select(column, "fatal_rate")
     ordered = rated.orderBy(F.desc("fatal_rate"), F.asc_nulls_last(column))
     return ordered if k is None else ordered.limit(k)
 
 
 def topk_group_fatal_rate(
-    df: DataFrame, column: str, k: int, fatal: str = "is_fatal", weight: str | None = None
+    df: DataFrame, column: str, k: int, counts: tuple[str, str] | None = None
 ) -> DataFrame:
     """Fatal share of the ``k`` most frequent values, highest first.
 
@@ -216,7 +214,7 @@ def topk_group_fatal_rate(
     aggregate, so the rows are read once and never joined to the list of top values.
     """
     top = (
-        fatal_rate(df, column, fatal, weight)
+        fatal_rate(df, column, counts)
         .orderBy(F.desc("__n"), F.asc_nulls_last(column))
         .limit(k)
     )
@@ -227,7 +225,7 @@ def topk_group_fatal_rate(
 def hourly_fatal(df: DataFrame, hour: str = "HOUR", fatal: str = "is_fatal") -> DataFrame:
     """Per hour: all, fatal and other crashes with their shares."""
     hours = (
-        df.where(F.col(hour).isNotNull())
+        present(df, hour)
         .groupBy(hour)
         .agg(F.count(F.lit(1)).alias("total"), F.count_if(fatal).alias("fatal"))
         .withColumn("nonfatal", non_fatal("total", "fatal"))
@@ -257,7 +255,7 @@ def exact_median(df: DataFrame, columns: Sequence[str], width: float = 1e-5) ->
     pairs = F.array(*[F.struct(F.lit(c).alias("axis"), F.col(c).alias("v")) for c in columns])
     values = (
         df.select(F.inline(pairs))
-        .where(F.col("v").isNotNull())
+        .where("v is not null")
         .withColumn("bin", F.floor(F.col("v") / width))
     )
     by_axis = Window.partitionBy("axis")

@@ -8,17 +8,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadgrain.functions.clean import normalised
+from roadgrain.functions.clean import normalised, present
 from roadgrain.functions.schema import (
     VEHICLE_ID_NAMES,
     crash_key,
-    default_column,
     prefix_clashes,
     resolve_in_frame_order,
 )
 from roadgrain.operators.aggregates import PEOPLE_COUNTS, VEHICLE_COUNTS
 
+# Keys salted at most, items a task's sketch holds (a few kilobytes) and rows that make a key hot.
 HOT_KEYS = 64
+SKETCH_ITEMS = 1024
 HOT_ROWS = 1_000_000
 
 
@@ -33,7 +34,7 @@ def hot_keys(df: DataFrame, on: Sequence[str], min_rows: int) -> Column:
     One pass over the key columns; a frequent-items sketch is merged from each task, so that
     next to nothing is shuffled. It only steers salting: a key missed or added changes no result.
     """
-    sketch = F.expr(f"approx_top_k(__k, {HOT_KEYS}, 16384)")
+    sketch = F.expr(f"approx_top_k(__k, {HOT_KEYS}, {SKETCH_ITEMS})")
     found = df.select(_key_text(on).alias("__k")).where("__k is not null").agg(sketch.alias("__t"))
     hot = F.filter("__t", lambda x: x["count"] >= min_rows)
     return found.select(
@@ -47,13 +48,15 @@ def left_join_hot(
     on: Sequence[str],
     min_rows: int = HOT_ROWS,
     right_unique: bool = False,
+    keys_from: DataFrame | None = None,
 ) -> DataFrame:
     """``left.join(right, on, 'left')`` in which hot and NULL keys are spread over all tasks.
 
     A key hot on the left is dealt out over as many salts as there are shuffle partitions and its
     right rows are repeated; a key hot on the right is treated the other way round. A NULL key
     matches nothing, so its rows go anywhere. ``right_unique`` promises one right row per key and
-    saves the look for hot ones.
+    saves the look for hot ones. ``keys_from`` is a cheaper frame than ``left`` to find its hot
+    keys in, say the table that ``left`` was joined from.
 
     Salts come from the partition number, which a re-run of a lost task repeats.
     """
@@ -62,13 +65,13 @@ def left_join_hot(
     every = F.sequence(F.lit(0), F.lit(salts - 1))
     one = F.array(F.lit(0))
     key = _key_text(on)
-    hot_left = F.array_contains(hot_keys(left, on, min_rows), key)
+    hot_left = F.array_contains(hot_keys(left if keys_from is None else keys_from, on, min_rows), key)
     sides = ["__salt_l"] if right_unique else ["__salt_l", "__salt_r"]
 
     # NULL keys make ``hot_left`` NULL: they are spread as well.
     dealt = left.withColumn("__salt_l", F.when(~hot_left, 0).otherwise(spread))
     # Rows with a NULL key part match nothing.
-    known = right.dropna(subset=list(on))
+    known = present(right, *on)
     copied = known.withColumn("__salt_l", F.explode(F.when(hot_left, every).otherwise(one)))
     if right_unique:
         return dealt.join(copied, [*on, *sides], "left").drop(*sides)
@@ -144,19 +147,24 @@ def drivers_with_vehicles(
 
 
 def drivers_with_crashes(
-    pv: DataFrame, crashes: DataFrame, key: str, min_rows: int = HOT_ROWS
+    pv: DataFrame,
+    crashes: DataFrame,
+    key: str,
+    min_rows: int = HOT_ROWS,
+    keys_from: DataFrame | None = None,
 ) -> DataFrame:
     """Driver rows with their crash: driver grain, a crash counts once per driver."""
     if key not in pv.columns or key not in crashes.columns:
         return pv
-    return left_join_hot(pv, prefix_clashes(crashes, pv, [key], "CRASH_"), [key], min_rows)
+    right = prefix_clashes(crashes, pv, [key], "CRASH_")
+    return left_join_hot(pv, right, [key], min_rows, keys_from=keys_from)
 
 
 def flag_members(
     df: DataFrame, ids: DataFrame, key: str, name: str, min_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Add ``name``: whether the row's key is among the ids. No id passes through the driver."""
-    members = ids.select(key).dropna().distinct().withColumn("__member", F.lit(True))
+    members = present(ids.select(key), key).distinct().withColumn("__member", F.lit(True))
     joined = left_join_hot(df, members, [key], min_rows, right_unique=True)
     return joined.withColumn(name, F.col("__member").isNotNull()).drop("__member")
 
@@ -170,14 +178,14 @@ def driver_groups(
     crash_dims: Sequence[str] = (),
     matched_only: bool = False,
 ) -> DataFrame:
-    """Driver-grain rows counted by ``person_dims``, ``crash_dims`` and ``fatal_outcome``.
+    """Driver-grain rows counted by ``person_dims`` and ``crash_dims``.
 
     Same counts as grouping the joined rows (drivers, their vehicles, their crash), but each
     table is counted per crash before any row is sent to a join, so a crash that holds a third
     of the people reaches it as a handful of counted rows. ``matched_only`` leaves out drivers
     without a crash, for callers that need its columns.
 
-    Columns: the dimensions, ``fatal_outcome`` and ``drivers``.
+    Columns: the dimensions, ``drivers`` and, of these, ``fatal_drivers``.
     """
     keys = vehicle_join_keys(people, vehicles, key)
     ids = [c for c in (keys[0] if keys else []) if c != key]
@@ -186,8 +194,7 @@ def driver_groups(
         # A person is repeated only where the vehicle is: usually an empty table.
         on, vehicle_id = keys
         repeated = (
-            vehicles.withColumnRenamed(vehicle_id, on[-1])
-            .dropna(subset=on)
+            present(vehicles.withColumnRenamed(vehicle_id, on[-1]), *on)
             .groupBy(*on)
             .agg(F.count(F.lit(1)).alias("__copies"))
             .where(F.col("__copies") > 1)
@@ -196,15 +203,13 @@ def driver_groups(
             "__n", F.col("__n") * F.coalesce("__copies", F.lit(1))
         )
     by_crash = counted.groupBy(key, *person_dims).agg(F.sum("__n").alias("__n"))
-    facts = (
-        default_column(crashes, "fatal_outcome", False)
-        .groupBy(key, *crash_dims, "fatal_outcome")
-        .agg(F.count(F.lit(1)).alias("__m"))
+    facts = crashes.groupBy(key, *crash_dims).agg(
+        F.count(F.lit(1)).alias("__m"), F.count_if("fatal_outcome").alias("__f")
     )
     joined = by_crash.join(facts, key, "inner" if matched_only else "left")
     return joined.select(
         *person_dims,
         *crash_dims,
-        F.coalesce("fatal_outcome", F.lit(False)).alias("fatal_outcome"),
         (F.col("__n") * F.coalesce("__m", F.lit(1))).alias("drivers"),
+        (F.col("__n") * F.coalesce("__f", F.lit(0))).alias("fatal_drivers"),
     )

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadgrain.functions.clean import normalised
+from roadgrain.functions.clean import normalised, present
 from roadgrain.functions.features import AGE_LABELS
 from roadgrain.operators.aggregates import cause_impact, group_mode, rank_causes
 from roadgrain.operators.windows import capped
@@ -43,14 +43,14 @@ def _point() -> list[Column]:
 
 def heat_points(df: DataFrame, key: str, n: int = HEAT_CAP, seed: int = 0) -> DataFrame:
     """A random sample of ``n`` located crashes."""
-    located = df.dropna(subset=["LAT", "LON"])
+    located = present(df, "LAT", "LON")
     return capped(located, n, [key, "LAT", "LON"], seed=seed).select(key, *_point())
 
 
 def marker_points(df: DataFrame, key: str, n: int = MARKER_CAP) -> DataFrame:
     """``n`` located and dated crashes with the popup ``id | datetime``."""
     columns = ["LAT", "LON", key, "CRASH_DATETIME"]
-    picked = capped(df.dropna(subset=columns), n, columns)
+    picked = capped(present(df, *columns), n, columns)
     return picked.select(*_point(), F.concat_ws(" | ", _text(key), _text("CRASH_DATETIME")).alias("popup"))
 
 
@@ -75,7 +75,7 @@ def hotspot_layer(cells: DataFrame) -> DataFrame:
 
 def period_heat(df: DataFrame, key: str, n: int = HEAT_CAP) -> DataFrame:
     """Up to ``n`` points each for day and night; one set when the period is not known."""
-    located = df.dropna(subset=["LAT", "LON"])
+    located = present(df, "LAT", "LON")
     if "period" not in located.columns:
         located = located.withColumn("period", F.lit("ALL"))
     picked = capped(located, n, [key, "LAT", "LON"], layer="period")
@@ -85,7 +85,7 @@ def period_heat(df: DataFrame, key: str, n: int = HEAT_CAP) -> DataFrame:
 def fatal_points(df: DataFrame, key: str, n: int = FATAL_CAP) -> DataFrame:
     """Up to ``n`` fatal crashes with date and cause."""
     columns = [key, "LAT", "LON", "CRASH_DATETIME", "PRIM_CONTRIBUTORY_CAUSE"]
-    fatal = df.where(F.col("is_fatal")).dropna(subset=["LAT", "LON"])
+    fatal = present(df.where("is_fatal"), "LAT", "LON")
     popup = F.concat(
         F.lit("Fatal crash | "), _text("CRASH_DATETIME"),
         F.lit(" | Cause: "), _text("PRIM_CONTRIBUTORY_CAUSE"),
@@ -121,7 +121,7 @@ def top_cause_layers(
         F.col("cause").alias(cause), (F.row_number().over(ranks) - 1).alias("rank")
     )
     needed = ["LAT", "LON", "impact_score", "inj_fatal", "inj_sev"]
-    rows = df.select(key, cause, *needed).dropna(subset=needed).join(F.broadcast(top), cause)
+    rows = present(df.select(key, cause, *needed), *needed).join(F.broadcast(top), cause)
     columns = [key, *needed, "rank"]
     worst = [-F.col("inj_fatal"), -F.col("inj_sev"), -F.col("impact_score")]
     palette = F.array(*[F.lit(c) for c in CAUSE_COLORS])
@@ -146,11 +146,15 @@ def top_cause_layers(
 
 
 def fatal_by_age_layers(groups: DataFrame, n: int = AGE_CAP) -> DataFrame:
-    """Up to ``n`` fatal driver points per age label, from rows counted in ``drivers``."""
+    """Up to ``n`` fatal driver points per age label, from rows counted in ``fatal_drivers``."""
     colors = F.create_map(*[F.lit(x) for pair in AGE_COLORS.items() for x in pair])
-    rows = groups.where(F.col("fatal_outcome") & F.col("age_bin").isin(*AGE_LABELS))
+    rows = groups.where((F.col("fatal_drivers") > 0) & F.col("age_bin").isin(*AGE_LABELS))
     picked = capped(
-        rows.dropna(subset=["LAT", "LON"]), n, ["LAT", "LON", "CRASH_DATETIME"], "age_bin", weight="drivers"
+        present(rows, "LAT", "LON"),
+        n,
+        ["LAT", "LON", "CRASH_DATETIME"],
+        "age_bin",
+        weight="fatal_drivers",
     )
     return picked.select(
         F.concat(F.lit("Fatal drivers: Age "), "age_bin").alias("layer"),
@@ -163,9 +167,9 @@ def fatal_by_age_layers(groups: DataFrame, n: int = AGE_CAP) -> DataFrame:
 
 def fatal_by_surface_layers(groups: DataFrame, top: DataFrame, n: int = SURFACE_CAP) -> DataFrame:
     """Up to ``n`` fatal driver points for each surface listed in ``top``, a short top-k list."""
-    rows = groups.where("fatal_outcome").dropna(subset=["LAT", "LON"])
+    rows = present(groups.where("fatal_drivers > 0"), "LAT", "LON")
     rows = rows.join(F.broadcast(top.select("surface")), "surface")
-    picked = capped(rows, n, ["LAT", "LON"], "surface", weight="drivers")
+    picked = capped(rows, n, ["LAT", "LON"], "surface", weight="fatal_drivers")
     return picked.select(F.concat(F.lit("Fatal: Surface "), "surface").alias("layer"), *_point())
 
 
@@ -182,7 +186,7 @@ def fatal_people_layers(people: DataFrame, crashes: DataFrame, key: str) -> Data
         .groupBy(key, "layer")
         .agg(F.count(F.lit(1)).alias("persons"))
     )
-    fatal = crashes.where(F.col("is_fatal")).dropna(subset=["LAT", "LON"])
+    fatal = present(crashes.where("is_fatal"), "LAT", "LON")
     return counted.join(fatal.select(key, "LAT", "LON"), key).select("layer", key, *_point(), "persons")
 
 
@@ -195,6 +199,6 @@ def fatal_vehicle_type_layer(
     column for it is known.
     """
     modes = group_mode(vehicles, [key], vehicle_type, "vehicle_type")
-    fatal = crashes.where(F.col("is_fatal")).dropna(subset=["LAT", "LON"])
+    fatal = present(crashes.where("is_fatal"), "LAT", "LON")
     listed = modes.where(F.col("vehicle_type").isin(*types))
     return fatal.select(key, "LAT", "LON").join(listed, key).select(key, *_point(), "vehicle_type")

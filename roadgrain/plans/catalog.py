@@ -20,6 +20,7 @@ from roadgrain.sources.tables import Tables, load_tables
 from roadgrain.sources.views import crash_tables, street_reports
 
 Query = Callable[[SparkSession, str], DataFrame]
+DRIVERS = ("drivers", "fatal_drivers")
 CAUSE = "PRIM_CONTRIBUTORY_CAUSE"
 # Vehicle types taken as heavy in the test tables, which hold no real ones.
 HEAVY_TYPES = ("Brand#11", "Brand#22", "Brand#33")
@@ -222,7 +223,7 @@ def top_cause_layers(t: Tables) -> DataFrame:
 
 @_query
 def risk_cells(t: Tables) -> DataFrame:
-    return agg.risk_cells(features.with_grid_bin(_impact(t).dropna(subset=["LAT", "LON"])))
+    return agg.risk_cells(features.with_grid_bin(clean.present(_impact(t), "LAT", "LON")))
 
 
 # --- Driver-level fatality patterns ---------------------------------------------------------
@@ -242,26 +243,26 @@ def driver_features(t: Tables) -> DataFrame:
 
 @_query
 def fatal_rate_by_age(t: Tables) -> DataFrame:
-    rates = agg.fatal_rate(drivers.counted_drivers(t, ["age_bin"]), "age_bin", weight="drivers")
+    rates = agg.fatal_rate(drivers.counted_drivers(t, ["age_bin"]), "age_bin", DRIVERS)
     return agg.fill_domain(rates, "age_bin", AGE_LABELS, {"fatal_rate": F.lit(0.0)})
 
 
 @_query
 def fatal_rate_by_state_top10(t: Tables) -> DataFrame:
     groups = drivers.counted_drivers(t, ["license_state"])
-    return agg.topk_group_fatal_rate(groups, "license_state", 10, "fatal_outcome", "drivers")
+    return agg.topk_group_fatal_rate(groups, "license_state", 10, DRIVERS)
 
 
 @_query
 def fatal_rate_by_surface(t: Tables) -> DataFrame:
     groups = drivers.counted_drivers(t, (), ["surface"])
-    return agg.group_fatal_rate(groups, "surface", weight="drivers", k=10)
+    return agg.group_fatal_rate(groups, "surface", DRIVERS, k=10)
 
 
 @_query
 def approx_center(t: Tables) -> DataFrame:
     points = drivers.driver_crashes(t.crashes).where("fatal_outcome")
-    return agg.approx_center(points.dropna(subset=["LAT", "LON"]))
+    return agg.approx_center(clean.present(points, "LAT", "LON"))
 
 
 @_query
@@ -273,7 +274,7 @@ def fatal_by_age_layers(t: Tables) -> DataFrame:
 @_query
 def fatal_by_surface_layers(t: Tables) -> DataFrame:
     groups = drivers.counted_drivers(t, (), ["surface"])
-    top = agg.group_fatal_rate(groups, "surface", weight="drivers", k=5)
+    top = agg.group_fatal_rate(groups, "surface", DRIVERS, k=5)
     points = drivers.fatal_driver_points(t, (), ["surface", "LAT", "LON"])
     return layers.fatal_by_surface_layers(points, top)
 
@@ -320,7 +321,7 @@ def vehicle_mode(t: Tables) -> DataFrame:
 @_query
 def fatal_rate_by_vehicle_mode(t: Tables) -> DataFrame:
     groups = crash.vehicle_mode_groups(_distribution(t), t.vehicles)
-    return agg.topk_group_fatal_rate(groups, "VEHICLE_TYPE_MODE", 8, weight="crashes")
+    return agg.topk_group_fatal_rate(groups, "VEHICLE_TYPE_MODE", 8, ("crashes", "fatal_crashes"))
 
 
 @_query

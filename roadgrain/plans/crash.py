@@ -56,7 +56,7 @@ def with_flags(crashes: DataFrame, fatalities: DataFrame | None = None) -> DataF
 
 def located(flagged: DataFrame) -> DataFrame:
     """Flagged crashes with coordinates, with their period and grid cell."""
-    df = flagged.dropna(subset=["LAT", "LON"])
+    df = clean.present(flagged, "LAT", "LON")
     if "HOUR" in df.columns:
         df = df.withColumn("period", features.period())
     return features.with_grid_bin(df)
@@ -97,21 +97,13 @@ def vehicle_modes(vehicles: DataFrame, key: str = CRASH_KEY) -> DataFrame:
 
 
 def vehicle_mode_groups(crashes: DataFrame, vehicles: DataFrame, key: str = CRASH_KEY) -> DataFrame:
-    """Crashes counted by key and ``is_fatal`` with their modal vehicle type.
+    """Crashes and fatal crashes counted by key, with their modal vehicle type.
 
     Counting by key first costs no further shuffle, as the join is on that key, and a repeated
     key reaches the join as one row.
     """
     counted = crashes.groupBy(key).agg(
-        F.count(F.lit(1)).alias("__n"), F.count_if("is_fatal").alias("__f")
+        F.count(F.lit(1)).alias("crashes"), F.count_if("is_fatal").alias("fatal_crashes")
     )
     typed = counted.join(vehicle_modes(vehicles, key), key, "left")
-    outcome = F.inline(
-        F.array(
-            F.struct(F.lit(True).alias("is_fatal"), F.col("__f").alias("crashes")),
-            F.struct(F.lit(False).alias("is_fatal"), (F.col("__n") - F.col("__f")).alias("crashes")),
-        )
-    )
-    return typed.select("VEHICLE_TYPE_MODE", outcome).where("crashes > 0")
-
-
+    return typed.select("VEHICLE_TYPE_MODE", "crashes", "fatal_crashes")

@@ -70,10 +70,9 @@ def joined_drivers(tables: Tables, min_rows: int = HOT_ROWS) -> DataFrame:
     """One row per driver, matching vehicle and crash, with the columns of all three."""
     crashes = driver_crashes(tables.crashes, tables.fatalities)
     key = crash_key(crashes)
-    pv = drivers_with_vehicles(
-        driver_people(tables.people), upper_columns(tables.vehicles), key, min_rows
-    )
-    joined = drivers_with_crashes(pv, crashes, key, min_rows)
+    people = driver_people(tables.people)
+    pv = drivers_with_vehicles(people, upper_columns(tables.vehicles), key, min_rows)
+    joined = drivers_with_crashes(pv, crashes, key, min_rows, people)
     return joined.withColumn("fatal_outcome", F.coalesce("fatal_outcome", F.lit(False)))
 
 
@@ -91,7 +90,7 @@ def driver_features(tables: Tables, min_rows: int = HOT_ROWS) -> DataFrame:
 def counted_drivers(
     tables: Tables, person_dims: Sequence[str] = (), crash_dims: Sequence[str] = ()
 ) -> DataFrame:
-    """Driver rows counted by the given columns of :func:`driver_features` and fatal_outcome."""
+    """Driver rows counted by the given columns of :func:`driver_features`."""
     crashes = driver_crashes(tables.crashes, tables.fatalities)
     return driver_groups(
         driver_people(tables.people),
@@ -106,7 +105,7 @@ def counted_drivers(
 def fatal_driver_points(tables: Tables, person_dims: Sequence[str], crash_dims: Sequence[str]) -> DataFrame:
     """Like :func:`counted_drivers` for located fatal crashes only, which are picked before the join."""
     crashes = driver_crashes(tables.crashes, tables.fatalities)
-    fatal = crashes.where(F.col("fatal_outcome")).dropna(subset=["LAT", "LON"])
+    fatal = clean.present(crashes.where("fatal_outcome"), "LAT", "LON")
     return driver_groups(
         driver_people(tables.people),
         upper_columns(tables.vehicles),
