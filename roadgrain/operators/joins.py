@@ -1,4 +1,9 @@
-"""LEFT equi-joins of the crash tables, written so that one hot key cannot fill one task."""
+"""Equi-joins of the crash tables, written so that one hot key cannot fill one task.
+
+Adaptive execution splits a skewed partition only where both sides of a sort-merge join come
+straight from a shuffle. Most joins here have an aggregate on one side, so hot keys are salted in
+the plan, or rows are counted per key before they are sent to the join.
+"""
 
 from __future__ import annotations
 
@@ -42,15 +47,18 @@ def hot_keys(df: DataFrame, on: Sequence[str], min_rows: int) -> Column:
     ).scalar()
 
 
-def left_join_hot(
+def join_hot(
     left: DataFrame,
     right: DataFrame,
     on: Sequence[str],
     min_rows: int = HOT_ROWS,
     right_unique: bool = False,
     keys_from: DataFrame | None = None,
+    how: str = "left",
 ) -> DataFrame:
-    """``left.join(right, on, 'left')`` in which hot and NULL keys are spread over all tasks.
+    """``left.join(right, on, how)`` in which hot and NULL keys are spread over all tasks.
+
+    ``how`` is ``left`` or ``inner``.
 
     A key hot on the left is dealt out over as many salts as there are shuffle partitions and its
     right rows are repeated; a key hot on the right is treated the other way round. A NULL key
@@ -74,7 +82,7 @@ def left_join_hot(
     known = present(right, *on)
     copied = known.withColumn("__salt_l", F.explode(F.when(hot_left, every).otherwise(one)))
     if right_unique:
-        return dealt.join(copied, [*on, *sides], "left").drop(*sides)
+        return dealt.join(copied, [*on, *sides], how).drop(*sides)
 
     hot_right = F.coalesce(
         F.array_contains(hot_keys(right, on, min_rows), key), F.lit(False)
@@ -88,7 +96,7 @@ def left_join_hot(
     # A copied left row has a partner in some salt, as its key was seen on the right; its copies
     # without one are not rows of the result.
     return (
-        dealt.join(copied, [*on, *sides], "left")
+        dealt.join(copied, [*on, *sides], how)
         .where(~F.col("__copied") | F.col("__hit").isNotNull())
         .drop(*sides, "__copied", "__hit")
     )
@@ -97,8 +105,9 @@ def left_join_hot(
 def child_counts(people: DataFrame | None, vehicles: DataFrame | None, key: str) -> DataFrame:
     """Merge the per-crash summaries of people and vehicles into one row per crash.
 
-    Counts of a child table without rows for the crash stay NULL. Both summaries are at crash
-    grain already, so the union is grouped with one small shuffle and the crashes are joined once.
+    Counts of a child table without rows for the crash stay NULL. Both summaries are hashed by
+    the key already, which the union keeps, so that grouping them needs no further shuffle and
+    the crashes are joined once.
     """
     names = [*PEOPLE_COUNTS, *VEHICLE_COUNTS]
     parts = [p for p in (people, vehicles) if p is not None]
@@ -110,11 +119,16 @@ def child_counts(people: DataFrame | None, vehicles: DataFrame | None, key: str)
 
 
 def attach_summaries(
-    crashes: DataFrame, people_sum: DataFrame, vehicles_sum: DataFrame, key: str | None = None
+    crashes: DataFrame,
+    people_sum: DataFrame,
+    vehicles_sum: DataFrame,
+    key: str | None = None,
+    min_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Crashes with their people and vehicle counts; a crash without children has NULL counts."""
     key = key or crash_key(crashes)
-    return crashes.join(child_counts(people_sum, vehicles_sum, key), key, "left")
+    counts = child_counts(people_sum, vehicles_sum, key)
+    return join_hot(crashes, counts, [key], min_rows, right_unique=True)
 
 
 def drivers(people: DataFrame) -> DataFrame:
@@ -143,7 +157,7 @@ def drivers_with_vehicles(
         return people
     on, vehicle_id = keys
     right = vehicles.withColumnRenamed(vehicle_id, on[-1])
-    return left_join_hot(people, prefix_clashes(right, people, on, "VEH_"), on, min_rows)
+    return join_hot(people, prefix_clashes(right, people, on, "VEH_"), on, min_rows)
 
 
 def drivers_with_crashes(
@@ -157,7 +171,7 @@ def drivers_with_crashes(
     if key not in pv.columns or key not in crashes.columns:
         return pv
     right = prefix_clashes(crashes, pv, [key], "CRASH_")
-    return left_join_hot(pv, right, [key], min_rows, keys_from=keys_from)
+    return join_hot(pv, right, [key], min_rows, keys_from=keys_from)
 
 
 def flag_members(
@@ -165,7 +179,7 @@ def flag_members(
 ) -> DataFrame:
     """Add ``name``: whether the row's key is among the ids. No id passes through the driver."""
     members = present(ids.select(key), key).distinct().withColumn("__member", F.lit(True))
-    joined = left_join_hot(df, members, [key], min_rows, right_unique=True)
+    joined = join_hot(df, members, [key], min_rows, right_unique=True)
     return joined.withColumn(name, F.col("__member").isNotNull()).drop("__member")
 
 
@@ -199,9 +213,12 @@ def driver_groups(
             .agg(F.count(F.lit(1)).alias("__copies"))
             .where(F.col("__copies") > 1)
         )
-        counted = counted.join(repeated, on, "left").withColumn(
-            "__n", F.col("__n") * F.coalesce("__copies", F.lit(1))
-        )
+        if key in on:
+            counted = counted.join(repeated, on, "left")
+        else:
+            # The id alone may be missing or shared in many crashes.
+            counted = join_hot(counted, repeated, on, right_unique=True)
+        counted = counted.withColumn("__n", F.col("__n") * F.coalesce("__copies", F.lit(1)))
     by_crash = counted.groupBy(key, *person_dims).agg(F.sum("__n").alias("__n"))
     facts = crashes.groupBy(key, *crash_dims).agg(
         F.count(F.lit(1)).alias("__m"), F.count_if("fatal_outcome").alias("__f")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from roadgrain.functions.clean import normalised, present
 from roadgrain.functions.features import AGE_LABELS
 from roadgrain.operators.aggregates import cause_impact, group_mode, rank_causes
+from roadgrain.operators.joins import join_hot
 from roadgrain.operators.windows import capped
 
 # Most points per layer, and colours.
@@ -176,18 +177,20 @@ def fatal_by_surface_layers(groups: DataFrame, top: DataFrame, n: int = SURFACE_
 def fatal_people_layers(people: DataFrame, crashes: DataFrame, key: str) -> DataFrame:
     """Located fatal crashes with the cyclists and the pedestrians in them.
 
-    Own definition: only a finished map of it is known. People are counted per crash and type
-    before the join.
+    Own definition: only a finished map of it is known. People are counted per crash before the
+    join.
     """
-    kind = normalised("PERSON_TYPE").alias("layer")
+    kinds = ("BICYCLE", "PEDESTRIAN")
+    kind = normalised("PERSON_TYPE")
     counted = (
-        people.select(key, kind)
-        .where(F.col("layer").isin("BICYCLE", "PEDESTRIAN"))
-        .groupBy(key, "layer")
-        .agg(F.count(F.lit(1)).alias("persons"))
+        people.where(kind.isin(*kinds))
+        .groupBy(key)
+        .agg(*[F.count_if(kind == k).alias(k) for k in kinds])
     )
-    fatal = present(crashes.where("is_fatal"), "LAT", "LON")
-    return counted.join(fatal.select(key, "LAT", "LON"), key).select("layer", key, *_point(), "persons")
+    fatal = present(crashes.where("is_fatal"), "LAT", "LON").select(key, "LAT", "LON")
+    joined = join_hot(fatal, counted, [key], right_unique=True, how="inner")
+    layers = F.array(*[F.struct(F.lit(k).alias("layer"), F.col(k).alias("persons")) for k in kinds])
+    return joined.select(key, *_point(), F.inline(layers)).where("persons > 0")
 
 
 def fatal_vehicle_type_layer(
@@ -201,4 +204,7 @@ def fatal_vehicle_type_layer(
     modes = group_mode(vehicles, [key], vehicle_type, "vehicle_type")
     fatal = present(crashes.where("is_fatal"), "LAT", "LON")
     listed = modes.where(F.col("vehicle_type").isin(*types))
-    return fatal.select(key, "LAT", "LON").join(listed, key).select(key, *_point(), "vehicle_type")
+    joined = join_hot(
+        fatal.select(key, "LAT", "LON"), listed, [key], right_unique=True, how="inner"
+    )
+    return joined.select(key, *_point(), "vehicle_type")

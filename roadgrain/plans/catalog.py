@@ -7,348 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadgrain.functions import clean, features
-from roadgrain.functions.features import AGE_LABELS
-from roadgrain.functions.schema import CRASH_KEY as KEY
+from roadgrain.functions import features
 from roadgrain.functions.schema import severity_columns
-from roadgrain.operators import aggregates as agg
-from roadgrain.operators import layers
-from roadgrain.operators.windows import rolling_mean
-from roadgrain.plans import crash, drivers, street
+from roadgrain.plans import crash, street
+from roadgrain.plans.analyses import ANALYSES, Analysis, CrashData
 from roadgrain.sources import sinks
 from roadgrain.sources.tables import Tables, load_tables
 from roadgrain.sources.views import crash_tables, street_reports
 
 Query = Callable[[SparkSession, str], DataFrame]
-DRIVERS = ("drivers", "fatal_drivers")
-CAUSE = "PRIM_CONTRIBUTORY_CAUSE"
-# Vehicle types taken as heavy in the test tables, which hold no real ones.
-HEAVY_TYPES = ("Brand#11", "Brand#22", "Brand#33")
 
-_QUERIES: dict[str, Query] = {}
 
-
-def _query(fn: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
-    """Register a query that reads the crash tables."""
-    _QUERIES[fn.__name__] = lambda spark, sf_dir: fn(crash_tables(spark, sf_dir))
-    return fn
-
-
-def _clean(t: Tables) -> DataFrame:
-    return crash.clean_crashes(t.crashes)
-
-
-def _flagged(t: Tables) -> DataFrame:
-    return crash.with_flags(_clean(t), t.fatalities)
-
-
-def _located(t: Tables) -> DataFrame:
-    return crash.located(_flagged(t))
-
-
-def _impact(t: Tables) -> DataFrame:
-    return crash.impact(_clean(t))
-
-
-def _distribution(t: Tables) -> DataFrame:
-    return crash.distribution(_clean(t), t.fatalities)
+def _over_test_tables(fn: Analysis) -> Query:
+    return lambda spark, sf_dir: fn(CrashData(crash_tables(spark, sf_dir)))
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-# --- Crash-level trends ---------------------------------------------------------------------
-
-
-@_query
-def daily_counts(t: Tables) -> DataFrame:
-    return agg.daily_counts(_clean(t))
-
-
-@_query
-def monthly_counts(t: Tables) -> DataFrame:
-    return agg.monthly_counts(_clean(t))
-
-
-@_query
-def rolling7_daily(t: Tables) -> DataFrame:
-    return rolling_mean(agg.daily_counts(_clean(t)), "CRASH_DATE", "count", 7, "rolling7")
-
-
-@_query
-def hour_counts(t: Tables) -> DataFrame:
-    return agg.hour_counts(_clean(t))
-
-
-@_query
-def dow_counts(t: Tables) -> DataFrame:
-    return agg.dow_counts(_clean(t))
-
-
-@_query
-def date_parts(t: Tables) -> DataFrame:
-    parts = ("YEAR", "MONTH", "DAY_OF_WEEK_NUM", "HOUR")
-    return _clean(t).select(KEY, *parts, clean.day_name().alias("DAY_OF_WEEK"))
-
-
-@_query
-def hour_year_from_text(t: Tables) -> DataFrame:
-    return t.crashes.select(
-        KEY,
-        clean.hour_from_text("CRASH_DATE").alias("HOUR"),
-        clean.year_from_text("CRASH_DATE").alias("YEAR"),
-    )
-
-
-@_query
-def geo_clean(t: Tables) -> DataFrame:
-    return _clean(t).select(KEY, "LAT", "LON")
-
-
-@_query
-def clean_categories(t: Tables) -> DataFrame:
-    return _clean(t).select(KEY, *clean.CATEGORY_COLUMNS)
-
-
-@_query
-def people_summary(t: Tables) -> DataFrame:
-    return agg.people_summary(t.people, KEY)
-
-
-@_query
-def vehicles_summary(t: Tables) -> DataFrame:
-    return agg.vehicles_summary(t.vehicles, KEY)
-
-
-@_query
-def crash_combined(t: Tables) -> DataFrame:
-    counts = (*agg.PEOPLE_COUNTS, *agg.VEHICLE_COUNTS)
-    return crash.combined(t).select(KEY, CAUSE, "LAT", "LON", "HOUR", *counts)
-
-
-@_query
-def injury_flags(t: Tables) -> DataFrame:
-    return _flagged(t).select(KEY, "injury_any", "is_fatal")
-
-
-@_query
-def injury_share(t: Tables) -> DataFrame:
-    return agg.injury_share(_flagged(t))
-
-
-@_query
-def top_causes(t: Tables) -> DataFrame:
-    return agg.value_counts(_clean(t), CAUSE, 12)
-
-
-@_query
-def injury_rate_by_weather(t: Tables) -> DataFrame:
-    return agg.injury_rate_by(_flagged(t), "WEATHER_CONDITION", 10)
-
-
-@_query
-def heat_sample(t: Tables) -> DataFrame:
-    return layers.heat_points(_clean(t), KEY)
-
-
-@_query
-def median_center(t: Tables) -> DataFrame:
-    return agg.median_center(_clean(t))
-
-
-@_query
-def marker_points(t: Tables) -> DataFrame:
-    return layers.marker_points(_clean(t), KEY)
-
-
-# --- Hotspots and impact --------------------------------------------------------------------
-
-
-@_query
-def period_counts(t: Tables) -> DataFrame:
-    return agg.value_counts(_located(t), "period")
-
-
-@_query
-def hotspot_cells(t: Tables) -> DataFrame:
-    return agg.hotspot_cells(_located(t)).drop("top_cause")
-
-
-@_query
-def cell_top_cause(t: Tables) -> DataFrame:
-    return agg.group_mode(_located(t), ["lat_bin", "lon_bin"], CAUSE, "top_cause")
-
-
-@_query
-def hotspots_top200(t: Tables) -> DataFrame:
-    return agg.rank_cells(agg.hotspot_cells(_located(t), CAUSE), 200)
-
-
-@_query
-def hotspot_layer(t: Tables) -> DataFrame:
-    return layers.hotspot_layer(agg.rank_cells(agg.hotspot_cells(_located(t), CAUSE), 200))
-
-
-@_query
-def period_heat(t: Tables) -> DataFrame:
-    return layers.period_heat(_located(t), KEY)
-
-
-@_query
-def fatal_points(t: Tables) -> DataFrame:
-    return layers.fatal_points(_located(t), KEY)
-
-
-@_query
-def cause_impact(t: Tables) -> DataFrame:
-    return agg.cause_impact(_impact(t))
-
-
-@_query
-def cause_impact_top5(t: Tables) -> DataFrame:
-    return agg.rank_causes(agg.cause_impact(_impact(t)), 5)
-
-
-@_query
-def impact_scores(t: Tables) -> DataFrame:
-    counts = tuple(features.IMPACT_COLUMNS.values())
-    return _impact(t).select(KEY, *counts, "impact_score")
-
-
-@_query
-def top_cause_layers(t: Tables) -> DataFrame:
-    return layers.top_cause_layers(_impact(t), KEY)
-
-
-@_query
-def risk_cells(t: Tables) -> DataFrame:
-    return agg.risk_cells(features.with_grid_bin(clean.present(_impact(t), "LAT", "LON")))
-
-
-# --- Driver-level fatality patterns ---------------------------------------------------------
-
-
-@_query
-def drivers_joined(t: Tables) -> DataFrame:
-    return drivers.joined_drivers(t).select(
-        "PERSON_ID", KEY, "VEHICLE_ID", "VEHICLE_TYPE", "CRASH_DATE", "fatal_outcome"
-    )
-
-
-@_query
-def driver_features(t: Tables) -> DataFrame:
-    return sinks.timestamps_as_text(drivers.driver_features(t))
-
-
-@_query
-def fatal_rate_by_age(t: Tables) -> DataFrame:
-    rates = agg.fatal_rate(drivers.counted_drivers(t, ["age_bin"]), "age_bin", DRIVERS)
-    return agg.fill_domain(rates, "age_bin", AGE_LABELS, {"fatal_rate": F.lit(0.0)})
-
-
-@_query
-def fatal_rate_by_state_top10(t: Tables) -> DataFrame:
-    groups = drivers.counted_drivers(t, ["license_state"])
-    return agg.topk_group_fatal_rate(groups, "license_state", 10, DRIVERS)
-
-
-@_query
-def fatal_rate_by_surface(t: Tables) -> DataFrame:
-    groups = drivers.counted_drivers(t, (), ["surface"])
-    return agg.group_fatal_rate(groups, "surface", DRIVERS, k=10)
-
-
-@_query
-def approx_center(t: Tables) -> DataFrame:
-    points = drivers.driver_crashes(t.crashes).where("fatal_outcome")
-    return agg.approx_center(clean.present(points, "LAT", "LON"))
-
-
-@_query
-def fatal_by_age_layers(t: Tables) -> DataFrame:
-    dims = ["LAT", "LON", "CRASH_DATETIME"]
-    return layers.fatal_by_age_layers(drivers.fatal_driver_points(t, ["age_bin"], dims))
-
-
-@_query
-def fatal_by_surface_layers(t: Tables) -> DataFrame:
-    groups = drivers.counted_drivers(t, (), ["surface"])
-    top = agg.group_fatal_rate(groups, "surface", DRIVERS, k=5)
-    points = drivers.fatal_driver_points(t, (), ["surface", "LAT", "LON"])
-    return layers.fatal_by_surface_layers(points, top)
-
-
-@_query
-def fatal_people_layers(t: Tables) -> DataFrame:
-    return layers.fatal_people_layers(t.people, _flagged(t), KEY)
-
-
-# --- Distributions over crashes -------------------------------------------------------------
-
-
-@_query
-def fatal_ref_flag(t: Tables) -> DataFrame:
-    counted = t.crashes.drop("INJURIES_FATAL")
-    return crash.distribution(crash.clean_crashes(counted), t.fatalities).select(KEY, "is_fatal")
-
-
-@_query
-def hourly_fatal(t: Tables) -> DataFrame:
-    return agg.hourly_fatal(_distribution(t))
-
-
-@_query
-def topk_rate_lighting(t: Tables) -> DataFrame:
-    return agg.topk_group_fatal_rate(_distribution(t), "LIGHTING_CONDITION", 8)
-
-
-@_query
-def topk_rate_weather(t: Tables) -> DataFrame:
-    return agg.topk_group_fatal_rate(_distribution(t), "WEATHER_CONDITION", 8)
-
-
-@_query
-def topk_rate_surface(t: Tables) -> DataFrame:
-    return agg.topk_group_fatal_rate(_distribution(t), "ROADWAY_SURFACE_COND", 8)
-
-
-@_query
-def vehicle_mode(t: Tables) -> DataFrame:
-    return crash.vehicle_modes(t.vehicles)
-
-
-@_query
-def fatal_rate_by_vehicle_mode(t: Tables) -> DataFrame:
-    groups = crash.vehicle_mode_groups(_distribution(t), t.vehicles)
-    return agg.topk_group_fatal_rate(groups, "VEHICLE_TYPE_MODE", 8, ("crashes", "fatal_crashes"))
-
-
-@_query
-def fatal_vehicle_type_layer(t: Tables) -> DataFrame:
-    return layers.fatal_vehicle_type_layer(
-        _flagged(t), t.vehicles, KEY, crash.vehicle_type_column(t.vehicles), HEAVY_TYPES
-    )
-
-
-# --- Sources and sinks ----------------------------------------------------------------------
-
-
-@_query
-def profile_crashes(t: Tables) -> DataFrame:
-    return sinks.profile(_clean(t))
-
-
-@_query
-def crashes_as_json(t: Tables) -> DataFrame:
-    return sinks.json_rows(t.crashes)
-
-
-@_query
-def bounded_preview(t: Tables) -> DataFrame:
-    columns = [KEY, "CRASH_DATETIME", "HOUR", CAUSE]
-    order = [F.asc_nulls_last("CRASH_DATETIME"), KEY]
-    return sinks.bounded(_clean(t), columns, 1000, order)
+    found = {name: _over_test_tables(fn) for name, fn in ANALYSES.items()}
+    return found | {"schema_tolerant_load": schema_tolerant_load, "csv_tables": csv_tables}
 
 
 def schema_tolerant_load(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -374,7 +50,3 @@ def csv_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum("persons").alias("persons"),
         F.sum("speeding_veh").alias("speeding_veh"),
     )
-
-
-_QUERIES["schema_tolerant_load"] = schema_tolerant_load
-_QUERIES["csv_tables"] = csv_tables

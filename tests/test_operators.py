@@ -28,7 +28,7 @@ def rows(df):
 
 
 @pytest.mark.parametrize("min_rows", [1, 20, 10**9])
-def test_left_join_hot_equals_plain_join(spark, min_rows):
+def test_join_hot_equals_plain_join(spark, min_rows):
     """A third of the left rows share a key, another third have none, and one right key repeats."""
     rng = random.Random(1)
     left = [("hot", i) for i in range(100)] + [(None, i) for i in range(100)]
@@ -37,15 +37,17 @@ def test_left_join_hot_equals_plain_join(spark, min_rows):
     right += [(f"k{i}", f"s{i}") for i in range(0, 40, 2)] + [(None, "never")]
     a = spark.createDataFrame(left, "k string, a int").repartition(6)
     b = spark.createDataFrame(right, "k string, b string").repartition(5)
-    got = joins.left_join_hot(a, b, ["k"], min_rows)
+    got = joins.join_hot(a, b, ["k"], min_rows)
     assert got.columns == ["k", "a", "b"]
     assert rows(got) == rows(a.join(b, "k", "left"))
+    inner = joins.join_hot(a, b, ["k"], min_rows, how="inner")
+    assert rows(inner) == rows(a.join(b, "k"))
 
 
-def test_left_join_hot_with_unique_right_and_two_keys(spark):
+def test_join_hot_with_unique_right_and_two_keys(spark):
     a = spark.createDataFrame([("x", "1", 1)] * 30 + [("x", None, 2), (None, "1", 3), ("y", "2", 4)], "k string, v string, n int")
     b = spark.createDataFrame([("x", "1", "hit"), ("x", "2", "miss")], "k string, v string, b string")
-    got = joins.left_join_hot(a.repartition(4), b, ["k", "v"], 5, right_unique=True)
+    got = joins.join_hot(a.repartition(4), b, ["k", "v"], 5, right_unique=True)
     assert rows(got) == rows(a.join(b, ["k", "v"], "left"))
 
 
