@@ -30,6 +30,16 @@ def present(df: DataFrame, *columns: str) -> DataFrame:
     return df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns]))
 
 
+def computed_once(df: DataFrame) -> DataFrame:
+    """Work out the columns made so far once per row.
+
+    The optimizer copies a column's expression into each later filter on it, which makes for slow
+    and oversized generated code. It does not move filters below a projection that has the
+    partition number in it. Columns that nobody uses are still left out.
+    """
+    return df.withColumn("__task", F.spark_partition_id()).where("__task >= 0").drop("__task")
+
+
 def as_number(c: str | Column) -> Column:
     """Text to double, NULL where it is no number."""
     return (F.col(c) if isinstance(c, str) else c).try_cast("double")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadgrain.functions.clean import computed_once
+
 
 def rolling_mean(series: DataFrame, order: str, value: str, rows: int, name: str) -> DataFrame:
     """Mean over the last ``rows`` rows present, NULL until there are that many.
@@ -48,6 +50,7 @@ def capped(
         (F.lit(1) if weight is None else F.col(weight)).cast("long").alias("__w"),
         F.md5(F.concat_ws("|", *text, F.lit(str(seed)))).alias("__h"),
     )
+    hashed = computed_once(hashed)
     place = F.struct(*keys, F.substring("__h", 1, digits).alias("__bucket"))
 
     window = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))

@@ -27,10 +27,10 @@ from roadgrain.sources.tables import Tables
 
 def clean_crashes(crashes: DataFrame) -> DataFrame:
     """Parsed dates with their parts, coordinates inside the city, normalised categories."""
-    df = clean.with_datetime(upper_columns(crashes))
+    df = clean.with_lat_lon(clean.with_datetime(upper_columns(crashes)))
     if "CRASH_DATETIME" in df.columns:
         df = clean.date_parts(df)
-    return clean.clean_category(clean.geo_null_out(clean.with_lat_lon(df)))
+    return clean.computed_once(clean.clean_category(clean.geo_null_out(df)))
 
 
 def combined(tables: Tables) -> DataFrame:

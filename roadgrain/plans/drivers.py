@@ -58,6 +58,7 @@ def driver_crashes(crashes: DataFrame, fatalities: DataFrame | None = None) -> D
     df = clean.with_lat_lon(clean.with_datetime(upper_columns(crashes)))
     if "CRASH_DATETIME" in df.columns:
         df = clean.date_parts(df)
+    df = clean.computed_once(df)
     surface = resolve_in_frame_order(df, SURFACE_NAMES)
     df = df.withColumn("surface", F.lit("UNKNOWN") if surface is None else clean.normalised(surface))
     column, key = resolve_in_frame_order(df, ["INJURIES_FATAL"]), crash_key(df)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from roadgrain.functions.clean import computed_once
 from roadgrain.sources.tables import Tables
 
 
@@ -23,7 +24,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def crashes_view(orders: DataFrame) -> DataFrame:
-    return orders.selectExpr(
+    view = orders.selectExpr(
         "cast(o_orderkey as string) as CRASH_RECORD_ID",
         """case when o_orderkey % 97 = 0 then 'not a date' when o_orderkey % 89 = 0 then null
            else date_format(o_orderdate
@@ -49,10 +50,11 @@ def crashes_view(orders: DataFrame) -> DataFrame:
         "case when o_orderkey % 5 = 0 then '2' else '0' end as INJURIES_NON_INCAPACITATING",
         "case when o_orderkey % 7 = 0 then '1' else '0' end as INJURIES_POSSIBLE",
     )
+    return computed_once(view)
 
 
 def people_view(lineitem: DataFrame) -> DataFrame:
-    return lineitem.selectExpr(
+    view = lineitem.selectExpr(
         """concat(cast(l_orderkey as string), '-', cast(l_linenumber as string), '-',
              cast(l_partkey as string), '-', cast(l_suppkey as string)) as PERSON_ID""",
         "cast(l_orderkey as string) as CRASH_RECORD_ID",
@@ -64,6 +66,7 @@ def people_view(lineitem: DataFrame) -> DataFrame:
         """case when l_suppkey % 23 = 0 then null
            else concat(' st', cast(l_suppkey % 13 as string)) end as DRIVER_LICENSE_STATE""",
     )
+    return computed_once(view)
 
 
 def vehicles_view(lineitem: DataFrame, part: DataFrame) -> DataFrame:
