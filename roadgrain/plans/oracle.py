@@ -63,11 +63,12 @@ _PARSED = """parsed AS (SELECT * REPLACE (
       else upper(trim(TRAFFIC_CONTROL_DEVICE)) end AS TRAFFIC_CONTROL_DEVICE),
   coalesce(try_strptime(CRASH_DATE, '%m/%d/%Y %I:%M:%S %p'), try_cast(CRASH_DATE as timestamp))
     AS CRASH_DATETIME,
-  try_cast(LATITUDE as double) AS lat0, try_cast(LONGITUDE as double) AS lon0
+  try_cast(LATITUDE as double) AS lat0, try_cast(LONGITUDE as double) AS lon0,
+  crashes.PRIM_CONTRIBUTORY_CAUSE AS raw_cause
   FROM crashes)"""
 
 # Cleaned crashes with flags, impact and grid cell.
-_CLEAN = """clean AS (SELECT * EXCLUDE (lat0, lon0),
+_CLEAN = """clean AS (SELECT * EXCLUDE (lat0, lon0, raw_cause),
   cast(year(CRASH_DATETIME) as integer) AS YEAR, cast(month(CRASH_DATETIME) as integer) AS MONTH,
   cast(dayofweek(CRASH_DATETIME) + 1 as integer) AS DAY_OF_WEEK_NUM,
   cast(hour(CRASH_DATETIME) as integer) AS HOUR,
@@ -105,11 +106,10 @@ _DRIVERS = """driver_rows AS (SELECT p.PERSON_ID, p.CRASH_RECORD_ID, p.VEHICLE_I
     when try_cast(AGE as double) >= 65 then '65+' else 'UNKNOWN' end AS age_bin,
   upper(trim(p.DRIVER_LICENSE_STATE)) AS license_state,
   upper(trim(c.ROADWAY_SURFACE_COND)) AS surface,
-  raw.PRIM_CONTRIBUTORY_CAUSE
+  c.raw_cause AS PRIM_CONTRIBUTORY_CAUSE
   FROM people p
   LEFT JOIN vehicles v ON p.CRASH_RECORD_ID = v.CRASH_RECORD_ID AND p.VEHICLE_ID = v.VEHICLE_ID
   LEFT JOIN parsed c ON p.CRASH_RECORD_ID = c.CRASH_RECORD_ID
-  LEFT JOIN crashes raw ON p.CRASH_RECORD_ID = raw.CRASH_RECORD_ID
   WHERE upper(trim(p.PERSON_TYPE)) = 'DRIVER')"""
 
 _CRASH = ",\n".join([_CRASHES, _PARSED, _CLEAN])
