@@ -245,29 +245,34 @@ def risk_cells(df: DataFrame) -> DataFrame:
     )
 
 
-def exact_median(df: DataFrame, columns: Sequence[str], width: float = 1e-5) -> DataFrame:
+def exact_median(
+    df: DataFrame, columns: Sequence[str], width: float = 1e-5, weight: str | None = None
+) -> DataFrame:
     """Exact median per column, as rows (axis, median), without sorting the values.
 
+    With ``weight``, a row stands for that many equal rows.
+
     A histogram of ``width``-wide bins shows which bin holds the middle ranks; a second pass
     counts the distinct values of that bin alone. Each final window sees one row per bin or per
     distinct value of one bin, however many rows share a value.
     """
     pairs = F.array(*[F.struct(F.lit(c).alias("axis"), F.col(c).alias("v")) for c in columns])
+    times = (F.lit(1) if weight is None else F.col(weight)).cast("long").alias("w")
     values = (
-        df.select(F.inline(pairs))
+        df.select(times, F.inline(pairs))
         .where("v is not null")
         .withColumn("bin", F.floor(F.col("v") / width))
     )
     by_axis = Window.partitionBy("axis")
     middle = _middle_ranks(
-        values.groupBy("axis", "bin").agg(F.count(F.lit(1)).alias("n")), "bin", by_axis
+        values.groupBy("axis", "bin").agg(F.sum("w").alias("n")), "bin", by_axis
     )
     # One or two bins per column.
     bins = middle.select("axis", "bin", F.col("before").alias("offset"), "total")
     inside = (
         values.join(F.broadcast(bins), ["axis", "bin"])
         .groupBy("axis", "bin", "offset", "total", "v")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("w").alias("n"))
     )
     running = F.sum("n").over(
         Window.partitionBy("axis", "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
@@ -298,9 +303,9 @@ def _middle_ranks(hist: DataFrame, order: str, by: object) -> DataFrame:
     return ranked.where((F.col("before") < high) & (end >= low))
 
 
-def median_center(df: DataFrame) -> DataFrame:
-    """Exact map centre as one row (lat, lon)."""
-    medians = exact_median(df, ["LAT", "LON"])
+def median_center(df: DataFrame, weight: str | None = None) -> DataFrame:
+    """Exact centre of the located rows as one row (lat, lon)."""
+    medians = exact_median(present(df, "LAT", "LON"), ["LAT", "LON"], weight=weight)
     pick = lambda axis: F.max(F.when(F.col("axis") == axis, F.col("median")))
     return medians.agg(pick("LAT").alias("lat"), pick("LON").alias("lon"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from roadgrain.functions import clean, features
 from roadgrain.functions.features import AGE_LABELS
 from roadgrain.functions.schema import CRASH_KEY as KEY
+from roadgrain.functions.schema import crash_key, upper_columns
 from roadgrain.operators import aggregates as agg
 from roadgrain.operators import layers
 from roadgrain.operators.windows import rolling_mean
@@ -25,11 +26,17 @@ HEAVY_TYPES = ("Brand#11", "Brand#22", "Brand#33")
 
 
 class CrashData:
-    """The crash tables and the frames derived from them; ``clean`` may come ready-made."""
+    """The crash tables and the frames derived from them; ``clean`` may come ready-made.
+
+    Headers are put in upper case, and the crash key is named ``CRASH_RECORD_ID`` in each table
+    that has it, whatever its name in the crashes.
+    """
 
     def __init__(self, tables: Tables, clean: DataFrame | None = None):
-        self.tables = tables
-        self.clean = crash.clean_crashes(tables.crashes) if clean is None else clean
+        upper = [upper_columns(df) for df in tables]
+        key = crash_key(upper[0])
+        self.tables = Tables(*[df.withColumnRenamed(key, KEY) for df in upper])
+        self.clean = crash.clean_crashes(self.tables.crashes) if clean is None else clean
 
     @cached_property
     def flagged(self) -> DataFrame:
@@ -265,6 +272,12 @@ def approx_center(d: CrashData) -> DataFrame:
     return agg.approx_center(clean.present(points, "LAT", "LON"))
 
 
+@analysis
+def fatal_driver_center(d: CrashData) -> DataFrame:
+    points = drivers.fatal_driver_points(d.tables, (), ["LAT", "LON"])
+    return agg.median_center(points, "fatal_drivers")
+
+
 @analysis
 def fatal_by_age_layers(d: CrashData) -> DataFrame:
     dims = ["LAT", "LON", "CRASH_DATETIME"]

@@ -275,7 +275,7 @@ ORDER BY {heat}, CRASH_RECORD_ID LIMIT 50000""",
     )
     sql["median_center"] = _with(
         _CRASH,
-        "SELECT median(LAT) AS lat, median(LON) AS lon FROM clean",
+        "SELECT median(LAT) AS lat, median(LON) AS lon FROM located",
     )
     sql["marker_points"] = _with(
         _CRASH,
@@ -372,6 +372,11 @@ FROM (VALUES {_values(_AGES)}) a(age_bin) LEFT JOIN driver_rows d USING (age_bin
         f"{_CRASHES},\n{_PARSED}",
         """SELECT quantile_disc(lat0, 0.5) AS lat, quantile_disc(lon0, 0.5) AS lon FROM parsed
 WHERE try_cast(INJURIES_FATAL as double) > 0 AND lat0 IS NOT NULL AND lon0 IS NOT NULL""",
+    )
+    sql["fatal_driver_center"] = _with(
+        _DRIVER,
+        """SELECT median(LAT) AS lat, median(LON) AS lon FROM driver_rows
+WHERE fatal_outcome AND LAT IS NOT NULL AND LON IS NOT NULL""",
     )
     sql["fatal_by_age_layers"] = _with(
         _DRIVER,

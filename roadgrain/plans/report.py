@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException
+
 from roadgrain.plans import crash
 from roadgrain.plans.analyses import ANALYSES, CrashData
 from roadgrain.sources.sinks import materialise, write_parquet
 from roadgrain.sources.tables import Tables
 
-# Analyses that list every crash, person or driver; the others are small.
-ROW_LEVEL = (
+# Analyses left out by default: those that list every crash, person or driver, and one whose list
+# of vehicle types is for the test tables.
+LEFT_OUT = (
+    "fatal_vehicle_type_layer",
+    "crash_combined",
+    "driver_features",
     "date_parts",
     "hour_year_from_text",
     "geo_clean",
@@ -27,18 +34,25 @@ ROW_LEVEL = (
 
 
 def write_report(tables: Tables, out_dir: str, names: Iterable[str] | None = None) -> dict[str, str]:
-    """Write the named analyses (by default all but the row-level ones) to ``out_dir``.
+    """Write the named analyses (by default the small ones) to ``out_dir``.
 
     The text tables and the cleaned crashes are written as Parquet once, so that each analysis
-    reads just its columns instead of parsing the text again. Returns the path per name.
+    reads just its columns instead of parsing the text again. An analysis whose columns the
+    tables lack is left out with a warning. Returns the path per name.
     """
-    stored = Tables(
-        *[materialise(df, f"{out_dir}/tables/{name}") for name, df in tables._asdict().items()]
-    )
+    named = CrashData(tables).tables._asdict()
+    stored = Tables(*[materialise(df, f"{out_dir}/tables/{n}") for n, df in named.items()])
     clean = materialise(crash.clean_crashes(stored.crashes), f"{out_dir}/tables/clean_crashes")
     data = CrashData(stored, clean)
-    wanted = [n for n in ANALYSES if n not in ROW_LEVEL] if names is None else list(names)
-    paths = {name: f"{out_dir}/{name}" for name in wanted}
-    for name, path in paths.items():
-        write_parquet(ANALYSES[name](data), path)
+    paths = {}
+    for name in names or [n for n in ANALYSES if n not in LEFT_OUT]:
+        try:
+            result = ANALYSES[name](data)
+        except AnalysisException as missing:
+            if not str(missing.getCondition()).startswith("UNRESOLVED_COLUMN"):
+                raise
+            warnings.warn(f"{name} left out: {missing}", stacklevel=2)
+            continue
+        paths[name] = f"{out_dir}/{name}"
+        write_parquet(result, paths[name])
     return paths

@@ -208,6 +208,14 @@ def test_exact_median(spark, n):
     assert got.lon == pytest.approx(statistics.median(y for _, y in data), abs=1e-12)
 
 
+def test_exact_median_with_weights(spark):
+    rng = random.Random(5)
+    data = [(41.6 + rng.random() / 2, -88 + rng.random() / 2, rng.randrange(1, 40)) for _ in range(101)]
+    got = agg.median_center(spark.createDataFrame(data, "LAT double, LON double, w int"), "w").first()
+    assert got.lat == pytest.approx(statistics.median([x for x, _, w in data for _ in range(w)]), abs=1e-12)
+    assert got.lon == pytest.approx(statistics.median([y for _, y, w in data for _ in range(w)]), abs=1e-12)
+
+
 def test_exact_median_of_nothing(spark):
     df = spark.createDataFrame([(None, None)], "LAT double, LON double")
     assert tuple(agg.median_center(df).first()) == (None, None)

@@ -107,6 +107,19 @@ def test_report_writes_every_small_analysis(spark, tmp_path):
         assert got == sorted(map(repr, ANALYSES[name](direct).collect())), name
 
 
+def test_report_on_lower_case_headers_with_missing_columns(spark, tmp_path):
+    t = crash_tables(spark, SF_DIR)
+    lower = [df.toDF(*[c.lower().replace("crash_record_id", "rd_no") for c in df.columns]) for df in t]
+    lower[0] = lower[0].drop("weather_condition")
+    wanted = ["top_causes", "injury_rate_by_weather", "fatal_rate_by_age", "fatal_rate_by_vehicle_mode"]
+    with pytest.warns(UserWarning, match="injury_rate_by_weather left out"):
+        paths = report.write_report(Tables(*lower), str(tmp_path), wanted)
+    assert sorted(paths) == ["fatal_rate_by_age", "fatal_rate_by_vehicle_mode", "top_causes"]
+    for name, path in paths.items():
+        got = sorted(map(repr, spark.read.parquet(path).collect()))
+        assert got == sorted(map(repr, ANALYSES[name](CrashData(t)).collect())), name
+
+
 def test_flags_use_the_list_of_fatalities_only_without_a_count(spark):
     tables = crash_tables(spark, SF_DIR)
     text = plan(crash.with_flags(crash.clean_crashes(tables.crashes), tables.fatalities))
