@@ -1,6 +1,7 @@
-"""``spark-submit`` entry: read the four tables and write the report.
+"""Read the four tables and write the report.
 
-    spark-submit roadgrain/__main__.py CRASHES PEOPLE VEHICLES FATALITIES OUT_DIR [csv|parquet]
+    python -m roadgrain CRASHES PEOPLE VEHICLES FATALITIES OUT_DIR [csv|parquet]
+    PYTHONPATH=. spark-submit roadgrain/__main__.py CRASHES ... (on a cluster)
 """
 
 from __future__ import annotations

@@ -91,8 +91,3 @@ def safe_rate(num: str | Column, den: str | Column) -> Column:
 def non_fatal(total: str, fatal: str) -> Column:
     """Cases left after taking out the fatal ones."""
     return F.col(total) - F.col(fatal)
-
-
-def count_true(c: str | Column) -> Column:
-    """Rows for which a three-valued condition is true."""
-    return F.count_if(c)

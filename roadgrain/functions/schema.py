@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Header names under which the source tables carry each field.
@@ -21,7 +21,8 @@ SURFACE_NAMES = ("ROADWAY_SURFACE_COND", "RDWY_SURF_COND")
 
 def upper_columns(df: DataFrame) -> DataFrame:
     """Rename every column to upper case."""
-    return df.toDF(*[c.upper() for c in df.columns])
+    upper = [c.upper() for c in df.columns]
+    return df if upper == df.columns else df.toDF(*upper)
 
 
 def resolve_preferred(df: DataFrame, candidates: Sequence[str]) -> str | None:
@@ -83,11 +84,6 @@ def default_column(df: DataFrame, name: str, value: object, dtype: str | None =
     return df.withColumn(name, lit if dtype is None else lit.cast(dtype))
 
 
-def column_or(df: DataFrame, name: str | None, value: object, dtype: str) -> Column:
-    """``df[name]`` or, when there is no such column, a typed literal."""
-    return F.col(name) if name is not None and name in df.columns else F.lit(value).cast(dtype)
-
-
 def prefix_clashes(right: DataFrame, left: DataFrame, on: Sequence[str], prefix: str) -> DataFrame:
     """Prefix the non-key columns of ``right`` that ``left`` also has, so that a join keeps both."""
     taken = set(left.columns)

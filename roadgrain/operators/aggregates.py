@@ -260,7 +260,7 @@ def exact_median(
     times = (F.lit(1) if weight is None else F.col(weight)).cast("long").alias("w")
     values = (
         df.select(times, F.inline(pairs))
-        .where("v is not null")
+        .where("v is not null and not isnan(v)")
         .withColumn("bin", F.floor(F.col("v") / width))
     )
     by_axis = Window.partitionBy("axis")

@@ -35,7 +35,8 @@ class CrashData:
     def __init__(self, tables: Tables, clean: DataFrame | None = None):
         upper = [upper_columns(df) for df in tables]
         key = crash_key(upper[0])
-        self.tables = Tables(*[df.withColumnRenamed(key, KEY) for df in upper])
+        named = upper if key == KEY else [df.withColumnRenamed(key, KEY) for df in upper]
+        self.tables = Tables(*named)
         self.clean = crash.clean_crashes(self.tables.crashes) if clean is None else clean
 
     @cached_property

@@ -4,9 +4,6 @@ from __future__ import annotations
 
 from datetime import datetime
 
-import pytest
-from pyspark.sql import functions as F
-
 from roadgrain.functions import clean, features, schema
 
 
@@ -143,9 +140,3 @@ def test_impact_score(spark):
 def test_safe_rate(spark):
     df = spark.createDataFrame([(1, 4), (3, 0)], "a bigint, b bigint")
     assert [r[0] for r in df.select(features.safe_rate("a", "b")).collect()] == [0.25, 0.0]
-
-
-@pytest.mark.parametrize("flag,n", [(True, 1), (False, 0)])
-def test_count_true(spark, flag, n):
-    df = spark.createDataFrame([(flag,), (None,)], "f boolean")
-    assert df.agg(features.count_true(F.col("f"))).first()[0] == n

@@ -202,7 +202,7 @@ def test_exact_median(spark, n):
     rng = random.Random(n)
     # A third of the rows share one value.
     data = [(41.88 if rng.random() < 0.34 else 41.6 + rng.random() / 2, -88 + rng.random() / 2) for _ in range(n)]
-    df = spark.createDataFrame([*data, (None, None)], "LAT double, LON double")
+    df = spark.createDataFrame([*data, (None, None), (float("nan"),) * 2], "LAT double, LON double")
     got = agg.median_center(df).first()
     assert got.lat == pytest.approx(statistics.median(x for x, _ in data), abs=1e-12)
     assert got.lon == pytest.approx(statistics.median(y for _, y in data), abs=1e-12)
