@@ -1,29 +1,61 @@
-"""The corpus pipeline: toxic documents go, then exact and near copies, personal data is taken out, the rest is packed."""
+"""The corpus pipeline.
+
+Toxic documents go, of equal and of nearly equal texts one stays, personal data is taken out, and
+what is left is packed. Each stage works on all rows that the one before it kept.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from roadgrain.llm import exact, packing
+from roadgrain.llm import exact, jaccard, packing, privacy, toxicity
 from roadgrain.llm.shared import documents, stored
 
+#: Near copies: words of a shingle, and per cent of the union that must be common.
+NEAR_WIDTH, NEAR_PERCENT = 5, 80
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go; the labels of the corpus are learned from."""
+    return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the smallest id stays."""
     return exact.keep_first(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked texts the row with the smallest id stays."""
+    return jaccard.keep_one(docs, width=NEAR_WIDTH, percent=NEAR_PERCENT)
+
+
+def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and the terms that disclose it leave the texts; n_chars follows."""
+    clean = privacy.remove_personal_data(docs)
+    return clean.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else clean
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per packed piece of the texts that are left."""
     return packing.pack_documents(docs)
 
 
-STAGES = [("exact dedup", drop_copies), ("packing", pack)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("near duplicates", drop_near_copies),
+    ("personal data", sanitise),
+    ("packing", pack),
+]
 
+#: Scores, components and packing have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each stage works on all rows that the one before it kept, written as Parquet and read again."""
+    """Apply the stages to ``documents``; each result but the last is written as Parquet and read again."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))

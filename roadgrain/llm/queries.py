@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roadgrain.llm import exact, lexicon, licences, packing, wavelet
+from roadgrain.llm import exact, jaccard, language, lexicon, licences, neighbours, packing, privacy, toxicity, wavelet
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,8 +14,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_exact_dedup": exact.op1_exact_dedup,
+        "op2_personal_data": privacy.op2_personal_data,
+        "op3_neighbours": neighbours.op3_neighbours,
         "op4_lexicon_bpe": lexicon.op4_lexicon_bpe,
+        "op5_language_id": language.op5_language_id,
+        "op6_toxicity": toxicity.op6_toxicity,
         "op7_licence_scan": licences.op7_licence_scan,
+        "op8_near_duplicates": jaccard.op8_near_duplicates,
         "op9_token_shards": wavelet.op9_token_shards,
         "op10_packing": packing.op10_packing,
     }

@@ -43,6 +43,19 @@ def fold(column: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % 5
 
 
+def picked(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text and text_hash, which tells apart rows that repeat an id; no other column is read."""
+    text = df[text_col].cast("string")
+    return df.select(df[id_col].cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+
+
+def without(df: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``df`` that no (doc_id, text_hash) row of ``gone`` names."""
+    named = gone.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    same = df[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(df[text_col].cast("string")) == F.col("__hash"))
+    return df.join(named, same, "left_anti")
+
+
 def text_rows(batches: Iterable[pa.RecordBatch], key: str, text: str) -> Iterator[tuple[object, str]]:
     """(key, text) of each row, null texts as empty, one batch in memory at a time."""
     for batch in batches:
