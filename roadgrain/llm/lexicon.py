@@ -35,7 +35,7 @@ LEAST_COUNT = 4
 #: Longer chunks are no lexicon words.
 LONGEST_WORD = 64
 #: Chunks whose ids a worker keeps.
-KEPT = 300_000
+KEPT = 1_000_000
 
 MAGIC = b"MAT1"
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_lexicon bigint"
@@ -69,7 +69,7 @@ class Merger:
         self.tokens = {i: t for t, i in self.vocab.items()}
         self.tokens |= {t["id"]: t["content"] for t in whole["added_tokens"]}
         self.added = [t["content"] for t in whole["added_tokens"]]
-        self.bytes = byte_letters()
+        self.bytes = words.byte_letters()
 
     def word(self, piece: str) -> list[int]:
         """Ids of one piece: start from its bytes, merge the pair of lowest rank until none is left."""
@@ -96,13 +96,6 @@ class Merger:
         return [i for piece in PIECE.findall(chunk.lower()) for i in self.word(piece)]
 
 
-def byte_letters() -> list[str]:
-    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, the rest from U+0100 on."""
-    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = iter(range(256, 512))
-    return [chr(b) if b in kept else chr(next(rest)) for b in range(256)]
-
-
 def compile_automaton(entries: list[tuple[bytes, bytes]]) -> bytes:
     """The flat file for (word, ids) entries: states with equal continuations are one state.
 
@@ -212,17 +205,26 @@ class Encoder(dict):
         self.lexicon, self.most = lexicon, most
 
     def __missing__(self, chunk: str) -> bytes:
-        found = self.lexicon.get(chunk.encode()) if len(chunk) <= LONGEST_WORD else None
+        found = self.lexicon.get(chunk.encode("utf-8", "surrogatepass")) if len(chunk) <= LONGEST_WORD else None
         if found is None:
-            if PLAIN.fullmatch(chunk) and not any(a in chunk for a in self.merger.added):
-                ids = self.merger.plain_chunk(chunk)
-            else:
-                ids = self.library.encode(chunk, add_special_tokens=False).ids
-            found = words.id_bytes(ids)
+            found = self.unseen(chunk)
         if len(self) < self.most:
             self[chunk] = found
         return found
 
+    def unseen(self, chunk: str) -> bytes:
+        """Ids of a chunk that is no lexicon word; its word and its signs may be."""
+        parts = words.word_and_signs(chunk)
+        if parts and parts[1]:
+            return self[parts[0]] + self[parts[1]]
+        if parts and (lower := chunk.lower()) != chunk:
+            return self[lower]
+        if parts:
+            return words.id_bytes(self.merger.word(chunk))
+        if PLAIN.fullmatch(chunk) and not any(a in chunk for a in self.merger.added):
+            return words.id_bytes(self.merger.plain_chunk(chunk))
+        return words.id_bytes(self.library.encode(chunk, add_special_tokens=False).ids)
+
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, words.chunks(text)))
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import sys
 from array import array
 from functools import lru_cache
@@ -19,10 +20,12 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 from tokenizers import Tokenizer  # noqa: E402
 
 #: Chunks kept per worker; further chunks are encoded each time they come.
-KEPT_CHUNKS = 400_000
+KEPT_CHUNKS = 1_200_000
 #: Separators that only ``str.split`` takes for white space.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 ASCII_CHUNK = re.compile(r"[^ \t\n\x0b\x0c\r]+")
+#: Words whose normal form is their lower case and which are one piece.
+PLAIN_WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
 def default_path() -> str:
@@ -38,8 +41,25 @@ def chunks(text: str) -> list[str]:
     return text.split()
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, the rest from U+0100 on."""
+    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in kept else chr(next(rest)) for b in range(256)]
+
+
+def word_and_signs(chunk: str) -> tuple[str, str] | None:
+    """A plain word and the ASCII signs after it, which the vocabulary takes as two pieces; None for other chunks."""
+    word = chunk.rstrip(string.punctuation)
+    return (word, chunk[len(word) :]) if PLAIN_WORD.fullmatch(word) else None
+
+
 class ChunkIds(dict):
-    """Little-endian 32-bit ids of a chunk as bytes, worked out when first asked for."""
+    """Little-endian 32-bit ids of a chunk as bytes, worked out when first asked for.
+
+    A plain word is lower-cased and merged by the library's model; the signs after it and all other
+    chunks go through the library's whole encoder.
+    """
 
     def __init__(self, path: str, most: int = KEPT_CHUNKS) -> None:
         super().__init__()
@@ -47,18 +67,29 @@ class ChunkIds(dict):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
+        self.letters = byte_letters()
         self.most = most
 
     def __missing__(self, chunk: str) -> bytes:
-        if chunk.isascii() and chunk.isalpha():  # no normalising beyond case, no splitting
-            ids = [t.id for t in self.model.tokenize(chunk.lower())]
+        parts = word_and_signs(chunk)
+        if parts is None:
+            found = id_bytes(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
+        elif parts[1]:
+            found = self[parts[0]] + self[parts[1]]
+        elif (lower := chunk.lower()) != chunk:
+            found = self[lower]
         else:
-            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        found = id_bytes(ids)
+            found = self.merged(chunk)
         if len(self) < self.most:
             self[chunk] = found
         return found
 
+    def merged(self, word: str) -> bytes:
+        """Ids of a plain lower-case word."""
+        if not word.isascii():
+            word = "".join([self.letters[b] for b in word.encode()])
+        return id_bytes([t.id for t in self.model.tokenize(word)])
+
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, chunks(text)))
 
