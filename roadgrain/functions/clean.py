@@ -23,6 +23,7 @@ LAT_RANGE = (41.60, 42.10)
 LON_RANGE = (-88.0, -87.3)
 # Fixed value: clock time in free text, hour in group 1 and AM/PM in group 2.
 CLOCK_PATTERN = r"(\d{1,2}):\d{2}:\d{2}\s*([AP]M)?"
+STARTS_WITH_YEAR = r"^\d{4}(-|$)"
 
 
 def present(df: DataFrame, *columns: str) -> DataFrame:
@@ -41,14 +42,20 @@ def computed_once(df: DataFrame) -> DataFrame:
 
 
 def as_number(c: str | Column) -> Column:
-    """Text to double, NULL where it is no number."""
-    return (F.col(c) if isinstance(c, str) else c).try_cast("double")
+    """Text to double, NULL where it is no finite number (``nan`` and ``Infinity`` are none)."""
+    number = (F.col(c) if isinstance(c, str) else c).try_cast("double")
+    return F.when(F.abs(number) < float("inf"), number)
 
 
 def parse_ts(c: str | Column, formats: Sequence[str] = (US_PATTERN,)) -> Column:
-    """Timestamp from the first of ``formats`` that fits, else from ISO-like text, else NULL."""
+    """Timestamp from the first of ``formats`` that fits, else from ISO-like text, else NULL.
+
+    Text must hold a date: a time alone would be given the date of the day of the run. The result is
+    in the session's time zone, which is to be one without clock changes (see ``CrashData``).
+    """
     c = F.col(c) if isinstance(c, str) else c
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in formats], F.try_to_timestamp(c))
+    iso = F.when(F.trim(c).rlike(STARTS_WITH_YEAR), F.try_to_timestamp(c))
+    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in formats], iso)
 
 
 def with_datetime(
@@ -119,14 +126,14 @@ def clean_category(
 
 
 def hour_from_text(c: str | Column) -> Column:
-    """Hour 0-23 from a clock time in the text, NULL when there is none."""
+    """Hour 0-23 from a clock time in the text, NULL when there is none or its hour is above 23.
+
+    With AM or PM it is the hour modulo 12, plus 12 for PM.
+    """
     hour = F.regexp_extract(c, CLOCK_PATTERN, 1).try_cast("int")
     half = F.regexp_extract(c, CLOCK_PATTERN, 2)
-    return (
-        F.when(half == "AM", F.when(hour == 12, 0).otherwise(hour))
-        .when(half == "PM", F.when(hour == 12, 12).otherwise(hour + 12))
-        .otherwise(hour)
-    )
+    of_day = F.when(half == "", hour).otherwise(hour % 12 + F.when(half == "PM", 12).otherwise(0))
+    return F.when(hour < 24, of_day)
 
 
 def year_from_text(c: str | Column) -> Column:

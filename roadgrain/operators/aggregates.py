@@ -26,7 +26,7 @@ def people_summary(people: DataFrame, key: str) -> DataFrame:
     typed = "PERSON_TYPE" in people.columns
     pedestrians = unknown
     if "PEDPED_FLAG" in people.columns:
-        pedestrians = F.sum(as_number("PEDPED_FLAG")).cast("long")
+        pedestrians = F.sum(as_number("PEDPED_FLAG")).try_cast("long")
     elif typed:
         pedestrians = _count_where(F.col("PERSON_TYPE") == "PEDESTRIAN")
     cyclists = _count_where(F.col("PERSON_TYPE") == "BICYCLE") if typed else unknown
@@ -246,44 +246,41 @@ def risk_cells(df: DataFrame) -> DataFrame:
 
 
 def exact_median(
-    df: DataFrame, columns: Sequence[str], width: float = 1e-5, weight: str | None = None
+    df: DataFrame, columns: Sequence[str], bins: int = 50_000, weight: str | None = None
 ) -> DataFrame:
     """Exact median per column, as rows (axis, median), without sorting the values.
 
     With ``weight``, a row stands for that many equal rows.
 
-    A histogram of ``width``-wide bins shows which bin holds the middle ranks; a second pass
-    counts the distinct values of that bin alone. Each final window sees one row per bin or per
-    distinct value of one bin, however many rows share a value.
+    A histogram of ``bins`` bins between the least and the largest value shows which bin holds the
+    middle ranks, a second one divides that bin, and a last pass counts the distinct values of the
+    bin found. So no task gets more than ``bins`` rows, or the distinct values of one bin in
+    ``bins`` squared, whatever the range of the values and however many rows share one.
     """
-    pairs = F.array(*[F.struct(F.lit(c).alias("axis"), F.col(c).alias("v")) for c in columns])
+    pairs = F.array(*[F.struct(F.lit(c).alias("axis"), F.col(c).cast("double").alias("v")) for c in columns])
     times = (F.lit(1) if weight is None else F.col(weight)).cast("long").alias("w")
-    values = (
-        df.select(times, F.inline(pairs))
-        .where("v is not null and not isnan(v)")
-        .withColumn("bin", F.floor(F.col("v") / width))
-    )
-    by_axis = Window.partitionBy("axis")
-    middle = _middle_ranks(
-        values.groupBy("axis", "bin").agg(F.sum("w").alias("n")), "bin", by_axis
-    )
-    # One or two bins per column.
-    bins = middle.select("axis", "bin", F.col("before").alias("offset"), "total")
-    inside = (
-        values.join(F.broadcast(bins), ["axis", "bin"])
-        .groupBy("axis", "bin", "offset", "total", "v")
-        .agg(F.sum("w").alias("n"))
-    )
-    running = F.sum("n").over(
-        Window.partitionBy("axis", "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    ranked = inside.withColumn("before", F.col("offset") + F.coalesce(running, F.lit(0)))
-    low, high = _middle("total")
-    holds = lambda r: (F.col("before") < r) & (r <= F.col("before") + F.col("n"))
-    ends = ranked.where(holds(low) | holds(high)).groupBy("axis").agg(
-        F.min("v").alias("a"), F.max("v").alias("b")
-    )
-    return ends.select("axis", ((F.col("a") + F.col("b")) / 2).alias("median"))
+    values = df.select(times, F.inline(pairs)).where("v is not null and not isnan(v)")
+    # One row per column, then one or two bins per column.
+    reach = values.groupBy("axis").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.lit(0).cast("long").alias("offset"), F.sum("w").alias("total"))
+    for level in range(2):
+        spot = (values.v >= F.col("lo")) & (values.v <= F.col("hi"))
+        inside = values.join(F.broadcast(reach), "axis").where(spot)
+        width = (F.col("hi") - F.col("lo")) / bins
+        bin_ = F.when(width > 0, F.floor((F.col("v") - F.col("lo")) / width)).otherwise(0).cast("long")
+        hist = inside.groupBy("axis", "lo", "offset", "total", bin_.alias("bin")).agg(
+            F.sum("w").alias("n"), F.min("v").alias("least"), F.max("v").alias("most")
+        )
+        found = _middle_ranks(hist)
+        # Both middle ranks may lie in neighbouring bins: what holds them spans from one to the other.
+        reach = found.groupBy("axis").agg(
+            F.min("least").alias("lo"), F.max("most").alias("hi"), F.min("before").alias("offset"), F.first("total").alias("total")
+        )
+    spot = (values.v >= F.col("lo")) & (values.v <= F.col("hi"))
+    inside = values.join(F.broadcast(reach), "axis").where(spot)
+    counted = inside.groupBy("axis", "offset", "total", "v").agg(F.sum("w").alias("n"))
+    ends = _middle_ranks(counted.withColumn("bin", F.col("v")))
+    medians = ends.groupBy("axis").agg(F.min("v").alias("a"), F.max("v").alias("b"))
+    return medians.select("axis", ((F.col("a") + F.col("b")) / 2).alias("median"))
 
 
 def _middle(total: str) -> tuple[Column, Column]:
@@ -292,15 +289,16 @@ def _middle(total: str) -> tuple[Column, Column]:
     return F.floor((n + 1) / 2), F.floor((n + 2) / 2)
 
 
-def _middle_ranks(hist: DataFrame, order: str, by: object) -> DataFrame:
-    """Histogram rows that hold a middle rank, with the number of values before them."""
-    running = F.sum("n").over(by.orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    ranked = hist.withColumns(
-        {"before": F.coalesce(running, F.lit(0)), "total": F.sum("n").over(by)}
-    )
+def _middle_ranks(hist: DataFrame) -> DataFrame:
+    """Histogram rows that hold a middle rank, with the number of values before them.
+
+    ``offset`` values lie before the histogram's first bin.
+    """
+    by = Window.partitionBy("axis")
+    running = F.sum("n").over(by.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
+    ranked = hist.withColumn("before", F.col("offset") + F.coalesce(running, F.lit(0)))
     low, high = _middle("total")
-    end = F.col("before") + F.col("n")
-    return ranked.where((F.col("before") < high) & (end >= low))
+    return ranked.where((F.col("before") < high) & (F.col("before") + F.col("n") >= low))
 
 
 def median_center(df: DataFrame, weight: str | None = None) -> DataFrame:
@@ -310,8 +308,14 @@ def median_center(df: DataFrame, weight: str | None = None) -> DataFrame:
     return medians.agg(pick("LAT").alias("lat"), pick("LON").alias("lon"))
 
 
-def approx_center(df: DataFrame, accuracy: int = 10_000) -> DataFrame:
-    """Map centre by an approximate median; its rank is off by at most ``1 / accuracy`` of the rows."""
+def approx_center(df: DataFrame, accuracy: int = 10_000, weight: str | None = None) -> DataFrame:
+    """Map centre by an approximate median; its rank is off by at most ``1 / accuracy`` of the rows.
+
+    With ``weight``, a row stands for that many equal rows; they are repeated within their task.
+    """
+    if weight is not None:
+        df = df.where(F.col(weight) > 0)
+        df = df.select("LAT", "LON", F.explode(F.sequence(F.lit(1).cast("long"), F.col(weight).cast("long"))))
     return df.agg(
         F.percentile_approx("LAT", 0.5, accuracy).alias("lat"),
         F.percentile_approx("LON", 0.5, accuracy).alias("lon"),

@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from roadgrain.functions.clean import normalised, present
 from roadgrain.functions.schema import (
@@ -22,29 +23,32 @@ from roadgrain.functions.schema import (
 )
 from roadgrain.operators.aggregates import PEOPLE_COUNTS, VEHICLE_COUNTS
 
-# Keys salted at most, items a task's sketch holds (a few kilobytes) and rows that make a key hot.
-HOT_KEYS = 64
-SKETCH_ITEMS = 1024
+# Rows that make a key hot, keys that are salted at most, and parts that rows without a key go to.
 HOT_ROWS = 1_000_000
+MOST_HOT = 100_000
+NULL_PARTS = 1_024
 
 
-def _key_text(on: Sequence[str]) -> Column:
-    """One unambiguous text per key; NULL when any part is NULL."""
-    return F.concat(*[F.concat(F.length(k), F.lit(":"), F.col(k)) for k in on])
+def hot_keys(df: DataFrame, on: Sequence[str], min_rows: int) -> DataFrame:
+    """Keys with more than ``min_rows`` rows and in how many parts to deal them (``on``, ``__parts``).
 
+    Counted exactly, with map-side partial counts. There are as many as rows / ``min_rows`` at most;
+    of more than ``MOST_HOT`` the largest are taken, so that the list can be broadcast.
+    """
+    counts = present(df.select(*on), *on).groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
+    hot = counts.where(F.col("__n") > min_rows).orderBy(F.desc("__n"), *on).limit(MOST_HOT)
+    return hot.select(*on, F.ceil(F.col("__n") / min_rows).cast("int").alias("__parts"))
 
-def hot_keys(df: DataFrame, on: Sequence[str], min_rows: int) -> Column:
-    """Array of at most ``HOT_KEYS`` keys with about ``min_rows`` rows or more.
 
-    One pass over the key columns; a frequent-items sketch is merged from each task, so that
-    next to nothing is shuffled. It only steers salting: a key missed or added changes no result.
-    """
-    sketch = F.expr(f"approx_top_k(__k, {HOT_KEYS}, {SKETCH_ITEMS})")
-    found = df.select(_key_text(on).alias("__k")).where("__k is not null").agg(sketch.alias("__t"))
-    hot = F.filter("__t", lambda x: x["count"] >= min_rows)
-    return found.select(
-        F.coalesce(F.transform(hot, lambda x: x["item"]), F.array().cast("array<string>"))
-    ).scalar()
+def _with_parts(df: DataFrame, hot: DataFrame, on: Sequence[str], name: str) -> DataFrame:
+    """Rows with the parts of their key: NULL for a key that is not hot."""
+    return df.join(F.broadcast(hot.withColumnRenamed("__parts", name)), list(on), "left")
+
+
+def _deal(df: DataFrame, parts: Column, columns: Sequence[str]) -> Column:
+    """A part for each row, the same when a lost task is run again: by the row's values and its task."""
+    plain = [c for c in columns if not isinstance(df.schema[c].dataType, (T.MapType, T.VariantType))]
+    return F.pmod(F.xxhash64(F.spark_partition_id(), *plain), parts).cast("int")
 
 
 def join_hot(
@@ -56,50 +60,41 @@ def join_hot(
     keys_from: DataFrame | None = None,
     how: str = "left",
 ) -> DataFrame:
-    """``left.join(right, on, how)`` in which hot and NULL keys are spread over all tasks.
+    """``left.join(right, on, how)`` in which hot and NULL keys are spread over many tasks.
 
     ``how`` is ``left`` or ``inner``.
 
-    A key hot on the left is dealt out over as many salts as there are shuffle partitions and its
-    right rows are repeated; a key hot on the right is treated the other way round. A NULL key
-    matches nothing, so its rows go anywhere. ``right_unique`` promises one right row per key and
-    saves the look for hot ones. ``keys_from`` is a cheaper frame than ``left`` to find its hot
-    keys in, say the table that ``left`` was joined from.
-
-    Salts come from the partition number, which a re-run of a lost task repeats.
+    A key with more than ``min_rows`` rows on the left is dealt out in parts of about that many, and
+    its right rows are repeated once per part; a key hot on the right is treated the other way
+    round. A NULL key matches nothing, so its rows go anywhere. ``right_unique`` promises one right
+    row per key and saves the count of that side. ``keys_from`` is a cheaper frame than ``left`` to
+    count its keys in, say the table that ``left`` was joined from.
     """
-    salts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = F.pmod(F.spark_partition_id(), F.lit(salts))
-    every = F.sequence(F.lit(0), F.lit(salts - 1))
     one = F.array(F.lit(0))
-    key = _key_text(on)
-    hot_left = F.array_contains(hot_keys(left if keys_from is None else keys_from, on, min_rows), key)
+    every = lambda parts: F.coalesce(F.sequence(F.lit(0), F.col(parts) - 1), one)
+    missing = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in on])
     sides = ["__salt_l"] if right_unique else ["__salt_l", "__salt_r"]
 
-    # NULL keys make ``hot_left`` NULL: they are spread as well.
-    dealt = left.withColumn("__salt_l", F.when(~hot_left, 0).otherwise(spread))
+    hot_left = hot_keys(left if keys_from is None else keys_from, on, min_rows)
+    dealt = _with_parts(left, hot_left, on, "__l")
+    spread = F.when(missing, F.lit(NULL_PARTS)).otherwise(F.coalesce("__l", F.lit(1)))
+    dealt = dealt.withColumn("__salt_l", _deal(dealt, spread, left.columns))
     # Rows with a NULL key part match nothing.
-    known = present(right, *on)
-    copied = known.withColumn("__salt_l", F.explode(F.when(hot_left, every).otherwise(one)))
+    copied = _with_parts(present(right, *on), hot_left, on, "__l").withColumn("__salt_l", F.explode(every("__l")))
+    dealt, copied = dealt.drop("__l"), copied.drop("__l")
     if right_unique:
         return dealt.join(copied, [*on, *sides], how).drop(*sides)
 
-    hot_right = F.coalesce(
-        F.array_contains(hot_keys(right, on, min_rows), key), F.lit(False)
-    )
-    dealt = dealt.withColumn("__copied", hot_right).withColumn(
-        "__salt_r", F.explode(F.when(F.col("__copied"), every).otherwise(one))
-    )
-    copied = copied.withColumn("__salt_r", F.when(hot_right, spread).otherwise(0)).withColumn(
-        "__hit", F.lit(True)
-    )
-    # A copied left row has a partner in some salt, as its key was seen on the right; its copies
-    # without one are not rows of the result.
-    return (
-        dealt.join(copied, [*on, *sides], how)
-        .where(~F.col("__copied") | F.col("__hit").isNotNull())
-        .drop(*sides, "__copied", "__hit")
-    )
+    hot_right = hot_keys(right, on, min_rows)
+    dealt = _with_parts(dealt, hot_right, on, "__r").withColumn("__copied", F.col("__r").isNotNull())
+    dealt = dealt.withColumn("__salt_r", F.explode(every("__r"))).drop("__r")
+    copied = _with_parts(copied, hot_right, on, "__r")
+    copied = copied.withColumn("__salt_r", _deal(copied, F.coalesce("__r", F.lit(1)), right.columns))
+    copied = copied.drop("__r").withColumn("__hit", F.lit(True))
+    joined = dealt.join(copied, [*on, *sides], how)
+    # A copied left row has a partner in some part, as its key was counted on the right; a copy
+    # without one is no row of the result, unless its key is without any partner there.
+    return joined.where(~F.col("__copied") | F.col("__hit").isNotNull()).drop(*sides, "__copied", "__hit")
 
 
 def child_counts(people: DataFrame | None, vehicles: DataFrame | None, key: str) -> DataFrame:

@@ -13,13 +13,7 @@ from roadgrain.operators.aggregates import cause_impact, group_mode, rank_causes
 from roadgrain.operators.joins import join_hot
 from roadgrain.operators.windows import capped
 
-# Most points per layer, and colours.
-HEAT_CAP = 50_000
-MARKER_CAP = 3_000
-FATAL_CAP = 5_000
-CIRCLE_CAP = 2_000
-AGE_CAP = 3_000
-SURFACE_CAP = 40_000
+# Colours.
 FATAL_CELL, OTHER_CELL = "#d73027", "#1a9850"
 FATAL_DOT, FATAL_CIRCLE = "#000", "#000000"
 CAUSE_COLORS = ("#d7191c", "#fdae61", "#2c7bb6", "#abd9e9", "#1a9641")
@@ -42,14 +36,14 @@ def _point() -> list[Column]:
     return [F.col("LAT").alias("lat"), F.col("LON").alias("lon")]
 
 
-def heat_points(df: DataFrame, key: str, n: int = HEAT_CAP, seed: int = 0) -> DataFrame:
-    """A random sample of ``n`` located crashes."""
+def heat_points(df: DataFrame, key: str, n: int | None = None, seed: int = 0) -> DataFrame:
+    """A random sample of ``n`` located crashes, or all of them."""
     located = present(df, "LAT", "LON")
     return capped(located, n, [key, "LAT", "LON"], seed=seed).select(key, *_point())
 
 
-def marker_points(df: DataFrame, key: str, n: int = MARKER_CAP) -> DataFrame:
-    """``n`` located and dated crashes with the popup ``id | datetime``."""
+def marker_points(df: DataFrame, key: str, n: int | None = None) -> DataFrame:
+    """``n`` (or all) located and dated crashes with the popup ``id | datetime``."""
     columns = ["LAT", "LON", key, "CRASH_DATETIME"]
     picked = capped(present(df, *columns), n, columns)
     return picked.select(*_point(), F.concat_ws(" | ", _text(key), _text("CRASH_DATETIME")).alias("popup"))
@@ -74,8 +68,8 @@ def hotspot_layer(cells: DataFrame) -> DataFrame:
     )
 
 
-def period_heat(df: DataFrame, key: str, n: int = HEAT_CAP) -> DataFrame:
-    """Up to ``n`` points each for day and night; one set when the period is not known."""
+def period_heat(df: DataFrame, key: str, n: int | None = None) -> DataFrame:
+    """Up to ``n`` (or all) points each for day and night; one set when the period is not known."""
     located = present(df, "LAT", "LON")
     if "period" not in located.columns:
         located = located.withColumn("period", F.lit("ALL"))
@@ -83,15 +77,13 @@ def period_heat(df: DataFrame, key: str, n: int = HEAT_CAP) -> DataFrame:
     return picked.select(F.col("period").alias("layer"), key, *_point())
 
 
-def fatal_points(df: DataFrame, key: str, n: int = FATAL_CAP) -> DataFrame:
-    """Up to ``n`` fatal crashes with date and cause."""
-    columns = [key, "LAT", "LON", "CRASH_DATETIME", "PRIM_CONTRIBUTORY_CAUSE"]
+def fatal_points(df: DataFrame, key: str, n: int | None = None) -> DataFrame:
+    """Up to ``n`` (or all) fatal crashes; the popup has date and cause where the table has them."""
+    told = {"CRASH_DATETIME": "", "PRIM_CONTRIBUTORY_CAUSE": "Cause: "}
+    told = {c: label for c, label in told.items() if c in df.columns}
     fatal = present(df.where("is_fatal"), "LAT", "LON")
-    popup = F.concat(
-        F.lit("Fatal crash | "), _text("CRASH_DATETIME"),
-        F.lit(" | Cause: "), _text("PRIM_CONTRIBUTORY_CAUSE"),
-    )
-    return capped(fatal, n, columns).select(
+    popup = F.concat_ws(" | ", F.lit("Fatal crash"), *[F.concat(F.lit(label), _text(c)) for c, label in told.items()])
+    return capped(fatal, n, [key, "LAT", "LON", *told]).select(
         F.lit("Fatalities").alias("layer"),
         *_point(),
         F.lit(4).alias("radius"),
@@ -104,14 +96,14 @@ def top_cause_layers(
     df: DataFrame,
     key: str,
     k: int = 5,
-    heat_cap: int = HEAT_CAP,
-    circle_cap: int = CIRCLE_CAP,
+    heat_cap: int | None = None,
+    circle_cap: int | None = None,
     cause: str = "PRIM_CONTRIBUTORY_CAUSE",
 ) -> DataFrame:
     """Heat points and severity circles for the ``k`` causes with the highest impact.
 
     A missing cause takes a place among the ``k`` but gets no layer. Circles are the worst
-    crashes by fatal, severe and total impact.
+    crashes by fatal, severe and total impact; ``heat_cap`` and ``circle_cap`` bound each layer.
     """
     ranks = Window.orderBy(
         *[F.desc_nulls_last(c) for c in ("total_impact", "fatalities", "crashes")],
@@ -146,8 +138,8 @@ def top_cause_layers(
     return heat.unionByName(circles)
 
 
-def fatal_by_age_layers(groups: DataFrame, n: int = AGE_CAP) -> DataFrame:
-    """Up to ``n`` fatal driver points per age label, from rows counted in ``fatal_drivers``."""
+def fatal_by_age_layers(groups: DataFrame, n: int | None = None) -> DataFrame:
+    """Up to ``n`` (or all) fatal driver points per age label, from rows counted in ``fatal_drivers``."""
     colors = F.create_map(*[F.lit(x) for pair in AGE_COLORS.items() for x in pair])
     rows = groups.where((F.col("fatal_drivers") > 0) & F.col("age_bin").isin(*AGE_LABELS))
     picked = capped(
@@ -166,8 +158,8 @@ def fatal_by_age_layers(groups: DataFrame, n: int = AGE_CAP) -> DataFrame:
     )
 
 
-def fatal_by_surface_layers(groups: DataFrame, top: DataFrame, n: int = SURFACE_CAP) -> DataFrame:
-    """Up to ``n`` fatal driver points for each surface listed in ``top``, a short top-k list."""
+def fatal_by_surface_layers(groups: DataFrame, top: DataFrame, n: int | None = None) -> DataFrame:
+    """Up to ``n`` (or all) fatal driver points for each surface listed in ``top``, a short top-k list."""
     rows = present(groups.where("fatal_drivers > 0"), "LAT", "LON")
     rows = rows.join(F.broadcast(top.select("surface")), "surface")
     picked = capped(rows, n, ["LAT", "LON"], "surface", weight="fatal_drivers")

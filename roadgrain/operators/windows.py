@@ -22,58 +22,89 @@ def rolling_mean(series: DataFrame, order: str, value: str, rows: int, name: str
 
 def capped(
     df: DataFrame,
-    n: int,
+    n: int | None,
     columns: Sequence[str],
     layer: str | None = None,
     first: Sequence[Column] = (),
     weight: str | None = None,
     seed: int = 0,
-    digits: int = 4,
+    digits: int = 3,
 ) -> DataFrame:
     """Exactly the first ``n`` rows per ``layer`` (fewer if it has fewer); the same on every run.
 
-    Rows are ordered by the ``first`` numbers, smallest first, then by a hash of ``columns``, so
-    that without ``first`` this is a random sample without replacement. ``layer`` has few values
-    (a fixed list or a top-k list). With ``weight``, a row stands for that many equal rows.
+    ``n=None`` keeps all rows. Rows are ordered by the ``first`` numbers, smallest first, then by a
+    hash of ``columns``, so that without ``first`` this is a random sample without replacement.
+    ``layer`` has few values (a fixed list or a top-k list); NULL is one of them. With ``weight``, a
+    row stands for that many equal rows.
 
-    Rows are never sorted as a whole: a histogram over ``first`` and the leading ``digits`` hex
-    digits of the hash gives the cut per layer, one row each. A second pass keeps the rows up to
-    the cut, which are about ``n``, counts equal ones together and trims the last bucket.
+    Rows are never sorted as a whole. The cut is found level by level: by ``first`` alone, then by
+    the leading ``digits`` hex digits of the hash among the rows that tie there, then by the next
+    ``digits`` among those. So a histogram has ``16 ** digits`` rows per layer at most, and the last
+    pass, which counts equal rows together and trims, sees ``n`` rows and one bucket of the
+    ``16 ** (2 * digits)``.
     """
     by = [layer] if layer else []
+    rest = [c for c in columns if c not in by]
     text = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
     keys = [f"__first{i}" for i in range(len(first))]
     hashed = df.select(
         *by,
-        *[c for c in columns if c not in by],
+        *rest,
         *[f.alias(k) for f, k in zip(first, keys, strict=True)],
         (F.lit(1) if weight is None else F.col(weight)).cast("long").alias("__w"),
         F.md5(F.concat_ws("|", *text, F.lit(str(seed)))).alias("__h"),
     )
+    if n is None:
+        copies = F.sequence(F.lit(1).cast("long"), "__w")
+        kept = hashed.where("__w > 0")
+        return kept.withColumn("__copy", F.explode(copies)).select(*by, *rest) if weight else kept.select(*by, *rest)
     hashed = computed_once(hashed)
-    place = F.struct(*keys, F.substring("__h", 1, digits).alias("__bucket"))
+    parts = [F.substring("__h", 1 + i * digits, digits) for i in range(2)]
+    places = [F.struct(*keys)] * bool(keys) + parts
+    names = [f"__p{i}" for i in range(len(places))]
+    placed = hashed.withColumns(dict(zip(names, places, strict=True)))
 
+    cuts, reached = None, []
+    for name in names:
+        # One row per layer: the place in which the last wanted row lies, level by level.
+        ties = placed if cuts is None else _with_cuts(placed, cuts, by, reached)
+        for p, c in zip(names, reached, strict=False):
+            ties = ties.where(F.col(p) == F.col(c))
+        cuts = _cut(ties, by, reached, name, n if cuts is None else None)
+        reached = [*reached, f"__c{len(reached)}"]
+    kept = _with_cuts(placed, cuts, by, reached).where(F.struct(*names) <= F.struct(*reached))
+
+    counted = kept.groupBy(*by, *keys, "__h", *rest).agg(F.sum("__w").alias("__w"))
     window = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    before = window.orderBy("__place").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = hashed.groupBy(*by, place.alias("__place")).agg(F.sum("__w").alias("__n"))
-    cut = (
-        buckets.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-        .where(F.col("__before") < n)
-        .groupBy(*by)
-        .agg(F.max("__place").alias("__cut"))
-    )
-    if by:
-        # One row per layer.
-        near = hashed.join(F.broadcast(cut), by).where(place <= F.col("__cut"))
-    else:
-        near = hashed.where(place <= cut.scalar())
-
-    equal = [*by, *keys, "__h", *[c for c in columns if c not in by]]
-    counted = near.groupBy(*equal).agg(F.sum("__w").alias("__w"))
-    ahead = window.orderBy(*keys, "__h", *columns).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = window.orderBy(*keys, "__h", *rest).rowsBetween(Window.unboundedPreceding, -1)
     taken = counted.withColumn("__left", n - F.coalesce(F.sum("__w").over(ahead), F.lit(0)))
-    taken = taken.where(F.col("__left") > 0)
+    taken = taken.where((F.col("__left") > 0) & (F.col("__w") > 0))
     copies = F.sequence(F.lit(1).cast("long"), F.least("__w", "__left"))
-    return taken.withColumn("__copy", F.explode(copies)).select(
-        *by, *[c for c in columns if c not in by]
-    )
+    return taken.withColumn("__copy", F.explode(copies)).select(*by, *rest)
+
+
+def _cut(ties: DataFrame, by: Sequence[str], reached: Sequence[str], place: str, n: int | None) -> DataFrame:
+    """Per layer the cuts of the levels above, the last place of this level that the wanted rows reach,
+    and ``__want``, the rows wanted from that place on.
+
+    ``n`` rows are wanted of each layer, or those that the column ``__want`` says.
+    """
+    want = F.lit(n).cast("long") if n is not None else F.first("__want")
+    buckets = ties.groupBy(*by, *reached, place).agg(F.sum("__w").alias("__n"), want.alias("__want"))
+    window = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    before = F.sum("__n").over(window.orderBy(place).rowsBetween(Window.unboundedPreceding, -1))
+    counted = buckets.withColumn("__before", F.coalesce(before, F.lit(0))).where("__before < __want")
+    last = F.max(F.struct(F.col(place).alias("p"), (F.col("__want") - F.col("__before")).alias("w")))
+    found = counted.groupBy(*by, *reached).agg(last.alias("__last"))
+    named = [F.col("__last.p").alias(f"__c{len(reached)}"), F.col("__last.w").alias("__want")]
+    return found.select(*by, *reached, *named)
+
+
+def _with_cuts(rows: DataFrame, cuts: DataFrame, by: Sequence[str], reached: Sequence[str]) -> DataFrame:
+    """Rows with the cuts of their layer; one row per layer is broadcast, and NULL is a layer."""
+    if not by:
+        one = cuts.select(F.struct(*reached, "__want")).scalar()
+        rows = rows.withColumn("__cut", one)
+        return rows.select(*[c for c in rows.columns if c != "__cut"], *[F.col(f"__cut.{c}").alias(c) for c in (*reached, "__want")])
+    named = F.broadcast(cuts.withColumnRenamed(by[0], "__layer"))
+    return rows.join(named, F.col(by[0]).eqNullSafe(F.col("__layer"))).drop("__layer")

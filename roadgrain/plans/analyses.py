@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import warnings
+from collections.abc import Callable, Sequence
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -21,18 +22,30 @@ from roadgrain.sources.tables import Tables
 
 DRIVERS = ("drivers", "fatal_drivers")
 CAUSE = "PRIM_CONTRIBUTORY_CAUSE"
-# Vehicle types taken as heavy in the test tables, which hold no real ones.
-HEAVY_TYPES = ("Brand#11", "Brand#22", "Brand#33")
+FIXED_ZONES = ("UTC", "Etc/UTC", "GMT", "Etc/GMT", "Z", "+00:00", "Universal", "Etc/Universal")
+# Most points per layer.
+HEAT_CAP = 50_000
+MARKER_CAP = 3_000
+FATAL_CAP = 5_000
+CIRCLE_CAP = 2_000
+AGE_CAP = 3_000
+SURFACE_CAP = 40_000
 
 
 class CrashData:
     """The crash tables and the frames derived from them; ``clean`` may come ready-made.
 
     Headers are put in upper case, and the crash key is named ``CRASH_RECORD_ID`` in each table
-    that has it, whatever its name in the crashes.
+    that has it, whatever its name in the crashes. ``heavy_types`` names the vehicle types of
+    ``fatal_vehicle_type_layer``. Times of day are read in the session's time zone; one with clock
+    changes moves the hours that it skips, so anything but UTC is warned of.
     """
 
-    def __init__(self, tables: Tables, clean: DataFrame | None = None):
+    def __init__(self, tables: Tables, clean: DataFrame | None = None, heavy_types: Sequence[str] = ()):
+        zone = tables.crashes.sparkSession.conf.get("spark.sql.session.timeZone")
+        if zone not in FIXED_ZONES:
+            warnings.warn(f"session time zone {zone} may have clock changes; use UTC", stacklevel=2)
+        self.heavy_types = tuple(heavy_types)
         upper = [upper_columns(df) for df in tables]
         key = crash_key(upper[0])
         named = upper if key == KEY else [df.withColumnRenamed(key, KEY) for df in upper]
@@ -157,7 +170,7 @@ def injury_rate_by_weather(d: CrashData) -> DataFrame:
 
 @analysis
 def heat_sample(d: CrashData) -> DataFrame:
-    return layers.heat_points(d.clean, KEY)
+    return layers.heat_points(d.clean, KEY, HEAT_CAP)
 
 
 @analysis
@@ -167,7 +180,7 @@ def median_center(d: CrashData) -> DataFrame:
 
 @analysis
 def marker_points(d: CrashData) -> DataFrame:
-    return layers.marker_points(d.clean, KEY)
+    return layers.marker_points(d.clean, KEY, MARKER_CAP)
 
 
 # --- Hotspots and impact --------------------------------------------------------------------
@@ -190,22 +203,23 @@ def cell_top_cause(d: CrashData) -> DataFrame:
 
 @analysis
 def hotspots_top200(d: CrashData) -> DataFrame:
-    return agg.rank_cells(agg.hotspot_cells(d.located, CAUSE), 200)
+    cause = CAUSE if CAUSE in d.located.columns else None
+    return agg.rank_cells(agg.hotspot_cells(d.located, cause), 200)
 
 
 @analysis
 def hotspot_layer(d: CrashData) -> DataFrame:
-    return layers.hotspot_layer(agg.rank_cells(agg.hotspot_cells(d.located, CAUSE), 200))
+    return layers.hotspot_layer(hotspots_top200(d))
 
 
 @analysis
 def period_heat(d: CrashData) -> DataFrame:
-    return layers.period_heat(d.located, KEY)
+    return layers.period_heat(d.located, KEY, HEAT_CAP)
 
 
 @analysis
 def fatal_points(d: CrashData) -> DataFrame:
-    return layers.fatal_points(d.located, KEY)
+    return layers.fatal_points(d.located, KEY, FATAL_CAP)
 
 
 @analysis
@@ -226,7 +240,7 @@ def impact_scores(d: CrashData) -> DataFrame:
 
 @analysis
 def top_cause_layers(d: CrashData) -> DataFrame:
-    return layers.top_cause_layers(d.impact, KEY)
+    return layers.top_cause_layers(d.impact, KEY, heat_cap=HEAT_CAP, circle_cap=CIRCLE_CAP)
 
 
 @analysis
@@ -269,8 +283,8 @@ def fatal_rate_by_surface(d: CrashData) -> DataFrame:
 
 @analysis
 def approx_center(d: CrashData) -> DataFrame:
-    points = drivers.driver_crashes(d.tables.crashes, d.tables.fatalities).where("fatal_outcome")
-    return agg.approx_center(clean.present(points, "LAT", "LON"))
+    points = drivers.fatal_driver_points(d.tables, (), ["LAT", "LON"])
+    return agg.approx_center(points, weight="fatal_drivers")
 
 
 @analysis
@@ -282,7 +296,7 @@ def fatal_driver_center(d: CrashData) -> DataFrame:
 @analysis
 def fatal_by_age_layers(d: CrashData) -> DataFrame:
     dims = ["LAT", "LON", "CRASH_DATETIME"]
-    return layers.fatal_by_age_layers(drivers.fatal_driver_points(d.tables, ["age_bin"], dims))
+    return layers.fatal_by_age_layers(drivers.fatal_driver_points(d.tables, ["age_bin"], dims), AGE_CAP)
 
 
 @analysis
@@ -290,7 +304,7 @@ def fatal_by_surface_layers(d: CrashData) -> DataFrame:
     groups = drivers.counted_drivers(d.tables, (), ["surface"])
     top = agg.group_fatal_rate(groups, "surface", DRIVERS, k=5)
     points = drivers.fatal_driver_points(d.tables, (), ["surface", "LAT", "LON"])
-    return layers.fatal_by_surface_layers(points, top)
+    return layers.fatal_by_surface_layers(points, top, SURFACE_CAP)
 
 
 @analysis
@@ -341,7 +355,7 @@ def fatal_rate_by_vehicle_mode(d: CrashData) -> DataFrame:
 @analysis
 def fatal_vehicle_type_layer(d: CrashData) -> DataFrame:
     return layers.fatal_vehicle_type_layer(
-        d.flagged, d.tables.vehicles, KEY, crash.vehicle_type_column(d.tables.vehicles), HEAVY_TYPES
+        d.flagged, d.tables.vehicles, KEY, crash.vehicle_type_column(d.tables.vehicles), d.heavy_types
     )
 
 

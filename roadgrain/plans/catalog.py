@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from roadgrain.functions import features
 from roadgrain.functions.schema import severity_columns
 from roadgrain.plans import crash, street
 from roadgrain.plans.analyses import ANALYSES, Analysis, CrashData
+from roadgrain.plans.report import write_report
 from roadgrain.sources import sinks
 from roadgrain.sources.tables import Tables, load_tables
 from roadgrain.sources.views import crash_tables, street_reports
@@ -18,13 +20,42 @@ from roadgrain.sources.views import crash_tables, street_reports
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+# Vehicle types taken as heavy in the test tables, which hold no real ones.
+HEAVY_TYPES = ("Brand#11", "Brand#22", "Brand#33")
+
+
 def _over_test_tables(fn: Analysis) -> Query:
-    return lambda spark, sf_dir: fn(CrashData(crash_tables(spark, sf_dir)))
+    return lambda spark, sf_dir: fn(CrashData(crash_tables(spark, sf_dir), heavy_types=HEAVY_TYPES))
 
 
 def queries() -> dict[str, Query]:
     found = {name: _over_test_tables(fn) for name, fn in ANALYSES.items()}
-    return found | {"schema_tolerant_load": schema_tolerant_load, "csv_tables": csv_tables}
+    more = (schema_tolerant_load, csv_tables, hotspots_without_cause, fatal_points_without_cause, report_outputs)
+    return found | {fn.__name__: fn for fn in more}
+
+
+def _without(spark: SparkSession, sf_dir: str, *columns: str) -> CrashData:
+    tables = crash_tables(spark, sf_dir)
+    return CrashData(tables._replace(crashes=tables.crashes.drop(*columns)))
+
+
+def hotspots_without_cause(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The worst cells of a table that has no cause column."""
+    return ANALYSES["hotspots_top200"](_without(spark, sf_dir, "PRIM_CONTRIBUTORY_CAUSE"))
+
+
+def fatal_points_without_cause(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fatal points of a table that has neither date nor cause."""
+    return ANALYSES["fatal_points"](_without(spark, sf_dir, "PRIM_CONTRIBUTORY_CAUSE", "CRASH_DATE"))
+
+
+def report_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chart series and a map layer as the report writes them, read back: name, rows."""
+    names = ("daily_counts", "hotspot_layer")
+    out = f"{sinks.scratch_dir(spark)}/report-{uuid.uuid4().hex}"
+    paths = write_report(crash_tables(spark, sf_dir), out, names)
+    parts = [spark.read.parquet(paths[n]).agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("rows")) for n in names]
+    return parts[0].unionByName(parts[1])
 
 
 def schema_tolerant_load(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +64,7 @@ def schema_tolerant_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def csv_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four tables written as CSV, read back as text and counted by severity columns."""
-    out = f"{sinks.scratch_dir(spark)}/csv-{spark.sparkContext.applicationId}-{sf_dir.strip('/').replace('/', '-')}"
+    out = f"{sinks.scratch_dir(spark)}/csv-{uuid.uuid4().hex}"
     tables = crash_tables(spark, sf_dir)
     paths = {name: f"{out}/{name}" for name in Tables._fields}
     for name, df in tables._asdict().items():

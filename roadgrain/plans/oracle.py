@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 _CRASHES = """crashes AS (SELECT
   cast(o_orderkey as varchar) AS CRASH_RECORD_ID,
   case when o_orderkey % 97 = 0 then 'not a date' when o_orderkey % 89 = 0 then null
@@ -25,7 +27,8 @@ _CRASHES = """crashes AS (SELECT
     AS INJURIES_FATAL,
   case when o_orderkey % 17 = 0 then '1' else '0' end AS INJURIES_INCAPACITATING,
   case when o_orderkey % 5 = 0 then '2' else '0' end AS INJURIES_NON_INCAPACITATING,
-  case when o_orderkey % 7 = 0 then '1' else '0' end AS INJURIES_POSSIBLE
+  case when o_orderkey % 107 = 0 then 'nan' when o_orderkey % 109 = 0 then 'Infinity'
+    when o_orderkey % 7 = 0 then '1' else '0' end AS INJURIES_POSSIBLE
   FROM orders)"""
 
 _PEOPLE = """people AS (SELECT
@@ -36,7 +39,8 @@ _PEOPLE = """people AS (SELECT
     AS VEHICLE_ID,
   case l_linenumber % 5 when 0 then 'PASSENGER' when 1 then 'DRIVER' when 2 then ' driver '
     when 3 then 'PEDESTRIAN' else 'BICYCLE' end AS PERSON_TYPE,
-  case when l_partkey % 19 = 0 then null else cast(l_partkey % 95 as varchar) end AS AGE,
+  case when l_partkey % 19 = 0 then null when l_partkey % 37 = 0 then 'nan'
+    else cast(l_partkey % 95 as varchar) end AS AGE,
   case when l_suppkey % 23 = 0 then null else concat(' st', cast(l_suppkey % 13 as varchar)) end
     AS DRIVER_LICENSE_STATE
   FROM lineitem)"""
@@ -145,7 +149,10 @@ def _hash(*columns: str) -> str:
 
 
 def _with(ctes: str, select: str) -> str:
-    return f"WITH {ctes}\n{select}"
+    """The query; text is a number only if it is a finite one."""
+    text = f"WITH {ctes}\n{select}"
+    number = r"try_cast\((\w+(?:\.\w+)?) as double\)"
+    return re.sub(number, r"(case when isfinite(\g<0>) then \g<0> end)", text)
 
 
 def _topk_rate(ctes: str, source: str, column: str, k: int, fatal: str) -> str:
@@ -369,9 +376,9 @@ FROM (VALUES {_values(_AGES)}) a(age_bin) LEFT JOIN driver_rows d USING (age_bin
     )
     sql["fatal_rate_by_surface"] = _with(_DRIVER, f"{_SURFACE_RATE} LIMIT 10")
     sql["approx_center"] = _with(
-        f"{_CRASHES},\n{_PARSED}",
-        """SELECT quantile_disc(lat0, 0.5) AS lat, quantile_disc(lon0, 0.5) AS lon FROM parsed
-WHERE try_cast(INJURIES_FATAL as double) > 0 AND lat0 IS NOT NULL AND lon0 IS NOT NULL""",
+        _DRIVER,
+        """SELECT quantile_disc(LAT, 0.5) AS lat, quantile_disc(LON, 0.5) AS lon FROM driver_rows
+WHERE fatal_outcome AND LAT IS NOT NULL AND LON IS NOT NULL""",
     )
     sql["fatal_driver_center"] = _with(
         _DRIVER,
@@ -454,6 +461,22 @@ WHERE is_fatal AND VEHICLE_TYPE_MODE IN ('Brand#11', 'Brand#22', 'Brand#33')""",
         """SELECT CRASH_RECORD_ID, cast(CRASH_DATETIME as varchar) AS CRASH_DATETIME, HOUR,
   PRIM_CONTRIBUTORY_CAUSE
 FROM clean c ORDER BY c.CRASH_DATETIME ASC NULLS LAST, CRASH_RECORD_ID LIMIT 1000""",
+    )
+    sql["hotspots_without_cause"] = _with(
+        f"{_CRASH},\n{_CELLS}",
+        """SELECT *, '' AS top_cause FROM cells
+ORDER BY count DESC, fatal_count DESC, injury_rate DESC, lat_bin, lon_bin LIMIT 200""",
+    )
+    sql["fatal_points_without_cause"] = _with(
+        _CRASH,
+        f"""SELECT 'Fatalities' AS layer, LAT AS lat, LON AS lon, 4 AS radius, '#000' AS color,
+  'Fatal crash' AS popup
+FROM located WHERE is_fatal ORDER BY {heat} LIMIT 5000""",
+    )
+    sql["report_outputs"] = _with(
+        f"{_CRASH},\n{_CELLS}",
+        """SELECT 'daily_counts' AS name, count(DISTINCT cast(CRASH_DATETIME as date)) AS rows FROM clean
+UNION ALL SELECT 'hotspot_layer', count(*) FROM ranked""",
     )
     sql["schema_tolerant_load"] = """WITH street AS (SELECT cast(o_orderkey as varchar) AS id,
   case when o_orderkey % 83 = 0 then null else cast(o_orderdate as date) end AS CRASH_DATE,

@@ -12,10 +12,9 @@ from roadgrain.plans.analyses import ANALYSES, CrashData
 from roadgrain.sources.sinks import materialise, write_parquet
 from roadgrain.sources.tables import Tables
 
-# Analyses left out by default: those that list every crash, person or driver, and one whose list
-# of vehicle types is for the test tables.
-LEFT_OUT = (
-    "fatal_vehicle_type_layer",
+# Analyses that list every crash, person or driver; a caller who wants the charts and maps alone
+# passes the others as ``names``.
+ROW_LEVEL = (
     "crash_combined",
     "driver_features",
     "date_parts",
@@ -34,7 +33,7 @@ LEFT_OUT = (
 
 
 def write_report(tables: Tables, out_dir: str, names: Iterable[str] | None = None) -> dict[str, str]:
-    """Write the named analyses (by default the small ones) to ``out_dir``.
+    """Write the named analyses (by default all) to ``out_dir``.
 
     The text tables and the cleaned crashes are written as Parquet once, so that each analysis
     reads just its columns instead of parsing the text again. An analysis whose columns the
@@ -45,7 +44,7 @@ def write_report(tables: Tables, out_dir: str, names: Iterable[str] | None = Non
     clean = materialise(crash.clean_crashes(stored.crashes), f"{out_dir}/tables/clean_crashes")
     data = CrashData(stored, clean)
     paths = {}
-    for name in names or [n for n in ANALYSES if n not in LEFT_OUT]:
+    for name in names or ANALYSES:
         try:
             result = ANALYSES[name](data)
         except AnalysisException as missing:

@@ -19,9 +19,14 @@ class Tables(NamedTuple):
 
 
 def read_csv_strings(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """CSV with a header row, all columns text. Known ``columns`` save the header-reading job."""
+    """CSV with a header row, all columns text.
+
+    Known ``columns`` save the header-reading job. They must be the header's names in its order;
+    a file with another header raises when it is read, and is not relabelled.
+    """
     reader = spark.read.option("header", True)
     if columns is not None:
+        reader = reader.option("enforceSchema", False)
         reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
     return reader.csv(path)
 

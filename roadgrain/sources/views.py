@@ -48,7 +48,8 @@ def crashes_view(orders: DataFrame) -> DataFrame:
            else '0' end as INJURIES_FATAL""",
         "case when o_orderkey % 17 = 0 then '1' else '0' end as INJURIES_INCAPACITATING",
         "case when o_orderkey % 5 = 0 then '2' else '0' end as INJURIES_NON_INCAPACITATING",
-        "case when o_orderkey % 7 = 0 then '1' else '0' end as INJURIES_POSSIBLE",
+        """case when o_orderkey % 107 = 0 then 'nan' when o_orderkey % 109 = 0 then 'Infinity'
+           when o_orderkey % 7 = 0 then '1' else '0' end as INJURIES_POSSIBLE""",
     )
     return computed_once(view)
 
@@ -62,7 +63,8 @@ def people_view(lineitem: DataFrame) -> DataFrame:
            else cast(l_orderkey * 10 + l_linenumber as string) end as VEHICLE_ID""",
         """case l_linenumber % 5 when 0 then 'PASSENGER' when 1 then 'DRIVER'
            when 2 then ' driver ' when 3 then 'PEDESTRIAN' else 'BICYCLE' end as PERSON_TYPE""",
-        "case when l_partkey % 19 = 0 then null else cast(l_partkey % 95 as string) end as AGE",
+        """case when l_partkey % 19 = 0 then null when l_partkey % 37 = 0 then 'nan'
+           else cast(l_partkey % 95 as string) end as AGE""",
         """case when l_suppkey % 23 = 0 then null
            else concat(' st', cast(l_suppkey % 13 as string)) end as DRIVER_LICENSE_STATE""",
     )

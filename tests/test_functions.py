@@ -140,3 +140,18 @@ def test_impact_score(spark):
 def test_safe_rate(spark):
     df = spark.createDataFrame([(1, 4), (3, 0)], "a bigint, b bigint")
     assert [r[0] for r in df.select(features.safe_rate("a", "b")).collect()] == [0.25, 0.0]
+
+
+def test_hours_out_of_range_and_odd_halves(spark):
+    texts = ["13:00:00 PM", "13:00:00 AM", "99:10:10", "24:00:00", "23:59:59", "12:00:00 AM", "12:00:00 PM"]
+    assert evaluate(spark, texts, clean.hour_from_text("c")) == [13, 1, None, None, 23, 0, 12]
+
+
+def test_text_without_a_date_is_no_timestamp(spark):
+    texts = ["11:30:00", "T11:30", "2024-02-03 11:30:00", "2024-02-03", "2024", " 2024-02-03"]
+    got = evaluate(spark, texts, clean.parse_ts("c").cast("string"))
+    assert got[:2] == [None, None] and all(g is not None and g.startswith("2024-") for g in got[2:])
+
+
+def test_only_finite_text_is_a_number(spark):
+    assert evaluate(spark, ["1.5", "nan", "Infinity", "-Infinity", "x", None], clean.as_number("c")) == [1.5] + [None] * 5

@@ -11,6 +11,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from roadgrain.functions import features
 from roadgrain.operators import aggregates as agg
 from roadgrain.operators import joins, layers
 from roadgrain.operators.windows import capped, rolling_mean
@@ -52,9 +53,21 @@ def test_join_hot_with_unique_right_and_two_keys(spark):
 
 
 def test_hot_keys_are_found(spark):
-    df = spark.createDataFrame([("hot",)] * 50 + [(f"k{i}",) for i in range(50)], "k string")
-    hot = spark.range(1).select(joins.hot_keys(df, ["k"], 20).alias("h")).first().h
-    assert hot == ["3:hot"]
+    df = spark.createDataFrame([("hot",)] * 50 + [(f"k{i}",) for i in range(50)] + [(None,)] * 99, "k string")
+    assert rows(joins.hot_keys(df, ["k"], 20)) == [("hot", 3)]
+
+
+def test_hundreds_of_hot_keys_and_a_small_share_are_found(spark):
+    many = spark.range(300 * 5_000).select((F.col("id") % 300).cast("string").alias("k"))
+    found = joins.hot_keys(many, ["k"], 1_000)
+    assert found.count() == 300 and found.where("__parts = 5").count() == 300
+    n, share = 4_000_000, 1_300
+    one = spark.range(n).select(F.when(F.col("id") % share == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id"))).alias("k"))
+    assert rows(joins.hot_keys(one, ["k"], 1_000)) == [("hot", 4)]
+    right = spark.createDataFrame([("hot", 1)], "k string, n int")
+    got = joins.join_hot(one, right, ["k"], 1_000, right_unique=True, how="inner")
+    parts = got.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in parts) == -(-n // share)
 
 
 def test_summaries_and_attach(spark):
@@ -216,6 +229,15 @@ def test_exact_median_with_weights(spark):
     assert got.lon == pytest.approx(statistics.median([y for _, y, w in data for _ in range(w)]), abs=1e-12)
 
 
+def test_exact_median_over_a_wide_range(spark):
+    rng = random.Random(8)
+    data = [rng.choice((-1, 1)) * 10 ** rng.uniform(-3, 7) for _ in range(2_001)]
+    df = spark.createDataFrame([(v, 1e7 * v) for v in data], "LAT double, LON double")
+    for bins in (4, 50_000):
+        got = {r["axis"]: r["median"] for r in agg.exact_median(df, ["LAT", "LON"], bins).collect()}
+        assert got == {"LAT": statistics.median(data), "LON": statistics.median([1e7 * v for v in data])}
+
+
 def test_exact_median_of_nothing(spark):
     df = spark.createDataFrame([(None, None)], "LAT double, LON double")
     assert tuple(agg.median_center(df).first()) == (None, None)
@@ -227,6 +249,36 @@ def test_approx_center_rank_error(spark):
     assert abs(got.lat - 5000) <= 100 and got.lon == 1.0
 
 
+def test_approx_center_counts_drivers(spark):
+    """A fatal crash with three drivers counts three times, one without drivers not at all."""
+    crashes = [("a", "41.7", "-87.7", "1"), ("b", "41.8", "-87.8", "1"), ("c", "41.9", "-87.9", "1"), ("d", "42.0", "-87.5", "0")]
+    people = [(f"p{i}", "a", "DRIVER") for i in range(3)] + [("p3", "b", "DRIVER"), ("p4", "c", "PASSENGER"), ("p5", "d", "DRIVER")]
+    t = Tables(
+        spark.createDataFrame(crashes, f"{KEY} string, LATITUDE string, LONGITUDE string, INJURIES_FATAL string"),
+        spark.createDataFrame(people, f"PERSON_ID string, {KEY} string, PERSON_TYPE string"),
+        spark.createDataFrame([("a", "v", "x")], f"{KEY} string, VEHICLE_ID string, VEHICLE_TYPE string"),
+        spark.createDataFrame([("a",)], f"{KEY} string"),
+    )
+    points = drivers.fatal_driver_points(t, (), ["LAT", "LON"])
+    assert rows(points.select("LAT", "fatal_drivers")) == [(41.7, 3), (41.8, 1)]
+    assert tuple(agg.approx_center(points, weight="fatal_drivers").first()) == (41.7, -87.7)
+
+
+def test_numbers_must_be_finite(spark):
+    bad = ["nan", "NaN", "Infinity", "-inf", "x", None]
+    df = spark.createDataFrame([(b, "1") for b in bad], "n string, m string")
+    got = df.select(
+        features.injury_any(["n"]).alias("any"), features.fatal_flag("n").alias("fatal"), features.age_bin("n").alias("age")
+    ).distinct()
+    assert rows(got) == [(None, False, "UNKNOWN")]
+    people = df.select(F.lit("k").alias(KEY), F.lit("p").alias("PERSON_ID"), F.col("n").alias("PEDPED_FLAG"))
+    assert rows(agg.people_summary(people.unionByName(people.withColumn("PEDPED_FLAG", F.lit("2"))), KEY)) == [("k", 12, 12, None)]
+    causes = [("A", "nan", "1"), ("A", "2", "0"), ("B", "1", "0")]
+    df = spark.createDataFrame(causes, "PRIM_CONTRIBUTORY_CAUSE string, INJURIES_FATAL string, INJURIES_POSSIBLE string")
+    impact = agg.cause_impact(features.with_impact(df).withColumn("LAT", F.lit(1.0)))
+    assert rows(agg.rank_causes(impact, 1).select("cause", "total_impact")) == [("A", 20.0)]
+
+
 def test_invariants(spark):
     t = driver_tables(spark)
     c = crash.clean_crashes(t.crashes)
@@ -282,6 +334,23 @@ def test_capped_without_layer_and_empty(spark):
     assert capped(df.where("id = 'none'"), 10, ["id"]).isEmpty()
 
 
+def test_capped_keeps_missing_layers_and_all_rows_without_a_cap(spark):
+    df = spark.createDataFrame([("a", 1), (None, 2), (None, 3), ("a", 4)], "l string, v int")
+    assert Counter(r[0] for r in capped(df, 1, ["v"], "l").collect()) == {"a": 1, None: 1}
+    assert {r[0] for r in capped(df, 5, ["v"], "l").collect()} == {"a", None}
+    assert capped(df, None, ["v"], "l").count() == 4 and capped(df, 0, ["v"]).isEmpty()
+    weighted = df.withColumn("w", F.col("v") - 1)
+    assert capped(weighted, None, ["v"], "l", weight="w").count() == 0 + 1 + 2 + 3
+
+
+@pytest.mark.parametrize("cap", [50_000, 5_000, 3_000, 40_000])
+def test_capped_past_each_cap(spark, cap):
+    df = spark.range(2 * cap + 7).select(F.lit("x").alias("l"), F.col("id").cast("string").alias("id"), (F.col("id") % 3).alias("v"))
+    got = capped(df, cap, ["id", "v"], "l", first=[-F.col("v")])
+    assert got.count() == got.distinct().count() == cap
+    assert got.where("v = 2").count() == min(cap, df.where("v = 2").count())
+
+
 # --- Layers ---------------------------------------------------------------------------------
 
 
@@ -309,6 +378,12 @@ def test_top_cause_layers_skip_the_missing_cause(spark):
     assert got.where("kind = 'heat'").count() == 3
 
 
+def test_fatal_points_tell_what_the_table_has(spark):
+    df = spark.createDataFrame([("1", 41.8, -87.6, True, "X")], f"{KEY} string, LAT double, LON double, is_fatal boolean, PRIM_CONTRIBUTORY_CAUSE string")
+    assert layers.fatal_points(df, KEY).first().popup == "Fatal crash | Cause: X"
+    assert layers.fatal_points(df.drop("PRIM_CONTRIBUTORY_CAUSE"), KEY).first().popup == "Fatal crash"
+
+
 def test_layers_keep_their_caps(spark):
     df = spark.range(1000).select(
         F.col("id").cast("string").alias(KEY),

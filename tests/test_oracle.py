@@ -8,11 +8,11 @@ from pathlib import Path
 import duckdb
 import pytest
 
-import __spark_entry__ as contract
+from roadgrain.plans import catalog, oracle
 
 SF_DIR = Path("/root/testdata/sf0.001")
-QUERIES = contract.queries()
-SQL = contract.oracle_sql()
+QUERIES = catalog.queries()
+SQL = oracle.oracle_sql()
 
 
 def _plain(value):

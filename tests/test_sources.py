@@ -56,3 +56,11 @@ def test_scratch_dir_refuses_a_machine_local_folder_on_a_cluster():
 
     with pytest.raises(ValueError):
         sinks.scratch_dir(Session())
+
+
+def test_known_columns_do_not_relabel_a_file(spark, tmp_path):
+    path = tmp_path / "crashes.csv"
+    path.write_text("crash_id,crash_date\n1,2024-01-01\n")
+    assert read_csv_strings(spark, str(path), ["crash_id", "crash_date"]).first().crash_date == "2024-01-01"
+    with pytest.raises(Exception, match="(?i)header"):
+        read_csv_strings(spark, str(path), ["crash_date", "crash_id"]).collect()
