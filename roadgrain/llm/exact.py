@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadgrain.llm.shared import SPACE_RUN, documents, stored, text_or_empty
+from roadgrain.llm.shared import SPACE_RUN, documents, free_name, stored, text_or_empty
 
 #: Bits of the key.
 KEY_BITS = 60
@@ -126,11 +126,15 @@ def keep_first(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     named = [F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")]
     gone = found.filter("not kept and not doc_id <=> keep_id").select(*named).distinct()
     repeated = found.filter("not kept and doc_id <=> keep_id").select(*named).distinct()
-    rows = df.withColumn("__text_sha", F.sha2(normalised(text_col).cast("binary"), 256))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text_sha") == F.col("__sha"))
-    rows = rows.join(gone, same, "left_anti")
-    once = rows.join(repeated, same, "left_semi").dropDuplicates([id_col, "__text_sha"])
-    return rows.join(repeated, same, "left_anti").unionByName(once).drop("__text_sha")
+    sha = free_name(df, "__text_sha")
+    rows = df.withColumn(sha, F.sha2(normalised(text_col).cast("binary"), 256))
+
+    def same(other: DataFrame) -> Column:
+        return rows[id_col].eqNullSafe(other["__id"]) & (rows[sha] == other["__sha"])
+
+    rows = rows.join(gone, same(gone), "left_anti")
+    once = rows.join(repeated, same(repeated), "left_semi").dropDuplicates([id_col, sha])
+    return rows.join(repeated, same(repeated), "left_anti").unionByName(once).drop(sha)
 
 
 SQL = r"""

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadgrain.llm.shared import Rows, documents, stored, text_or_empty, text_rows
+from roadgrain.llm.shared import Rows, documents, free_name, stored, text_or_empty, text_rows
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -248,11 +248,13 @@ def with_terms(
     generalise: float = GENERALISE,
     remove: float = REMOVE,
 ) -> DataFrame:
-    """All columns of ``df`` and ``__terms``, what discloses a protected value of the document."""
+    """All columns of ``df`` and last what discloses a protected value of the document."""
     near = stored(contexts(df, id_col, text_col), "contexts")
     found = disclosures(df, near, text_col, least_contexts=least_contexts, generalise=generalise, remove=remove)
     terms = stored(document_terms(near, found), "terms")
-    return df.join(terms, F.col(id_col).eqNullSafe(F.col("__doc")), "left").drop("__doc")
+    return df.join(terms, df[id_col].eqNullSafe(terms["__doc"]), "left").select(
+        *[df[c] for c in df.columns], terms["__terms"].alias(free_name(df, "__terms"))
+    )
 
 
 SPANS = pa.schema(
@@ -300,7 +302,7 @@ def remove_personal_data(df: DataFrame, *, id_col: str = "doc_id", text_col: str
     """The rows and columns of ``df`` with personal data taken out of the text; NULL texts stay NULL."""
     found = with_terms(df, id_col=id_col, text_col=text_col, **limits)
     clean = F.pandas_udf(sanitised, "string")
-    return found.withColumn(text_col, clean(F.col(text_col), F.col("__terms"))).select(*df.columns)
+    return found.withColumn(text_col, clean(F.col(text_col), F.col(found.columns[-1]))).select(*df.columns)
 
 
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

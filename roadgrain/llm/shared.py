@@ -49,10 +49,17 @@ def picked(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(df[id_col].cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the frame does not have."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
 def without(df: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of ``df`` that no (doc_id, text_hash) row of ``gone`` names."""
     named = gone.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    same = df[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(df[text_col].cast("string")) == F.col("__hash"))
+    same = df[id_col].eqNullSafe(named["__id"]) & (F.xxhash64(df[text_col].cast("string")) == named["__hash"])
     return df.join(named, same, "left_anti")
 
 

@@ -282,4 +282,4 @@ def count_tokens(shards: DataFrame, token: int) -> DataFrame:
 def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "shards")
     write_shards(documents(spark, sf_dir), path)
-    return read_documents(spark.read.parquet(path))
+    return read_documents(spark.read.schema(SHARDS).parquet(path))
