@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from roadgrain.llm.shared import documents, text_or_empty
 
-#: Sentences of public licences, by identifier.
+#: Sentences of public licences, by identifier, as ``SENTENCE_END`` cuts them.
 SENTENCES = {
     "apache-short": "Licensed under the Apache License, Version 2.0.",
     "apache-grant": 'Licensed under the Apache License, Version 2.0 (the "License");',
@@ -37,18 +37,17 @@ SENTENCES = {
     ),
     "gpl3-short": "This work is licensed under the GNU General Public License, version 3.",
     "gpl2-short": "This work is licensed under the GNU General Public License, version 2.",
+    "gpl-software": "This program is free software:",
     "gpl-free": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
+        "you can redistribute it and/or modify it under the terms of the GNU General "
         "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
         "option) any later version."
     ),
-    "gpl-hope": (
-        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
-        "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
-    ),
+    "gpl-hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;",
+    "gpl-implied": "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
     "lgpl3-short": "This work is licensed under the GNU Lesser General Public License, version 3.",
     "agpl3-short": "This work is licensed under the GNU Affero General Public License, version 3.",
-    "mpl2-form": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "mpl2-form": "This Source Code Form is subject to the terms of the Mozilla Public License, v.",
     "bsd-title": "BSD 3-Clause License",
     "bsd-allowed": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
@@ -83,7 +82,7 @@ RULES = (
     ("CC-BY-SA-4.0", "cc-by-sa", ("cc-by-sa",)),
     ("CC0-1.0", "cc0", ("cc0",)),
     ("GPL-2.0", "gpl2-short", ("gpl2-short",)),
-    ("GPL-3.0", "gpl3-notice", ("gpl-free", "gpl-hope")),
+    ("GPL-3.0", "gpl3-notice", ("gpl-software", "gpl-free", "gpl-hope", "gpl-implied")),
     ("GPL-3.0", "gpl3-short", ("gpl3-short",)),
     ("LGPL-3.0", "lgpl3-short", ("lgpl3-short",)),
     ("MIT", "mit-licensed", ("mit-licensed",)),
