@@ -3,11 +3,14 @@
 Two sets link when ``100 * common >= percent * union``. Then, in any order of all shingles, the
 first ``n - least_common + 1`` of each (its prefix) share one. The join uses this three times:
 
-1. Equal sets are one set. A prefix by hash alone finds the sets that share a prefix shingle with a
-   set of fitting size; most texts end here, so only the others' shingles are counted.
-2. For those, shingles are ordered from rare to frequent. Shingles of one set only come first and
-   cannot match, so they use up the prefix; sets with the same size and the same rest of the prefix
-   form one group. Group pairs are filtered by size and by the places of the shared shingle.
+1. Any order of all shingles will do. The first one takes those below a bound of the hash first,
+   and of these the ones of a single set before all others. Only these shingles are counted. A set
+   with so many shingles of its own that they fill its prefix links with nothing: most texts end
+   here.
+2. For the other sets, equal ones taken as one, all shingles are counted and ordered from rare to
+   frequent. Shingles of one set only use up the prefix; sets with the same size and the same rest
+   of the prefix form one group. Group pairs are filtered by size and by the places of the shared
+   shingle.
 3. Of each list of groups that share a shingle, all are first joined to one hub: members of the one
    are verified against a member of the other. Pairs are expanded only where the ends are in
    different components after that, so that a large set of copies is joined along a star, and no
@@ -19,6 +22,7 @@ Verification compares whole sets. Components are joined by rounds of label excha
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +34,8 @@ from roadgrain.llm.shared import Rows, documents, picked, stored, without
 from roadgrain.llm.shingles import shingle_sets
 
 WIDTH, PERCENT = 3, 90
+#: The share of all hashes that the first order counts, in multiples of a prefix's share of its set.
+REGION = 2.5
 #: A shingle in more than this share of all lists' rows is hot; so there are at most this many.
 HOT_SHARE = 2_000
 HOT_ROWS = 1_000
@@ -41,18 +47,14 @@ SETS = pa.schema(
 )
 
 
-def least_common(n: int, percent: int) -> int:
-    """Shingles that a set of n has in common at least with any set that it links to: ceil(percent n / 100)."""
-    return -(-percent * n // 100)
-
-
 def set_rows(df: DataFrame, id_col: str, text_col: str, width: int, percent: int, *, whole: bool) -> DataFrame:
-    """doc_id, text_hash, n, h1, h2 (two hashes of the whole set), shingles: the whole set or the prefix by hash."""
+    """doc_id, text_hash, n, h1, h2 (two hashes of the whole set), shingles: the whole set or those below a bound."""
+    bound = np.uint64(min((1 << 64) - 1, int((1 << 64) * REGION * (100 - percent) / 100)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in in_slices(named_texts(batches)):
             sets = shingle_sets([t for _, t in group], width)
-            cut = sets if whole else [s[: len(s) - least_common(len(s), percent) + 1] if len(s) else s for s in sets]
+            cut = sets if whole else [s[: np.searchsorted(s, bound)] for s in sets]
             with np.errstate(over="ignore"):
                 h1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64)
                 h2 = np.array([np.bitwise_xor.reduce(s * (s >> np.uint64(32) | np.uint64(1))) if len(s) else 0 for s in sets], np.uint64)
@@ -81,6 +83,11 @@ def named_texts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[tuple[int,
             yield (doc_id, text_hash), text or ""
 
 
+def prefix_length(n: Column, percent: int) -> Column:
+    """Shingles of which a set of n shares at least one with any set that it links to: n - ceil(percent n / 100) + 1."""
+    return n - F.ceil(n * percent / F.lit(100).cast("double") - 1e-9).cast("bigint") + 1
+
+
 def needed(n: Column, m: Column, percent: int) -> Column:
     """Common shingles that sets of n and m need: ceil(percent (n + m) / (100 + percent))."""
     return F.ceil((n + m) * percent / F.lit(100 + percent).cast("double") - 1e-9).cast("bigint")
@@ -105,19 +112,21 @@ def with_list(rows: DataFrame, lists: DataFrame, hot: DataFrame) -> DataFrame:
     return left.join(right, ["shingle", "deal"]).drop("deal")
 
 
-def survivors(sets: DataFrame, percent: int) -> DataFrame:
-    """set_id of the sets that share a shingle of their prefix by hash with another set of fitting size."""
-    rows = stored(sets.select("set_id", "n", F.explode("shingles").alias("shingle")), "prefixes")
-    lists = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least"), F.max("n").alias("most"))
-    lists = stored(lists.filter("k > 1"), "lists")
-    hot = stored(hot_shingles(lists, F.col("k"), rows.count()), "hot")
-    met = with_list(rows, lists, hot)
-    # Lists of two tell both sizes; in longer ones any size may fit.
-    fits = (F.col("k") > 2) | (F.col("least") * 100 >= F.col("most") * percent)
-    return met.filter(fits).select("set_id").distinct()
+def survivors(rows: DataFrame, percent: int) -> DataFrame:
+    """set_id, n, h1, h2, doc_id (the smallest) of the sets that may link with another one.
+
+    A shingle whose rows all have one set hash is that set's own. Those are counted where they are
+    grouped, so that no shingle goes back to its rows.
+    """
+    lists = rows.select("h1", F.explode("shingles").alias("shingle")).groupBy("shingle")
+    lists = lists.agg(F.min("h1").alias("h1"), F.max("h1").alias("other")).filter("h1 = other")
+    own = lists.groupBy("h1").agg(F.count(F.lit(1)).alias("own"))
+    sets = rows.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("doc_id"))
+    left = sets.join(own, "h1", "left").filter(F.coalesce("own", F.lit(0)) < prefix_length(F.col("n"), percent))
+    return left.select(F.monotonically_increasing_id().alias("set_id"), "n", "h1", "h2", "doc_id")
 
 
-def rare_first(rows: DataFrame, percent: int) -> DataFrame:
+def rare_first(rows: DataFrame, total: int, percent: int) -> DataFrame:
     """set_id, n, unique, prefix: shingles of the prefix that other sets hold, from rare to frequent.
 
     ``unique`` counts the shingles of no other set; they stand before all others. Sets whose unique
@@ -125,12 +134,11 @@ def rare_first(rows: DataFrame, percent: int) -> DataFrame:
     """
     lists = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("k"))
     lists = stored(lists.filter("k > 1"), "frequent")
-    hot = stored(hot_shingles(lists, F.col("k"), rows.count()), "hot")
+    hot = stored(hot_shingles(lists, F.col("k"), total), "hot")
     shared = with_list(rows.select("set_id", "n", "shingle"), lists, hot)
     own = shared.groupBy("set_id", "n").agg(F.array_sort(F.collect_list(F.struct("k", "shingle"))).alias("order"))
     own = own.withColumn("unique", F.col("n") - F.size("order"))
-    length = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100).cast("double") - 1e-9).cast("bigint") + 1 - F.col("unique")
-    own = own.withColumn("length", length).filter("length > 0")
+    own = own.withColumn("length", prefix_length(F.col("n"), percent) - F.col("unique")).filter("length > 0")
     return own.select("set_id", "n", "unique", F.expr("slice(order.shingle, 1, int(length))").alias("prefix"))
 
 
@@ -225,8 +233,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def link_sets(sets: DataFrame, percent: int) -> DataFrame:
     """set_id, component for the sets (set_id, n, shingles) that link with another one."""
-    rows = stored(sets.select("set_id", "n", F.explode("shingles").alias("shingle")), "shingles")
-    ordered = rare_first(rows, percent)
+    rows = sets.select("set_id", "n", F.explode("shingles").alias("shingle"))
+    ordered = rare_first(rows, sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], percent)
     grouped = ordered.withColumn("group_id", F.xxhash64("n", "prefix"))
     grouped = stored(grouped, "groups")
     # One row per group: sets of one size and prefix, in the order of their set_id.
@@ -262,7 +270,10 @@ def link_sets(sets: DataFrame, percent: int) -> DataFrame:
     rest = rest.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     tried = stored(rest.join(stars, ["x", "y"], "left_anti"), "pairs")
     more = stored(verified(tried, sets, percent), "links")
-    return components(links.unionByName(more)).withColumnRenamed("node", "set_id")
+    if more.isEmpty():
+        return first.withColumnRenamed("node", "set_id")
+    known = first.select(F.col("node").alias("x"), F.col("component").alias("y"))  # stars already
+    return components(known.unionByName(more)).withColumnRenamed("node", "set_id")
 
 
 def near_duplicates(
@@ -279,33 +290,37 @@ def near_duplicates(
     """
     rows = stored(set_rows(df, id_col, text_col, width, percent, whole=False), "sets")
     key = ["n", "h1", "h2"]
-    sets = rows.filter("n > 0").groupBy(*key).agg(F.min("doc_id").alias("doc_id"), F.first("shingles").alias("shingles"))
-    sets = stored(sets.withColumn("set_id", F.monotonically_increasing_id()), "distinct-sets")
-    wanted = stored(sets.join(survivors(sets, percent), "set_id", "left_semi").select("set_id", *key), "survivors")
-    fetch = F.broadcast(wanted) if wanted.count() <= BROADCAST_SETS else wanted.hint("shuffle_hash")
-    whole = set_rows(df, id_col, text_col, width, percent, whole=True).join(fetch, key)
-    whole = whole.groupBy("set_id", "n").agg(F.first("shingles").alias("shingles"))
-    joined = stored(link_sets(stored(whole, "whole-sets"), percent), "components")
+    sets = stored(survivors(rows, percent), "survivors")
+    # Whole sets of the survivors, each from the rows of one id.
+    fetch = F.broadcast(sets) if sets.count() <= BROADCAST_SETS else sets.hint("shuffle_hash")
+    whole = set_rows(df, id_col, text_col, width, percent, whole=True).alias("w")
+    same = [F.col(f"w.{c}").eqNullSafe(F.col(f"s.{c}")) for c in (*key, "doc_id")]
+    whole = whole.join(fetch.alias("s"), reduce(Column.__and__, same)).select("set_id", "w.n", "shingles")
+    whole = stored(whole.dropDuplicates(["set_id"]), "whole-sets")
+    joined = stored(link_sets(whole, percent), "components")
 
     least = joined.join(sets.select("set_id", "doc_id"), "set_id").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = joined.join(least, "component").select("set_id", "component_id")
-    ids = sets.join(named, "set_id", "left").select(*key, F.coalesce("component_id", "doc_id").alias("component_id"))
-    ids = stored(ids, "ids")
-    own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    named = with_id(rows.select("doc_id", "text_hash", *key), ids, key)
-    return named.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "text_hash")
-
-
-def with_id(rows: DataFrame, ids: DataFrame, key: list[str]) -> DataFrame:
-    """Each row with the id of its set; sets that many rows share are dealt over several tasks."""
-    counts = stored(rows.filter("n > 0").groupBy(*key).agg(F.count(F.lit(1)).alias("k")), "copies")
-    total = counts.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("k")).first()["k"]
-    limit = max(HOT_ROWS, total // HOT_SHARE)
-    hot = F.broadcast(stored(counts.filter(F.col("k") > limit).select(*key, F.ceil(F.col("k") / limit).alias("deals")), "hot"))
+    linked = sets.join(named, "set_id").select(*key, "component_id")
+    return with_components(rows.drop("shingles"), linked, key)
+
+
+def with_components(rows: DataFrame, linked: DataFrame, key: list[str]) -> DataFrame:
+    """The result for each row: its set's component, or the smallest id of its own set.
+
+    Sets that many rows share are dealt over several tasks.
+    """
+    own = rows.filter("n > 0").groupBy(*key).agg(F.count(F.lit(1)).alias("k"), F.min("doc_id").alias("least"))
+    own = own.join(linked, key, "left")
+    ids = stored(own.select(*key, "k", F.coalesce("component_id", "least").alias("component_id")), "ids")
+    limit = max(HOT_ROWS, (ids.agg(F.sum("k")).first()[0] or 0) // HOT_SHARE)
+    hot = F.broadcast(stored(ids.filter(F.col("k") > limit).select(*key, F.ceil(F.col("k") / limit).alias("deals")), "hot"))
     deal = F.coalesce(F.pmod(F.xxhash64("doc_id"), "deals"), F.lit(0))
     left = rows.join(hot, key, "left").withColumn("deal", deal).drop("deals")
-    right = ids.join(hot, key, "left").withColumn("deal", F.explode(F.expr("sequence(0L, coalesce(deals, 1L) - 1)"))).drop("deals")
-    return left.join(right, [*key, "deal"], "left")
+    right = ids.join(hot, key, "left").withColumn("deal", F.explode(F.expr("sequence(0L, coalesce(deals, 1L) - 1)")))
+    named = left.join(right.drop("deals", "k"), [*key, "deal"], "left")
+    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    return named.select("doc_id", F.col("n").alias("n_shingles"), component, "text_hash")
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
