@@ -1,8 +1,8 @@
 """Toxicity scores: boosted trees over dense features, calibrated by isotonic regression.
 
 The lexicon is learned from labelled texts: a word counts once for each word that it follows, so
-that copies of a text say no more than the text itself, and words that come in toxic texts far more
-often than chance allows are kept. Every text is read once for its features. Trees are learned on
+that copies of a text say no more than the text itself, and words and stems that come in toxic texts
+far more often than chance allows are kept. Every text is read once for its features. Trees are learned on
 some folds, the calibration on another.
 """
 
@@ -27,7 +27,9 @@ LABEL_ROWS = 20_000
 #: Words of the lexicon, and the least evidence (log likelihood ratio) for one.
 LEXICON_WORDS = 400
 LEAST_EVIDENCE = 12.0
-TREES, DEPTH = 15, 3
+TREES, DEPTH, RATE = 20, 3, 0.3
+#: Lengths of the stems that stand for all longer words which begin so.
+STEMS = (4, 5, 6)
 #: The fold that the calibration learns from; fold 0 is held out, the others make the trees.
 CALIBRATION_FOLD = 1
 #: Words around a lexicon word in which a second person counts as near, and of a dense stretch.
@@ -48,6 +50,8 @@ FEATURES = (
     "hits",
     "hit_rate",
     "dense_hits",
+    "best_hit",
+    "evidence_rate",
     "near_second_person",
     "hidden_hits",
     "capitals",
@@ -63,14 +67,20 @@ ARROW = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), *((f, pa.f
 SCHEMA = "doc_id bigint, text_hash bigint, " + ", ".join(f"{f} double" for f in FEATURES)
 
 
+def stems(word: str) -> list[str]:
+    """The stems of a word, marked by a star."""
+    return [f"{word[:k]}*" for k in STEMS if len(word) > k]
+
+
 def word_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct (toxic, word before, word) of each batch of labelled texts."""
+    """Distinct (toxic, word before, word or stem) of each batch of labelled texts."""
     schema = pa.schema([("toxic", pa.int32()), ("before", pa.string()), ("word", pa.string())])
     for batch in batches:
         seen: set[tuple[int, str, str]] = set()
         for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
             found = WORD.findall((text or "").lower())
-            seen.update((toxic, a, b) for a, b in zip(["", *found], found, strict=False))
+            for before, word in set(zip(["", *found], found, strict=False)):
+                seen.update((toxic, before, w) for w in (word, *stems(word)))
         rows = Rows(schema, most=50_000)
         for row in seen:
             if rows.add(*row):
@@ -78,28 +88,34 @@ def word_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows.take()
 
 
-def learn_lexicon(labelled: DataFrame, *, most: int = LEXICON_WORDS, least: float = LEAST_EVIDENCE) -> set[str]:
-    """The words whose contexts are in toxic texts far more often than the share of toxic contexts."""
+def learn_lexicon(labelled: DataFrame, *, most: int = LEXICON_WORDS, least: float = LEAST_EVIDENCE) -> dict[str, float]:
+    """The words whose contexts are in toxic texts far more often than chance, each with its evidence."""
     pairs = labelled.select("toxic", "text").mapInArrow(word_pairs, "toxic int, before string, word string").distinct()
     counts = pairs.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     counts = stored(counts, "word-counts")
     whole = counts.agg(F.sum("t").alias("t"), F.sum("c").alias("c")).first()
     if not whole["t"] or not whole["c"]:
-        return set()
+        return {}
     share = whole["t"] / (whole["t"] + whole["c"])
     n = F.col("t") + F.col("c")
     clean = F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / (n * (1 - share)))).otherwise(0.0)
     evidence = F.col("t") * F.log(F.col("t") / (n * share)) + clean
     toxic = counts.filter((F.col("t") > 2) & (F.col("t") / n > 0.5)).withColumn("evidence", evidence)
-    return {r["word"] for r in toxic.filter(F.col("evidence") >= least).orderBy(F.desc("evidence"), "word").limit(most).collect()}
+    best = toxic.filter(F.col("evidence") >= least).orderBy(F.desc("evidence"), "word").limit(most)
+    return {r["word"]: r["evidence"] for r in best.collect()}
 
 
-def dense_features(text: str, lexicon: frozenset[str]) -> tuple[float, ...]:
-    """The features of one text; rates are per word or per character. All are 0 for the empty text."""
+def dense_features(text: str, lexicon: dict[str, float]) -> tuple[float, ...]:
+    """The features of one text; rates are per word or per character. All are 0 for the empty text.
+
+    ``lexicon`` has the evidence of each word and stem.
+    """
     lower = text.lower()
     found = WORD.findall(lower)
     words, chars = max(1, len(found)), max(1, len(text))
-    hits = [i for i, w in enumerate(found) if w in lexicon] if lexicon and not lexicon.isdisjoint(found) else []
+    known = {w: max([lexicon.get(w, 0.0), *(lexicon.get(s, 0.0) for s in stems(w))]) for w in set(found)}
+    hits = [i for i, w in enumerate(found) if known[w]]
+    evidence = [math.log1p(known[found[i]]) for i in hits]
     near = sum(1 for i in hits if not SECOND_PERSON.isdisjoint(found[max(0, i - NEAR) : i + NEAR + 1]))
     dense = lo = 0
     for hi, at in enumerate(hits):
@@ -115,6 +131,8 @@ def dense_features(text: str, lexicon: frozenset[str]) -> tuple[float, ...]:
         math.log1p(len(hits)),
         len(hits) / words,
         float(dense),
+        max(evidence, default=0.0),
+        sum(evidence) / words,
         near / words,
         math.log1p(hidden),
         upper / chars,
@@ -128,9 +146,9 @@ def dense_features(text: str, lexicon: frozenset[str]) -> tuple[float, ...]:
     )
 
 
-def feature_table(df: DataFrame, lexicon: set[str], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def feature_table(df: DataFrame, lexicon: dict[str, float], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash and the features of every whole text; the lexicon has a fixed bound."""
-    shared = df.sparkSession.sparkContext.broadcast(frozenset(lexicon))
+    shared = df.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, rows = shared.value, Rows(ARROW, most=10_000)
@@ -187,7 +205,7 @@ def toxicity(
     kinds, mean = classes(makes)
     if kinds < 2:
         return rows.select(*out, F.lit(mean).alias("score"), F.lit(int(mean >= 0.5)).alias("predicted"))
-    model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=7, stepSize=0.2).fit(makes)
+    model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=7, stepSize=RATE).fit(makes)
     raw = vector_to_array("probability")[1].alias("raw")
     scored = model.transform(rows).select("doc_id", "text_hash", raw)
     if classes(calibrates)[0] == 2:
