@@ -1,4 +1,4 @@
-"""Time the headline queries and print one JSON line.
+"""Time all queries of the catalog and print one JSON line.
 
 Each query is run once to warm up (code generation, file cache) and then timed ``BENCH_RUNS``
 times; the best run counts. Results go to the ``noop`` sink, so that every row is computed.
@@ -13,38 +13,15 @@ import time
 
 from pyspark.sql import SparkSession
 
-import __spark_entry__ as contract
+from roadgrain.plans import catalog
 
-HEADLINE = (
-    "daily_counts",
-    "rolling7_daily",
-    "hour_counts",
-    "crash_combined",
-    "injury_share",
-    "top_causes",
-    "injury_rate_by_weather",
-    "hotspots_top200",
-    "heat_sample",
-    "median_center",
-    "marker_points",
-    "period_heat",
-    "cause_impact_top5",
-    "top_cause_layers",
-    "driver_features",
-    "fatal_rate_by_age",
-    "fatal_rate_by_state_top10",
-    "fatal_rate_by_surface",
-    "fatal_by_age_layers",
-    "fatal_by_surface_layers",
-    "hourly_fatal",
-    "topk_rate_lighting",
-    "fatal_rate_by_vehicle_mode",
-)
+#: Every query of the library's own catalog.
+HEADLINE = tuple(catalog.queries())
 
 
 def run(spark: SparkSession, name: str, sf_dir: str) -> float:
     start = time.perf_counter()
-    df = contract.queries()[name](spark, sf_dir)
+    df = catalog.queries()[name](spark, sf_dir)
     df.write.format("noop").mode("overwrite").save()
     return time.perf_counter() - start
 
@@ -52,7 +29,7 @@ def run(spark: SparkSession, name: str, sf_dir: str) -> float:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("roadgrain-bench")
