@@ -43,7 +43,7 @@ SECOND_PERSON = frozenset(
 #: Letters that digits and signs stand for.
 STAND_INS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "*": ""})
 WORD = re.compile(r"[^\W\d_]+")
-MIXED = re.compile(r"[^\W\d_]+[\d@$*!._-]+[^\W\d_]+[\w@$*!]*")
+MIXED = re.compile(r"(?<![^\W\d_])[^\W\d_]++[\d@$*!._-]++[^\W\d_][\w@$*!]*")  # linear in the length of the text
 STRETCHED = re.compile(r"([^\W\d_])\1\1")
 
 FEATURES = (

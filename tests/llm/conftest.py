@@ -29,13 +29,22 @@ ODD_TEXTS = [
 ]
 
 
+@pytest.fixture(scope="module", autouse=True)
+def few_partitions(spark):
+    """The tables are small: two partitions show as much as eight and start fewer tasks."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 @pytest.fixture(scope="session")
 def docs(spark):
     """A table of documents from (doc_id, text) rows, with columns that clash with internal names."""
 
     def make(rows, **more):
         full = [(i, t, more.get("lang", "en"), "s", len(t or "")) for i, t in rows]
-        df = spark.createDataFrame(full, DOCUMENTS).repartition(3)
+        df = spark.createDataFrame(full, DOCUMENTS).repartition(2)
         return df.selectExpr("*", "1 as key", "2 as n", "'q' as norm", "3 as `__id`", "4 as text_hash", "5 as row", "6 as term")
 
     return make
