@@ -1,7 +1,7 @@
 """Nearest neighbours by largest inner product: inverted lists with an adaptive dimension scan.
 
 Vectors are turned by a random rotation and dealt to lists by k-means centres. A query looks into
-the lists whose centres are nearest. Within a list the rotated vectors lie in blocks of columns: a
+the lists whose centres are nearest; how many, is measured on a sample of queries against all rows. Within a list the rotated vectors lie in blocks of columns: a
 query adds up squared distances block by block, and a candidate whose partial distance says, by a
 test at a fixed level, that it cannot reach the nearest ones found so far is given up. What is left
 is scored exactly on the original vectors.
@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 from roadgrain.llm.shared import stored
 
 K = 20
-#: Vectors per list, about; lists at most; share of the lists that a query looks into, and at least.
+#: Vectors per list, about, and lists at most.
 LIST_ROWS, MOST_LISTS = 512, 4096
-PROBE_SHARE, LEAST_PROBES = 0.25, 12
+#: Queries that are compared with all vectors, and the share of their true neighbours that the probed lists must hold.
+TRIED_QUERIES, HELD_SHARE = 128, 0.975
 #: Vectors that the centres are learned from, about, and rounds of k-means.
 TRAIN_ROWS, ROUNDS = 20_000, 8
 #: A list longer than this is dealt to several tasks; so are the queries of a list.
@@ -43,10 +44,6 @@ class Lists:
     rotation: np.ndarray
     centres: np.ndarray
 
-    @property
-    def probes(self) -> int:
-        return min(len(self.centres), max(LEAST_PROBES, round(PROBE_SHARE * len(self.centres))))
-
     def nearest(self, vectors: np.ndarray, n: int) -> np.ndarray:
         """The n nearest centres of each vector, nearest first."""
         turned = vectors @ self.rotation
@@ -120,6 +117,43 @@ def assign(vectors: DataFrame, lists: Lists, n: int) -> DataFrame:
     return vectors.mapInArrow(run, "vec_id bigint, vec binary, list int")
 
 
+def probes_needed(members: DataFrame, asked: DataFrame, lists: Lists, k: int) -> int:
+    """Lists that a query must look into: a bounded sample of queries is compared with all vectors,
+
+    and the least number is taken whose lists hold ``HELD_SHARE`` of the true neighbours.
+    """
+    tried = asked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(TRIED_QUERIES).collect()
+    ids = np.array([r["vec_id"] for r in tried], np.int64)
+    rows = np.array([r["vec"] for r in tried], np.float64)
+    shared = members.sparkSession.sparkContext.broadcast((ids, rows))
+    schema = pa.schema([("query", pa.int32()), ("vec_id", pa.int64()), ("list", pa.int32()), ("score", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_ids, queries = shared.value
+        for batch in batches:
+            own = batch.column("vec_id").to_numpy()
+            if not len(own):
+                continue
+            vectors = np.frombuffer(b"".join(batch.column("vec").to_pylist()), "<f8").reshape(len(own), -1)
+            scores = np.where(query_ids[:, None] == own, -np.inf, queries @ vectors.T)
+            most = min(k, len(own))
+            best = np.argpartition(-scores, most - 1, axis=1)[:, :most]
+            number = np.repeat(np.arange(len(query_ids), dtype=np.int32), most)
+            flat = best.ravel()
+            columns = [number, own[flat], batch.column("list").to_numpy()[flat], scores[number, flat]]
+            yield pa.record_batch([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    near = members.select("vec_id", "vec", "list").mapInArrow(run, "query int, vec_id bigint, list int, score double")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    near = near.withColumn("rank", F.row_number().over(order)).filter((F.col("rank") <= k) & (F.col("score") > float("-inf")))
+    found = near.select("query", "list").collect()  # at most k rows for each query tried
+    if not found:
+        return len(lists.centres)
+    places = np.argsort(lists.nearest(rows, len(lists.centres)), axis=1)
+    ranks = np.sort([places[r["query"], r["list"]] for r in found])
+    return int(ranks[min(len(ranks) - 1, int(np.ceil(HELD_SHARE * len(ranks))) - 1)]) + 1
+
+
 def adaptive_scan(ids: np.ndarray, vectors: np.ndarray, rotation: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int):
     """(query id, ids, scores) of the best candidates of one block, for each query.
 
@@ -182,7 +216,9 @@ def search(
     lists = learn_lists(vectors, n)
     asked = vectors.filter(queries).groupBy("vec_id").agg(F.min("vec").alias("vec"))
     members = stored(assign(vectors, lists, 1), "members")
-    probes = stored(assign(asked, lists, lists.probes), "probes")
+    if asked.isEmpty():
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    probes = stored(assign(asked, lists, probes_needed(members, asked, lists, k)), "probes")
 
     # One row per list, at most MOST_LISTS: in how many parts its members and its queries are dealt.
     sizes = members.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
