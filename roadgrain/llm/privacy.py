@@ -174,16 +174,16 @@ def disclosures(
     df: DataFrame, near: DataFrame, text_col: str, *, least_contexts: int, generalise: float, remove: float
 ) -> DataFrame:
     """entity, terms: the terms that disclose it, each with its action."""
-    n = df.agg(F.count(F.lit(1)).alias("n_all"))
+    n_all = F.lit(df.count())
     by_context = near.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("n"))
     both = by_context.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count(F.lit(1)).alias("contexts"))
     entities = both.filter("term is null").select("entity", F.col("n_te").alias("n_e"))
     pairs = stored(both.filter(F.col("term").isNotNull() & (F.col("contexts") >= least_contexts)), "pairs")
-    counts = document_counts(df, text_col).join(pairs.select("term").distinct(), "term", "left_semi")
-    known = pairs.join(counts, "term", "left").join(entities, "entity").crossJoin(F.broadcast(n))  # n is one row
+    # Words are counted before they meet the pairs: a semi join would be moved below the count.
+    known = pairs.join(document_counts(df, text_col), "term", "left").join(entities, "entity")
     n_t = F.greatest(F.coalesce("n_t", F.lit(0)), F.col("n_te"))
-    pmi = F.log(F.col("n_all") * F.col("n_te") / (n_t * F.col("n_e")))
-    whole = F.log(F.col("n_all") / F.col("n_e"))
+    pmi = F.log(n_all * F.col("n_te") / (n_t * F.col("n_e")))
+    whole = F.log(n_all / F.col("n_e"))
     share = F.when(whole > 0, pmi / whole).otherwise(0.0)
     action = F.when(share >= remove, "remove").otherwise("generalise")
     return (
