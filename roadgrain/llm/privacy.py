@@ -3,13 +3,17 @@
 The patterns yield the base spans. How much a term t says about a protected value e is measured
 over the whole corpus: PMI(t; e) = log(N n(t, e) / (n(t) n(e))), as a share of the information of e
 itself, log(N / n(e)); N, n(t), n(e) count documents, n(t, e) those with t near e. A share of 1
-means that t comes with e only. Terms that disclose more than a threshold are generalised or, above
-a second one, removed wherever they stand in a document with that value.
+means that t comes with e only. Terms that surely disclose more than a threshold are generalised or,
+above a second one, removed wherever they stand in a document with that value.
+
+The share is a rise of P(e | t), and few documents make an unsure estimate of it. So a threshold
+counts as passed if the lower confidence bound of the share passes it; see ``surely``.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
@@ -17,7 +21,7 @@ from typing import NamedTuple
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadgrain.llm.shared import Rows, documents, free_name, stored, text_or_empty, text_rows
@@ -27,8 +31,8 @@ TERM = "term"
 ORDER = {kind: i for i, kind in enumerate((*KINDS, TERM))}
 #: Words on either side of a value that count as near it.
 NEAR = 5
-#: Different surroundings in which a term must stand near a value before it can disclose it.
-LEAST_CONTEXTS = 3
+#: Chance that a term below a threshold is taken to be above it.
+RISK = 0.1
 #: Shares of a value's information from which a term is generalised, and from which it is removed.
 GENERALISE, REMOVE = 0.5, 0.8
 LEAST_LETTERS = 3
@@ -170,26 +174,43 @@ def document_counts(df: DataFrame, text_col: str) -> DataFrame:
     return df.select(F.explode(own).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
 
 
-def disclosures(
-    df: DataFrame, near: DataFrame, text_col: str, *, least_contexts: int, generalise: float, remove: float
-) -> DataFrame:
-    """entity, terms: the terms that disclose it, each with its action."""
+def surely(threshold: float, n_all: Column, n_e: Column, more: Column, apart: Column, risk: float) -> Column:
+    """Whether the lower confidence bound of a term's share passes a threshold.
+
+    The share is 1 + log(P(e | t)) / log(N / n(e)), so that it passes where P(e | t) passes
+    (n(e) / N) ^ (1 - threshold). The first surrounding with both only names the pair, as any rare word
+    stands beside something; the evidence are ``more`` surroundings with both against ``apart``
+    documents with t alone. Its chance at that probability is bounded as by Chernoff (exactly, if none
+    is apart) and must be ``risk`` at most. Without a second surrounding nothing is sure.
+    """
+    least = F.pow(n_e / n_all, F.lit(1.0 - threshold))
+    tries = more + apart
+    alone = F.when(apart > 0, apart * F.log(apart / (tries * (1 - least)))).otherwise(0.0)
+    sure = more * F.log(more / (tries * least)) + alone >= -math.log(risk)
+    return F.when((least < 1) & (more > 0) & (more > tries * least), sure).otherwise(False)
+
+
+def disclosures(df: DataFrame, near: DataFrame, text_col: str, *, risk: float, generalise: float, remove: float) -> DataFrame:
+    """entity, terms: the terms that disclose it, each with its action.
+
+    Exact copies are one surrounding, so that they add no evidence.
+    """
     n_all = F.lit(df.count())
     by_context = near.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("n"))
     both = by_context.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count(F.lit(1)).alias("contexts"))
     entities = both.filter("term is null").select("entity", F.col("n_te").alias("n_e"))
-    pairs = stored(both.filter(F.col("term").isNotNull() & (F.col("contexts") >= least_contexts)), "pairs")
+    # The bound of a pair with a single surrounding is zero whatever the counts of its term are.
+    pairs = stored(both.filter(F.col("term").isNotNull() & (F.col("contexts") > 1)), "pairs")
     # Words are counted before they meet the pairs: a semi join would be moved below the count.
     known = pairs.join(document_counts(df, text_col), "term", "left").join(entities, "entity")
     n_t = F.greatest(F.coalesce("n_t", F.lit(0)), F.col("n_te"))
-    pmi = F.log(n_all * F.col("n_te") / (n_t * F.col("n_e")))
-    whole = F.log(n_all / F.col("n_e"))
-    share = F.when(whole > 0, pmi / whole).otherwise(0.0)
-    action = F.when(share >= remove, "remove").otherwise("generalise")
+    evidence = (n_all, F.col("n_e"), F.col("contexts") - 1, n_t - F.col("n_te"), risk)
+    action = F.when(surely(remove, *evidence), "remove").when(surely(generalise, *evidence), "generalise")
     return (
-        known.filter(share >= generalise)
+        known.withColumn("action", action)
+        .filter("action is not null")
         .groupBy("entity")
-        .agg(F.collect_set(F.struct("entity", "term", action.alias("action"))).alias("terms"))
+        .agg(F.collect_set(F.struct("entity", "term", "action")).alias("terms"))
     )
 
 
@@ -244,13 +265,13 @@ def with_terms(
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
-    least_contexts: int = LEAST_CONTEXTS,
+    risk: float = RISK,
     generalise: float = GENERALISE,
     remove: float = REMOVE,
 ) -> DataFrame:
     """All columns of ``df`` and last what discloses a protected value of the document."""
     near = stored(contexts(df, id_col, text_col), "contexts")
-    found = disclosures(df, near, text_col, least_contexts=least_contexts, generalise=generalise, remove=remove)
+    found = disclosures(df, near, text_col, risk=risk, generalise=generalise, remove=remove)
     terms = stored(document_terms(near, found), "terms")
     return df.join(terms, df[id_col].eqNullSafe(terms["__doc"]), "left").select(
         *[df[c] for c in df.columns], terms["__terms"].alias(free_name(df, "__terms"))

@@ -69,6 +69,22 @@ def test_exact_copies_are_one_surrounding(docs):
     assert sum(r["n_term"] for r in privacy.find_personal_data(docs(rows)).collect()) == 0
 
 
+def test_every_surrounding_counts_as_evidence(docs):
+    plain = [(100 + i, f"the caller of house {i} writes nothing today") for i in range(400)]
+    twice = [(i, f"first{'ab'[i]} caller Zorblatt writes jo@mail.example.com last{'ab'[i]} today") for i in range(2)]
+    text = twice[0][1]
+    at, mail = text.index("Zorblatt"), text.index("jo@")
+    found = {r["doc_id"]: r["spans"] for r in privacy.find_personal_data(docs(twice + plain)).collect()}
+    assert found[0] == f"term:{at}:{at + 8},email:{mail}:{mail + 19}" and found[1].startswith("term:")
+    soft = {r["doc_id"]: r["text"] for r in privacy.remove_personal_data(docs(twice + plain)).collect()}
+    assert soft[0] == "firsta caller <NAME> writes <EMAIL> lasta today"
+    # Rare words beside a value of one document stay; so does a word that often stands elsewhere.
+    once = privacy.find_personal_data(docs(twice[:1] + plain)).collect()
+    assert sum(r["n_term"] for r in once) == 0
+    elsewhere = [(600 + i, f"Zorblatt number {i}") for i in range(60)]
+    assert sum(r["n_term"] for r in privacy.find_personal_data(docs(twice + plain + elsewhere)).collect()) == 0
+
+
 def test_texts_are_sanitised(docs):
     df = docs([*corpus(), (99, None)])
     clean = privacy.remove_personal_data(df)
