@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
@@ -31,6 +32,8 @@ TERM = "term"
 ORDER = {kind: i for i, kind in enumerate((*KINDS, TERM))}
 #: Words on either side of a value that count as near it.
 NEAR = 5
+#: Words of more letters go by a digest.
+LONG_WORD = 64
 #: Chance that a term below a threshold is taken to be above it.
 RISK = 0.1
 #: Shares of a value's information from which a term is generalised, and from which it is removed.
@@ -132,11 +135,24 @@ def value_of(span: Span, text: str) -> int:
     return hashed(f"{span.kind}:{whole.lower()}")
 
 
-def surroundings(span: Span, text: str) -> list[str]:
-    """The words near a span, within some hundred characters on either side."""
-    reach = 30 * NEAR
-    before = WORD.findall(text[max(0, span.start - reach) : span.start].lower())[-NEAR:]
-    return before + WORD.findall(text[span.end : span.end + reach].lower())[:NEAR]
+def surroundings(spans: list[Span], text: str) -> list[list[str]]:
+    """The words near each span: whole words of the text, however far away and long they are."""
+    places = [m.span() for m in WORD.finditer(text)] if spans else []
+    starts, ends = [a for a, _ in places], [b for _, b in places]
+
+    def words(some: list[tuple[int, int]]) -> list[str]:
+        return [named(w) for a, b in some for w in WORD.findall(text[a:b].lower())]
+
+    out = []
+    for span in spans:
+        before, after = bisect_right(ends, span.start), bisect_left(starts, span.end)
+        out.append(words(places[max(0, before - NEAR) : before])[-NEAR:] + words(places[after : after + NEAR])[:NEAR])
+    return out
+
+
+def named(word: str) -> str:
+    """The word, or a digest for a long one: it may stand near many values."""
+    return word if len(word) <= LONG_WORD else "#" + hashlib.sha256(word.encode("utf-8", "surrogatepass")).hexdigest()
 
 
 CONTEXTS = pa.schema([("doc_id", pa.int64()), ("entity", pa.int64()), ("context", pa.int64()), ("term", pa.string())])
@@ -153,8 +169,9 @@ def contexts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         rows = Rows(CONTEXTS, most=20_000)
         for doc_id, text in text_rows(batches, "doc_id", "text"):
             near: dict[int, list[str]] = {}
-            for span in base_spans(text):
-                near.setdefault(value_of(span, text), []).extend(surroundings(span, text))
+            spans = base_spans(text)
+            for span, words in zip(spans, surroundings(spans, text), strict=True):
+                near.setdefault(value_of(span, text), []).extend(words)
             for entity, found in near.items():
                 context = hashed(" ".join(found))
                 rows.add(doc_id, entity, context, None)
@@ -171,7 +188,9 @@ def contexts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def document_counts(df: DataFrame, text_col: str) -> DataFrame:
     """term, n_t: documents that hold each word, over all whole texts."""
     own = F.array_distinct(F.split(F.lower(text_or_empty(text_col)), r"[^\p{L}]+"))
-    return df.select(F.explode(own).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    word = F.col("word")
+    term = F.when(F.length(word) <= LONG_WORD, word).otherwise(F.concat(F.lit("#"), F.sha2(word, 256))).alias("term")
+    return df.select(F.explode(own).alias("word")).select(term).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
 
 
 def surely(threshold: float, n_all: Column, n_e: Column, more: Column, apart: Column, risk: float) -> Column:
@@ -235,7 +254,7 @@ def all_spans(text: str, terms: Iterable[dict] | None) -> list[Span]:
     found, at = list(base), 0
     by_end = sorted(base, key=lambda s: s.end)
     for m in WORD.finditer(text):
-        if not (action := actions.get(m.group().lower())):
+        if not (action := actions.get(named(m.group().lower()))):
             continue
         while at < len(by_end) and by_end[at].end <= m.start():
             at += 1

@@ -85,6 +85,20 @@ def test_every_surrounding_counts_as_evidence(docs):
     assert sum(r["n_term"] for r in privacy.find_personal_data(docs(twice + plain + elsewhere)).collect()) == 0
 
 
+def test_words_near_a_value_are_whole(docs):
+    rows = []
+    for i in range(6):
+        far = " ".join("pqrstu"[i] * 60 for _ in range(3))
+        rows.append((i, f"a{'bcdefg'[i]} Zorblatt {far} {'x' * 200} jo@mail.example.comé {'-' * 200} Quillfeather today"))
+    rows += [(10 + i, f"house {i} writes nothing today") for i in range(60)]
+    found = {r["doc_id"]: r for r in privacy.find_personal_data(docs(rows)).collect()}
+    text = rows[0][1]
+    terms = [text[int(a) : int(b)] for k, a, b in (s.split(":") for s in found[0]["spans"].split(",")) if k == "term"]
+    assert terms == ["Zorblatt", "x" * 200, "Quillfeather"] and found[5]["n_term"] == 3
+    many = "1.2.3.4 " * 100_000 + "end"
+    assert privacy.surroundings(privacy.base_spans(many), many)[0] == ["end"]
+
+
 def test_texts_are_sanitised(docs):
     df = docs([*corpus(), (99, None)])
     clean = privacy.remove_personal_data(df)
