@@ -1,7 +1,7 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences; each normalised sentence that is a known licence sentence becomes its
-identifier; the sequence of identifiers is matched against ordered rules. All of it happens within
+A text is normalised and cut at sentence ends and at line ends; each run of whole lines within a
+sentence that is a known licence sentence, on one line or wrapped, becomes its identifier; the sequence of identifiers is matched against ordered rules. All of it happens within
 the row, by DataFrame functions: no shuffle and no Python on the executors.
 """
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from roadgrain.llm.shared import documents, text_or_empty
 
-#: Sentences of public licences, by identifier, as ``SENTENCE_END`` cuts them.
+#: Sentences of public licences, by identifier, each ending at ``.``, ``!``, ``?``, ``;`` or ``:`` before white space, or at a line end.
 SENTENCES = {
     "apache-short": "Licensed under the Apache License, Version 2.0.",
     "apache-grant": 'Licensed under the Apache License, Version 2.0 (the "License");',
@@ -92,30 +92,45 @@ RULES = (
     ("Unlicense", "public-domain", ("public-domain",)),
 )
 
-#: Sentences end at ``.``, ``!``, ``?``, ``;`` or ``:`` before white space, and at line ends.
-SENTENCE_END = r"([.!?;:])[\x20\x09-\x0D]+"
 NOT_WORD = "[^a-z0-9]+"
 
 
-def normal_sentence(sentence: Column) -> Column:
-    """Lower case, runs of anything but a-z and 0-9 as one space, no space at the ends."""
-    return F.trim(F.regexp_replace(F.lower(sentence), NOT_WORD, " "))
-
-
 def known_sentences(sentences: dict[str, str]) -> dict[str, str]:
-    """Normalised sentence -> identifier, by the rule of ``normal_sentence``."""
+    """Normalised sentence -> identifier: lower case, runs of anything but a-z and 0-9 as one space."""
     import re
 
     return {re.sub(NOT_WORD, " ", text.lower()).strip(" "): name for name, text in sentences.items()}
 
 
+def marked(text: Column) -> Column:
+    """The normalised text between ``S``; ``S`` stands for each sentence end in it, ``L`` for each line end.
+
+    Signs and blanks beside a mark are gone, and with them comment marks and empty lines.
+    """
+    text = F.concat(F.lit(".\n"), F.lower(text), F.lit(".\n"))
+    text = F.regexp_replace(text, "[.!?;:][\\x20\\x09-\\x0D][^a-z0-9]*+", "S")
+    text = F.regexp_replace(text, "[\n\r][^a-z0-9S]*+", "L")
+    return F.regexp_replace(F.regexp_replace(text, "[^a-z0-9LS]++", " "), " (?=[LS])|L(?=S)", "")
+
+
 def sentence_ids(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
-    """The identifiers of the known sentences of a text, in order."""
-    known = F.create_map(*[F.lit(x) for pair in known_sentences(sentences).items() for x in pair])
-    longest = max(len(s) for s in sentences.values()) * 2
-    cut = F.split(F.regexp_replace(text, SENTENCE_END, "$1\n"), "[\n\r]+")
-    fit = F.filter(cut, lambda s: F.length(s).between(1, longest))
-    return F.filter(F.transform(fit, lambda s: F.try_element_at(known, normal_sentence(s))), lambda i: i.isNotNull())
+    """The identifiers of the known sentences of a text, in order.
+
+    A known sentence starts and ends at sentence ends or line ends; between its words there may be
+    line ends. Where one starts with lines that are a shorter one, both are found.
+    """
+    ids = {norm: name for norm, name in known_sentences(sentences).items() if norm}
+    wrapped = {norm: norm.replace(" ", "[ L]") for norm in ids}
+    known = F.create_map(*[F.lit(x) for pair in ids.items() for x in pair])
+    any_known = "|".join(wrapped[n] for n in sorted(ids, key=len, reverse=True))
+    found = F.regexp_extract_all(marked(text), F.lit(f"(?<=[LS])(?=({any_known})[LS])"), 1)
+    heads = [n for n in sorted(ids, key=len) if any(m.startswith(f"{n} ") for m in ids)]
+
+    def own(s: Column) -> Column:
+        shorter = [F.when(s.rlike(f"^{wrapped[n]}L"), F.lit(ids[n])) for n in heads]
+        return F.array(*shorter, F.try_element_at(known, F.translate(s, "L", " ")))
+
+    return F.filter(F.flatten(F.transform(found, own)), lambda i: i.isNotNull())
 
 
 def holds_in_order(ids: Column, steps: tuple[str, ...]) -> Column:
