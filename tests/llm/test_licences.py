@@ -85,6 +85,11 @@ def test_lines_count_by_themselves_too(docs):
     assert {r["doc_id"]: r["ids"] for r in ids} == {1: ["apache-short", "apache-grant"], 2: [], 3: ["mit-title"], 4: ["mit-short"]}
 
 
+def test_padded_sentences_are_found(docs):
+    rows = [(1, "Released under" + " " * 5_000 + "the MIT License."), (2, "=" * 5_000 + " Released under the MIT License " + "=" * 5_000)]
+    assert {r["doc_id"]: r["rules"] for r in licences.licence_scan(docs(rows)).collect()} == {1: "mit-short", 2: "mit-short"}
+
+
 def test_every_sentence_is_recognised_by_itself(docs):
     names = list(licences.SENTENCES)
     found = docs([(i, licences.SENTENCES[n]) for i, n in enumerate(names)])
