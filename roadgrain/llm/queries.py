@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roadgrain.llm import exact, jaccard, language, lexicon, licences, neighbours, packing, privacy, toxicity, wavelet
+from roadgrain.llm import (
+    alignment,
+    exact,
+    jaccard,
+    language,
+    lexicon,
+    licences,
+    manifest,
+    neighbours,
+    packing,
+    privacy,
+    repetition,
+    toxicity,
+    wavelet,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,8 +37,16 @@ def queries() -> dict[str, Query]:
         "op8_near_duplicates": jaccard.op8_near_duplicates,
         "op9_token_shards": wavelet.op9_token_shards,
         "op10_packing": packing.op10_packing,
+        "op11_token_alignment": alignment.op11_token_alignment,
+        "op12_merkle_manifest": manifest.op12_merkle_manifest,
+        "op13_repetition_rules": repetition.op13_repetition_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact.SQL, "op7_licence_scan": licences.sql()}
+    return {
+        "op1_exact_dedup": exact.SQL,
+        "op7_licence_scan": licences.sql(),
+        "op12_merkle_manifest": manifest.sql(),
+        "op13_repetition_rules": repetition.sql(),
+    }

@@ -149,8 +149,16 @@ def test_packing_in_small_blocks_and_tiers(docs, library):
     texts = [(i, " ".join(rng.choices(["the", "cat", "antidisestablishmentarianism", "x1"], k=rng.randrange(300)))) for i in range(200)]
     found = packing.pack_documents(docs(texts), tiers=(16, 64, 128), block_tokens=2_000).collect()
     check_packing(found, texts, library, 128)
-    sizes = {p["tier"] for p in found}
-    assert {16, 64, 128} <= sizes
+    # One task's share of the rows: with 128 and more tokens a block each tier has documents of its own size.
+    own = words.chunk_ids(words.default_path())
+    end = packed([2])
+    lengths = [10] * 40 + [60] * 40 + [200] * 10
+    rows = [(i, own.encode(" ".join(["the"] * (n - 1))) + end) for i, n in enumerate(lengths)]
+    for part in (0, 3):
+        batches = packing.pack_partition(iter(rows), part, (16, 64, 128), 1_000)
+        pieces = [p for batch in batches for p in batch.to_pylist()]
+        assert sum(p["length"] for p in pieces) == sum(lengths)
+        assert {16, 64, 128} <= {p["tier"] for p in pieces}
     with pytest.raises(ValueError, match="powers of two"):
         packing.pack_documents(docs(texts), tiers=(100,))
 
