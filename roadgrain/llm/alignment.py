@@ -9,6 +9,7 @@ ids is linked is counted over the corpus.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterable, Iterator
@@ -25,6 +26,7 @@ from roadgrain.llm.words import byte_letters
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 import sentencepiece  # noqa: E402
+import tiktoken  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
 #: Characters that are aligned at once; a longer text is cut between words, which both tokenizers keep apart.
@@ -35,6 +37,8 @@ WIDE_GROUP = 4_096
 HOT_PAIRS = 20_000
 BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
 SEPARATORS = ("", ",", "|", ";")
+#: Fixed value: where byte-level vocabularies split a text before merging.
+BYTE_LEVEL_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 ALIGNED = pa.schema(
     [
@@ -79,14 +83,18 @@ class Vocabularies:
         #: An id and what follows it, as text: four entries per id.
         most = max(len(self.a_bytes), len(self.b_bytes))
         self.written = np.array([f"{i}{s}" for i in range(most) for s in SEPARATORS], object)
+        self.ranked = ranked_merges(a_path, {b: i for i, b in enumerate(self.a_bytes)})
 
-    def encode(self, text: str) -> tuple[list[int], list[int]] | None:
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of both; None where their bytes are not the space and the text."""
-        a = self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids
-        b = self.b.encode(text)
         raw = b" " + text.encode()
-        same = b"".join([self.a_bytes[i] for i in a]) == raw == b"".join([self.b_bytes[i] for i in b])
-        return (a, b) if same else None
+        if self.ranked is None:
+            a = self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids
+        else:
+            a = self.ranked.encode_ordinary(" " + text)
+        b = self.b.encode(text)
+        same = b"".join(map(self.a_bytes.__getitem__, a)) == raw == b"".join(map(self.b_bytes.__getitem__, b))
+        return (np.array(a, np.int32), np.array(b, np.int32)) if same else None
 
     def parts(self, text: str) -> Iterator[str]:
         """The text in parts of about BATCH_CHARS, cut at single spaces between words."""
@@ -97,6 +105,20 @@ class Vocabularies:
         yield text[start:]
 
 
+def ranked_merges(path: str, ids: dict[bytes, int]) -> tiktoken.Encoding | None:
+    """The same vocabulary for a faster library, if its merges come in the order of the ids that they make."""
+    with open(path, encoding="utf-8") as file:
+        whole = json.load(file)
+    model, split = whole["model"], whole["pre_tokenizer"]
+    plain = whole["normalizer"] is None and split["type"] == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]
+    made = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    if not plain or made != sorted(made):
+        return None
+    special = {t["id"] for t in whole["added_tokens"]}
+    ranks = {b: i for b, i in ids.items() if i not in special}
+    return tiktoken.Encoding("ranked", pat_str=BYTE_LEVEL_SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+
 @lru_cache(maxsize=2)
 def vocabularies(a_path: str, b_path: str) -> Vocabularies:
     """One per worker process."""
@@ -157,10 +179,10 @@ class Aligned:
         self.pairs = self.times = np.zeros(0, np.int64)
 
 
-def align_parts(parts: list[tuple[Aligned, list[int], list[int]]], known: Vocabularies) -> None:
+def align_parts(parts: list[tuple[Aligned, np.ndarray, np.ndarray]], known: Vocabularies) -> None:
     """Align encoded parts of texts, all at once, and add what is found to their texts, in order."""
-    a = np.concatenate([np.array(x, np.int64) for _, x, _ in parts])
-    b = np.concatenate([np.array(x, np.int64) for _, _, x in parts])
+    a = np.concatenate([x for _, x, _ in parts]).astype(np.int64)
+    b = np.concatenate([x for _, _, x in parts]).astype(np.int64)
     a_group, b_group = groups_of(known.a_size[a], known.b_size[b])
     # A part ends a token of both, so that no group reaches over it.
     a_part = np.repeat(np.arange(len(parts)), [len(x) for _, x, _ in parts])
@@ -207,15 +229,13 @@ def align_texts(texts: Iterable[str], known: Vocabularies) -> list[Aligned]:
         found.append(own)
         if not text:
             continue
-        if len(text) <= BATCH_CHARS:
-            encoded = known.encode(text)
-            if encoded is not None:
-                parts.append((own, *encoded))
-                chars += len(text)
-        elif all(known.encode(part) is not None for part in known.parts(text)):
-            # Encoded twice, so that never more than one part's ids are in memory.
-            for part in known.parts(text):
-                align_parts([(own, *known.encode(part))], known)
+        encoded = [known.encode(part) for part in known.parts(text)]
+        if any(both is None for both in encoded):
+            continue
+        for both in encoded[:-1]:
+            align_parts([(own, *both)], known)
+        parts.append((own, *encoded[-1]))
+        chars += len(text)
         if chars >= BATCH_CHARS:
             align_parts(parts, known)
             parts, chars = [], 0

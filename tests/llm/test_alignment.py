@@ -29,7 +29,7 @@ def brute(texts, known):
     rows, linked = [], []
     for text in texts:
         encoded = known.encode(text) if text else None
-        a, b = encoded or ([], [])
+        a, b = [x.tolist() for x in encoded] if encoded else ([], [])
         ends_a, ends_b = spans(a, known.a_bytes), spans(b, known.b_bytes)
         groups, links, i, j = [], [], 0, 0
         for cut in sorted({e for e, _ in ends_a} & {e for e, _ in ends_b}):
@@ -87,6 +87,18 @@ def test_small_parts_and_wide_groups(known, monkeypatch):
     assert all(int(f.times.sum()) == f.n_links and len(set(f.pairs.tolist())) == len(f.pairs) for f in found)
 
 
+def test_ids_are_those_of_the_library(known):
+    rng = random.Random(8)
+    letters = "abcXYZéßÀ'’.,!?<|>-_0123456789²ªµ÷ \t\n\x1c\x85\xa0 ΣİΩ中é​'s'll"
+    texts = [t for t in ODD_TEXTS if t] + ["".join(rng.choices(letters, k=rng.randrange(1, 60))) for _ in range(3_000)]
+    assert known.ranked is not None and known.cuts
+    for text in texts:
+        want = known.a.encode(" " + text, add_special_tokens=False).ids
+        assert known.ranked.encode_ordinary(" " + text) == want, text[:80]
+        parts = list(known.parts(text))
+        assert [i for p in parts for i in known.a.encode(" " + p, add_special_tokens=False).ids] == want
+
+
 def test_groups_break_where_both_end_a_token(known):
     import numpy as np
 
