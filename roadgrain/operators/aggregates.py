@@ -12,6 +12,14 @@ from roadgrain.functions.features import non_fatal, safe_rate
 
 PEOPLE_COUNTS = ("persons", "pedestrians", "cyclists")
 VEHICLE_COUNTS = ("vehicles", "speeding_veh")
+# What is summed per cause, and of which column.
+IMPACT_SUMS = {
+    "total_impact": "impact_score",
+    "fatalities": "inj_fatal",
+    "severe_injuries": "inj_sev",
+    "nonsevere_injuries": "inj_nonsev",
+    "possible_injuries": "inj_possible",
+}
 # Days in chart order.
 DAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
 
@@ -169,12 +177,7 @@ def rank_cells(cells: DataFrame, k: int) -> DataFrame:
 def cause_impact(df: DataFrame, cause: str = "PRIM_CONTRIBUTORY_CAUSE") -> DataFrame:
     """Per cause: geolocated crashes, total impact and injured people; sums skip NULL."""
     return df.groupBy(cause).agg(
-        F.count("LAT").alias("crashes"),
-        F.sum("impact_score").alias("total_impact"),
-        F.sum("inj_fatal").alias("fatalities"),
-        F.sum("inj_sev").alias("severe_injuries"),
-        F.sum("inj_nonsev").alias("nonsevere_injuries"),
-        F.sum("inj_possible").alias("possible_injuries"),
+        F.count("LAT").alias("crashes"), *[F.sum(c).alias(name) for name, c in IMPACT_SUMS.items()]
     )
 
 

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadgrain.functions.clean import normalised, present
-from roadgrain.functions.features import AGE_LABELS
-from roadgrain.operators.aggregates import cause_impact, group_mode, rank_causes
+from roadgrain.functions.features import AGE_LABELS, safe_rate
+from roadgrain.operators.aggregates import IMPACT_SUMS, group_mode, rank_causes
 from roadgrain.operators.joins import join_hot
-from roadgrain.operators.windows import capped
+from roadgrain.operators.windows import capped, capped_each
 
 # Colours.
 FATAL_CELL, OTHER_CELL = "#d73027", "#1a9850"
@@ -105,21 +106,30 @@ def top_cause_layers(
     A missing cause takes a place among the ``k`` but gets no layer. Circles are the worst
     crashes by fatal, severe and total impact; ``heat_cap`` and ``circle_cap`` bound each layer.
     """
-    ranks = Window.orderBy(
-        *[F.desc_nulls_last(c) for c in ("total_impact", "fatalities", "crashes")],
-        F.asc_nulls_last("cause"),
-    )
-    # ``k`` rows.
-    top = rank_causes(cause_impact(df, cause), k, cause).select(
-        F.col("cause").alias(cause), (F.row_number().over(ranks) - 1).alias("rank")
-    )
     needed = ["LAT", "LON", "impact_score", "inj_fatal", "inj_sev"]
-    rows = present(df.select(key, cause, *needed), *needed).join(F.broadcast(top), cause)
-    columns = [key, *needed, "rank"]
-    worst = [-F.col("inj_fatal"), -F.col("inj_sev"), -F.col("impact_score")]
+    columns = [key, *needed]
+    picks = {
+        "heat": (heat_cap, ()),
+        "circles": (circle_cap, [-F.col("inj_fatal"), -F.col("inj_sev"), -F.col("impact_score")]),
+    }
+    # Crashes without a place count for their cause but are no points.
+    located = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in needed])
+    rows = df.withColumn("__point", located.cast("int"))
+    sums = {"crashes": F.col("LAT").isNotNull().cast("int"), **{s: F.col(c) for s, c in IMPACT_SUMS.items()}}
+
+    def top(causes: DataFrame) -> DataFrame:
+        """The ``k`` causes with their rank."""
+        ranks = Window.orderBy(
+            *[F.desc_nulls_last(c) for c in ("total_impact", "fatalities", "crashes")],
+            F.asc_nulls_last("cause"),
+        )
+        ranked = rank_causes(causes, k, cause).withColumn("rank", F.row_number().over(ranks) - 1)
+        return ranked.withColumnRenamed("cause", cause).where(F.col(cause).isNotNull())
+
+    picked = capped_each(rows, picks, columns, cause, "__point", sums=sums, choose=top)
     palette = F.array(*[F.lit(c) for c in CAUSE_COLORS])
     color = F.get(palette, F.col("rank") % len(CAUSE_COLORS))
-    heat = capped(rows, heat_cap, columns, layer=cause).select(
+    heat = picked["heat"].select(
         F.concat(F.lit("Cause: "), cause).alias("layer"),
         F.lit("heat").alias("kind"),
         key,
@@ -127,7 +137,7 @@ def top_cause_layers(
         F.lit(10).alias("radius"),
         F.lit(None).cast("string").alias("color"),
     )
-    circles = capped(rows, circle_cap, columns, layer=cause, first=worst).select(
+    circles = picked["circles"].select(
         F.concat(F.lit("Cause: "), cause).alias("layer"),
         F.lit("circle").alias("kind"),
         key,
@@ -158,12 +168,22 @@ def fatal_by_age_layers(groups: DataFrame, n: int | None = None) -> DataFrame:
     )
 
 
-def fatal_by_surface_layers(groups: DataFrame, top: DataFrame, n: int | None = None) -> DataFrame:
-    """Up to ``n`` (or all) fatal driver points for each surface listed in ``top``, a short top-k list."""
-    rows = present(groups.where("fatal_drivers > 0"), "LAT", "LON")
-    rows = rows.join(F.broadcast(top.select("surface")), "surface")
-    picked = capped(rows, n, ["LAT", "LON"], "surface", weight="fatal_drivers")
-    return picked.select(F.concat(F.lit("Fatal: Surface "), "surface").alias("layer"), *_point())
+def fatal_by_surface_layers(groups: DataFrame, k: int = 5, n: int | None = None) -> DataFrame:
+    """Up to ``n`` (or all) fatal driver points for each of the ``k`` surfaces with the highest fatal share.
+
+    ``groups`` are counted ``drivers`` and ``fatal_drivers`` by surface and place; shares count those
+    without a place too.
+    """
+    located = F.col("LAT").isNotNull() & F.col("LON").isNotNull()
+    rows = groups.withColumn("__points", F.when(located, F.col("fatal_drivers")).otherwise(0))
+    sums = {c: F.col(c) for c in ("drivers", "fatal_drivers")}
+
+    def top(surfaces: DataFrame) -> DataFrame:
+        rate = safe_rate("fatal_drivers", "drivers")
+        return surfaces.orderBy(rate.desc(), F.asc_nulls_last("surface")).limit(k).where("surface is not null")
+
+    picked = capped_each(rows, {"": (n, ())}, ["LAT", "LON"], "surface", "__points", sums=sums, choose=top)
+    return picked[""].select(F.concat(F.lit("Fatal: Surface "), "surface").alias("layer"), *_point())
 
 
 def fatal_people_layers(people: DataFrame, crashes: DataFrame, key: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from roadgrain.functions.clean import computed_once
@@ -20,6 +21,13 @@ def rolling_mean(series: DataFrame, order: str, value: str, rows: int, name: str
     return series.withColumn(name, F.when(full, F.avg(value).over(last))).orderBy(order)
 
 
+Pick = tuple[int | None, Sequence[Column]]
+"""How many rows of each layer to pick, and the numbers that rank them, smallest first."""
+
+#: Leading hex digits of the hash that the first histogram tells apart, without and with ranking numbers, and of the second.
+FIRST_DIGITS, RANKED_DIGITS, NEXT_DIGITS = 3, 2, 3
+
+
 def capped(
     df: DataFrame,
     n: int | None,
@@ -28,83 +36,125 @@ def capped(
     first: Sequence[Column] = (),
     weight: str | None = None,
     seed: int = 0,
-    digits: int = 3,
+    digits: int | None = None,
 ) -> DataFrame:
     """Exactly the first ``n`` rows per ``layer`` (fewer if it has fewer); the same on every run.
 
-    ``n=None`` keeps all rows. Rows are ordered by the ``first`` numbers, smallest first, then by a
-    hash of ``columns``, so that without ``first`` this is a random sample without replacement.
-    ``layer`` has few values (a fixed list or a top-k list); NULL is one of them. With ``weight``, a
-    row stands for that many equal rows.
+    ``n=None`` keeps all rows. See :func:`capped_each`.
+    """
+    return capped_each(df, {"": (n, first)}, columns, layer, weight, seed, digits)[""]
+
 
-    Rows are never sorted as a whole. The cut is found level by level: by ``first`` alone, then by
-    the leading ``digits`` hex digits of the hash among the rows that tie there, then by the next
-    ``digits`` among those. So a histogram has ``16 ** digits`` rows per layer at most, and the last
-    pass, which counts equal rows together and trims, sees ``n`` rows and one bucket of the
-    ``16 ** (2 * digits)``.
+def capped_each(
+    df: DataFrame,
+    picks: Mapping[str, Pick],
+    columns: Sequence[str],
+    layer: str | None = None,
+    weight: str | None = None,
+    seed: int = 0,
+    digits: int | None = None,
+    sums: Mapping[str, Column] | None = None,
+    choose: Callable[[DataFrame], DataFrame] | None = None,
+) -> dict[str, DataFrame]:
+    """Several exact selections from one frame, which is read twice for all of them together.
+
+    Rows are ordered by a pick's ranking numbers (few distinct ones), then by a hash of ``columns``, so
+    that without numbers it is a random sample without replacement. ``layer`` has few values, or
+    ``choose`` leaves few; NULL is one of them. With ``weight``, a row stands for that many equal rows,
+    or for none. ``choose`` gets a row per layer with the ``sums`` and returns those to keep, with all
+    columns; columns that it adds are passed on.
+
+    The first reading makes one histogram by layer, numbers and leading digits of the hash; ``sums``
+    come from it too. It says in which place of each layer the last wanted row lies. The second reading
+    keeps what lies up to there and counts equal rows together. From that shuffle, which is used again
+    and not read anew, a histogram of the next digits bounds what is left to sort: the wanted rows and
+    one bucket of the ties.
     """
-    by = [layer] if layer else []
+    by, sums = [layer] if layer else [], sums or {}
     rest = [c for c in columns if c not in by]
     text = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
-    keys = [f"__first{i}" for i in range(len(first))]
+    keys = {name: [f"__{i}first{j}" for j in range(len(first))] for i, (name, (_, first)) in enumerate(picks.items())}
+    ranks = [f.alias(k) for name, (_, first) in picks.items() for f, k in zip(first, keys[name], strict=True)]
+    every = [k for own in keys.values() for k in own]
+    totals = [f"__sum{i}" for i in range(len(sums))]
     hashed = df.select(
         *by,
         *rest,
-        *[f.alias(k) for f, k in zip(first, keys, strict=True)],
+        *ranks,
+        *[c.alias(t) for c, t in zip(sums.values(), totals, strict=True)],
         (F.lit(1) if weight is None else F.col(weight)).cast("long").alias("__w"),
         F.md5(F.concat_ws("|", *text, F.lit(str(seed)))).alias("__h"),
     )
-    if n is None:
-        copies = F.sequence(F.lit(1).cast("long"), "__w")
-        kept = hashed.where("__w > 0")
-        return kept.withColumn("__copy", F.explode(copies)).select(*by, *rest) if weight else kept.select(*by, *rest)
-    hashed = computed_once(hashed)
-    parts = [F.substring("__h", 1 + i * digits, digits) for i in range(2)]
-    places = [F.struct(*keys)] * bool(keys) + parts
-    names = [f"__p{i}" for i in range(len(places))]
-    placed = hashed.withColumns(dict(zip(names, places, strict=True)))
-
-    cuts, reached = None, []
-    for name in names:
-        # One row per layer: the place in which the last wanted row lies, level by level.
-        ties = placed if cuts is None else _with_cuts(placed, cuts, by, reached)
-        for p, c in zip(names, reached, strict=False):
-            ties = ties.where(F.col(p) == F.col(c))
-        cuts = _cut(ties, by, reached, name, n if cuts is None else None)
-        reached = [*reached, f"__c{len(reached)}"]
-    kept = _with_cuts(placed, cuts, by, reached).where(F.struct(*names) <= F.struct(*reached))
-
-    counted = kept.groupBy(*by, *keys, "__h", *rest).agg(F.sum("__w").alias("__w"))
-    window = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    ahead = window.orderBy(*keys, "__h", *rest).rowsBetween(Window.unboundedPreceding, -1)
-    taken = counted.withColumn("__left", n - F.coalesce(F.sum("__w").over(ahead), F.lit(0)))
-    taken = taken.where((F.col("__left") > 0) & (F.col("__w") > 0))
-    copies = F.sequence(F.lit(1).cast("long"), F.least("__w", "__left"))
-    return taken.withColumn("__copy", F.explode(copies)).select(*by, *rest)
-
-
-def _cut(ties: DataFrame, by: Sequence[str], reached: Sequence[str], place: str, n: int | None) -> DataFrame:
-    """Per layer the cuts of the levels above, the last place of this level that the wanted rows reach,
-    and ``__want``, the rows wanted from that place on.
-
-    ``n`` rows are wanted of each layer, or those that the column ``__want`` says.
+
+    summed = [F.sum(t).alias(c) for t, c in zip(totals, sums, strict=True)]
+    choose = choose or (lambda layers: layers)
+    result = {}
+    if any(n is None for n, _ in picks.values()):
+        whole, extra = hashed.where("__w > 0"), []
+        if summed:
+            listed = choose(hashed.groupBy(*by).agg(*summed)).drop(*sums)
+            whole, extra = _of_layers(whole, listed, by), [c for c in listed.columns if c not in by]
+        if weight is not None:
+            whole = whole.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__w")))
+        result = {name: whole.select(*by, *extra, *rest) for name, (n, _) in picks.items() if n is None}
+    picks = {name: n for name, (n, _) in picks.items() if n is not None}
+    if not picks:
+        return result
+
+    digits = digits or (RANKED_DIGITS if every else FIRST_DIGITS)
+    placed = computed_once(hashed.withColumn("__p", F.substring("__h", 1, digits)))
+    hist = placed.groupBy(*by, *every, "__p").agg(F.sum("__w").alias("__n"), *[F.sum(t).alias(t) for t in totals])
+    places = [F.struct(*keys[name], "__p") for name in picks]
+    reached = []
+    for i, (place, n) in enumerate(zip(places, picks.values(), strict=True)):
+        ahead = _layer_window(by).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+        hist = hist.withColumn(f"__before{i}", F.coalesce(F.sum("__n").over(ahead), F.lit(0)))
+        reached.append(_reached(place, F.lit(n).cast("long"), f"__before{i}").alias(f"__cut{i}"))
+    # One use of the histogram for all picks and sums.
+    cuts = choose(hist.groupBy(*by).agg(*reached, *summed)).drop(*sums)
+    extra = [c for c in cuts.columns if c not in by and not c.startswith("__cut")]
+    flags = []
+    for i, place in enumerate(places):
+        last = F.col(f"__cut{i}.p")
+        flags += [(place <= last).alias(f"__in{i}"), (place == last).alias(f"__tie{i}"), F.col(f"__cut{i}.w").alias(f"__want{i}")]
+    near = _of_layers(placed.where("__w > 0"), cuts, by).select(*by, *extra, *every, "__h", *rest, "__w", *flags)
+    near = near.where(reduce(lambda a, b: a | b, [F.col(f"__in{i}") for i in range(len(picks))]))
+    groups = [c for c in near.columns if c != "__w"]
+    # Filters stay above this, so that all that follows reads one shuffle.
+    counted = computed_once(near.groupBy(*groups).agg(F.sum("__w").alias("__w")))
+    counted = counted.withColumn("__p", F.substring("__h", 1 + digits, NEXT_DIGITS))
+    for i, (name, n) in enumerate(picks.items()):
+        ties = counted.where(f"__tie{i}").groupBy(*by, "__p").agg(F.sum("__w").alias("__n"), F.first(f"__want{i}").alias("__want"))
+        ahead = _layer_window(by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+        ties = ties.withColumn("__before", F.coalesce(F.sum("__n").over(ahead), F.lit(0)))
+        last = ties.groupBy(*by).agg(_reached(F.col("__p"), F.col("__want"), "__before").alias("__cut"))
+        kept = _of_layers(counted.where(f"__in{i}"), last, by).where(f"not __tie{i} or __p <= __cut.p")
+        order = [*keys[name], "__h", *rest]
+        ahead = _layer_window(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        taken = kept.withColumn("__left", n - F.coalesce(F.sum("__w").over(ahead), F.lit(0))).where("__left > 0")
+        copies = F.sequence(F.lit(1).cast("long"), F.least("__w", "__left"))
+        result[name] = taken.withColumn("__copy", F.explode(copies)).select(*by, *extra, *rest)
+    return result
+
+
+def _layer_window(by: Sequence[str]) -> WindowSpec:
+    return Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+
+
+def _reached(place: Column, want: Column, before: str) -> Column:
+    """Aggregate over counted places (``__n``): ``p``, the last one that the wanted rows reach, ``w``, how many are wanted from there on."""
+    inside = (F.col("__n") > 0) & (F.col(before) < want)
+    return F.max(F.when(inside, F.struct(place.alias("p"), (want - F.col(before)).alias("w"))))
+
+
+def _of_layers(rows: DataFrame, layers: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows of the listed layers with their further columns; one row per layer is broadcast, and NULL is a layer.
+
+    Without a layer there is one row at most; without any, no row is left.
     """
-    want = F.lit(n).cast("long") if n is not None else F.first("__want")
-    buckets = ties.groupBy(*by, *reached, place).agg(F.sum("__w").alias("__n"), want.alias("__want"))
-    window = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    before = F.sum("__n").over(window.orderBy(place).rowsBetween(Window.unboundedPreceding, -1))
-    counted = buckets.withColumn("__before", F.coalesce(before, F.lit(0))).where("__before < __want")
-    last = F.max(F.struct(F.col(place).alias("p"), (F.col("__want") - F.col("__before")).alias("w")))
-    found = counted.groupBy(*by, *reached).agg(last.alias("__last"))
-    named = [F.col("__last.p").alias(f"__c{len(reached)}"), F.col("__last.w").alias("__want")]
-    return found.select(*by, *reached, *named)
-
-
-def _with_cuts(rows: DataFrame, cuts: DataFrame, by: Sequence[str], reached: Sequence[str]) -> DataFrame:
-    """Rows with the cuts of their layer; one row per layer is broadcast, and NULL is a layer."""
+    more = [c for c in layers.columns if c not in by]
     if not by:
-        one = cuts.select(F.struct(*reached, "__want")).scalar()
-        rows = rows.withColumn("__cut", one)
-        return rows.select(*[c for c in rows.columns if c != "__cut"], *[F.col(f"__cut.{c}").alias(c) for c in (*reached, "__want")])
-    named = F.broadcast(cuts.withColumnRenamed(by[0], "__layer"))
+        found = rows.withColumn("__one", layers.select(F.struct(*more)).scalar()).where("__one is not null")
+        return found.select(*rows.columns, *[F.col(f"__one.{c}").alias(c) for c in more])
+    named = F.broadcast(layers.withColumnRenamed(by[0], "__layer"))
     return rows.join(named, F.col(by[0]).eqNullSafe(F.col("__layer"))).drop("__layer")

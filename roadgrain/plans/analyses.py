@@ -301,10 +301,8 @@ def fatal_by_age_layers(d: CrashData) -> DataFrame:
 
 @analysis
 def fatal_by_surface_layers(d: CrashData) -> DataFrame:
-    groups = drivers.counted_drivers(d.tables, (), ["surface"])
-    top = agg.group_fatal_rate(groups, "surface", DRIVERS, k=5)
-    points = drivers.fatal_driver_points(d.tables, (), ["surface", "LAT", "LON"])
-    return layers.fatal_by_surface_layers(points, top, SURFACE_CAP)
+    groups = drivers.counted_drivers(d.tables, (), ["surface", "LAT", "LON"])
+    return layers.fatal_by_surface_layers(groups, 5, SURFACE_CAP)
 
 
 @analysis
