@@ -40,12 +40,32 @@ def hot_keys(df: DataFrame, on: Sequence[str], min_rows: int) -> DataFrame:
     return hot.select(*on, F.ceil(F.col("__n") / min_rows).cast("int").alias("__parts"))
 
 
-def _with_parts(df: DataFrame, hot: DataFrame, on: Sequence[str], name: str) -> DataFrame:
+def hot_lists(sides: Sequence[tuple[DataFrame, Sequence[str]]], min_rows: int = HOT_ROWS) -> list[DataFrame | None]:
+    """The hot keys of each (frame, key columns), counted in one job; None where there are none.
+
+    For plans that join several large tables: they learn before they are built that (as nearly always)
+    nothing needs salting. A list has at most rows / ``min_rows`` keys, and ``MOST_HOT`` at most.
+    """
+    counted = []
+    for i, (df, on) in enumerate(sides):
+        keys = hot_keys(df, on, min_rows)
+        texts = F.array(*[F.col(c).cast("string") for c in on])
+        counted.append(keys.select(F.lit(i).alias("side"), texts.alias("key"), "__parts"))
+    found = reduce(DataFrame.unionByName, counted).collect()
+    lists = []
+    for i, (df, on) in enumerate(sides):
+        own = [(r["key"], r["__parts"]) for r in found if r["side"] == i]
+        typed = [F.col("key")[j].cast(df.schema[c].dataType).alias(c) for j, c in enumerate(on)]
+        lists.append(df.sparkSession.createDataFrame(own, "key array<string>, __parts int").select(*typed, "__parts") if own else None)
+    return lists
+
+
+def with_parts(df: DataFrame, hot: DataFrame, on: Sequence[str], name: str) -> DataFrame:
     """Rows with the parts of their key: NULL for a key that is not hot."""
     return df.join(F.broadcast(hot.withColumnRenamed("__parts", name)), list(on), "left")
 
 
-def _deal(df: DataFrame, parts: Column, columns: Sequence[str]) -> Column:
+def deal(df: DataFrame, parts: Column, columns: Sequence[str]) -> Column:
     """A part for each row, the same when a lost task is run again: by the row's values and its task."""
     plain = [c for c in columns if not isinstance(df.schema[c].dataType, (T.MapType, T.VariantType))]
     return F.pmod(F.xxhash64(F.spark_partition_id(), *plain), parts).cast("int")
@@ -59,6 +79,7 @@ def join_hot(
     right_unique: bool = False,
     keys_from: DataFrame | None = None,
     how: str = "left",
+    hot: tuple[DataFrame | None, DataFrame | None] | None = None,
 ) -> DataFrame:
     """``left.join(right, on, how)`` in which hot and NULL keys are spread over many tasks.
 
@@ -68,28 +89,35 @@ def join_hot(
     its right rows are repeated once per part; a key hot on the right is treated the other way
     round. A NULL key matches nothing, so its rows go anywhere. ``right_unique`` promises one right
     row per key and saves the count of that side. ``keys_from`` is a cheaper frame than ``left`` to
-    count its keys in, say the table that ``left`` was joined from.
+    count its keys in, say the table that ``left`` was joined from. ``hot`` has the hot keys of both
+    sides, listed before (see :func:`hot_lists`); None in it means that there are none.
     """
     one = F.array(F.lit(0))
     every = lambda parts: F.coalesce(F.sequence(F.lit(0), F.col(parts) - 1), one)
     missing = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in on])
     sides = ["__salt_l"] if right_unique else ["__salt_l", "__salt_r"]
 
-    hot_left = hot_keys(left if keys_from is None else keys_from, on, min_rows)
-    dealt = _with_parts(left, hot_left, on, "__l")
+    hot_left, hot_right = hot or (hot_keys(left if keys_from is None else keys_from, on, min_rows), None)
+    if hot and hot_left is None and hot_right is None:
+        spread = F.when(missing, deal(left, F.lit(NULL_PARTS), left.columns)).otherwise(0)
+        return left.withColumn("__salt_l", spread).join(present(right, *on).withColumn("__salt_l", F.lit(0)), [*on, "__salt_l"], how).drop("__salt_l")
+    if hot:
+        none = left.sparkSession.createDataFrame([], right.select(*on).withColumn("__parts", F.lit(0)).schema)
+        hot_left, hot_right = (none if h is None else h for h in (hot_left, hot_right))
+    dealt = with_parts(left, hot_left, on, "__l")
     spread = F.when(missing, F.lit(NULL_PARTS)).otherwise(F.coalesce("__l", F.lit(1)))
-    dealt = dealt.withColumn("__salt_l", _deal(dealt, spread, left.columns))
+    dealt = dealt.withColumn("__salt_l", deal(dealt, spread, left.columns))
     # Rows with a NULL key part match nothing.
-    copied = _with_parts(present(right, *on), hot_left, on, "__l").withColumn("__salt_l", F.explode(every("__l")))
+    copied = with_parts(present(right, *on), hot_left, on, "__l").withColumn("__salt_l", F.explode(every("__l")))
     dealt, copied = dealt.drop("__l"), copied.drop("__l")
     if right_unique:
         return dealt.join(copied, [*on, *sides], how).drop(*sides)
 
-    hot_right = hot_keys(right, on, min_rows)
-    dealt = _with_parts(dealt, hot_right, on, "__r").withColumn("__copied", F.col("__r").isNotNull())
+    hot_right = hot_keys(right, on, min_rows) if hot_right is None else hot_right
+    dealt = with_parts(dealt, hot_right, on, "__r").withColumn("__copied", F.col("__r").isNotNull())
     dealt = dealt.withColumn("__salt_r", F.explode(every("__r"))).drop("__r")
-    copied = _with_parts(copied, hot_right, on, "__r")
-    copied = copied.withColumn("__salt_r", _deal(copied, F.coalesce("__r", F.lit(1)), right.columns))
+    copied = with_parts(copied, hot_right, on, "__r")
+    copied = copied.withColumn("__salt_r", deal(copied, F.coalesce("__r", F.lit(1)), right.columns))
     copied = copied.drop("__r").withColumn("__hit", F.lit(True))
     joined = dealt.join(copied, [*on, *sides], how)
     # A copied left row has a partner in some part, as its key was counted on the right; a copy
@@ -144,7 +172,11 @@ def vehicle_join_keys(people: DataFrame, vehicles: DataFrame, key: str) -> tuple
 
 
 def drivers_with_vehicles(
-    people: DataFrame, vehicles: DataFrame, key: str, min_rows: int = HOT_ROWS
+    people: DataFrame,
+    vehicles: DataFrame,
+    key: str,
+    min_rows: int = HOT_ROWS,
+    hot: tuple[DataFrame | None, DataFrame | None] | None = None,
 ) -> DataFrame:
     """People with their vehicle on (crash, vehicle id); one row per person and matching vehicle."""
     keys = vehicle_join_keys(people, vehicles, key)
@@ -152,7 +184,7 @@ def drivers_with_vehicles(
         return people
     on, vehicle_id = keys
     right = vehicles.withColumnRenamed(vehicle_id, on[-1])
-    return join_hot(people, prefix_clashes(right, people, on, "VEH_"), on, min_rows)
+    return join_hot(people, prefix_clashes(right, people, on, "VEH_"), on, min_rows, hot=hot)
 
 
 def drivers_with_crashes(
@@ -161,12 +193,13 @@ def drivers_with_crashes(
     key: str,
     min_rows: int = HOT_ROWS,
     keys_from: DataFrame | None = None,
+    hot: tuple[DataFrame | None, DataFrame | None] | None = None,
 ) -> DataFrame:
     """Driver rows with their crash: driver grain, a crash counts once per driver."""
     if key not in pv.columns or key not in crashes.columns:
         return pv
     right = prefix_clashes(crashes, pv, [key], "CRASH_")
-    return join_hot(pv, right, [key], min_rows, keys_from=keys_from)
+    return join_hot(pv, right, [key], min_rows, keys_from=keys_from, hot=hot)
 
 
 def flag_members(

@@ -260,7 +260,7 @@ def drivers_joined(d: CrashData) -> DataFrame:
 
 @analysis
 def driver_features(d: CrashData) -> DataFrame:
-    return sinks.timestamps_as_text(drivers.driver_features(d.tables))
+    return sinks.timestamps_as_text(drivers.driver_features(drivers.joined_drivers(d.tables), KEY))
 
 
 @analysis

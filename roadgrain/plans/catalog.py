@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from roadgrain.functions import features
 from roadgrain.functions.schema import severity_columns
-from roadgrain.plans import crash, street
+from roadgrain.plans import crash, drivers, street
 from roadgrain.plans.analyses import ANALYSES, Analysis, CrashData
 from roadgrain.plans.report import write_report
 from roadgrain.sources import sinks
+from roadgrain.sources.keyed import write_keyed
 from roadgrain.sources.tables import Tables, load_tables
 from roadgrain.sources.views import crash_tables, street_reports
 
@@ -30,7 +31,7 @@ def _over_test_tables(fn: Analysis) -> Query:
 
 def queries() -> dict[str, Query]:
     found = {name: _over_test_tables(fn) for name, fn in ANALYSES.items()}
-    more = (schema_tolerant_load, csv_tables, hotspots_without_cause, fatal_points_without_cause, report_outputs)
+    more = (schema_tolerant_load, csv_tables, hotspots_without_cause, fatal_points_without_cause, report_outputs, driver_features_keyed)
     return found | {fn.__name__: fn for fn in more}
 
 
@@ -58,6 +59,13 @@ def report_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def driver_features_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The driver table from people, vehicles and crashes that are first stored by key."""
+    tables = CrashData(crash_tables(spark, sf_dir)).tables
+    store = write_keyed(tables, f"{sinks.scratch_dir(spark)}/keyed-{uuid.uuid4().hex}")
+    return sinks.timestamps_as_text(drivers.driver_features(drivers.keyed_drivers(store, tables.fatalities), store.key))
+
+
 def schema_tolerant_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return street.daily_outcomes(street.adapt(street_reports(spark, sf_dir)))
 

@@ -13,6 +13,7 @@ from roadgrain.functions.schema import (
     STATE_NAMES,
     SURFACE_NAMES,
     crash_key,
+    prefix_clashes,
     resolve_in_frame_order,
     upper_columns,
 )
@@ -23,7 +24,10 @@ from roadgrain.operators.joins import (
     drivers_with_crashes,
     drivers_with_vehicles,
     flag_members,
+    hot_lists,
+    vehicle_join_keys,
 )
+from roadgrain.sources.keyed import SLOT, Keyed
 from roadgrain.sources.tables import Tables
 
 # Columns of the driver table.
@@ -68,23 +72,40 @@ def driver_crashes(crashes: DataFrame, fatalities: DataFrame | None = None) -> D
 
 
 def joined_drivers(tables: Tables, min_rows: int = HOT_ROWS) -> DataFrame:
-    """One row per driver, matching vehicle and crash, with the columns of all three."""
+    """One row per driver, matching vehicle and crash, with the columns of all three.
+
+    Hot keys are counted by one job while the plan is built, so that it salts only where there are any.
+    """
     crashes = driver_crashes(tables.crashes, tables.fatalities)
     key = crash_key(crashes)
-    people = driver_people(tables.people)
-    pv = drivers_with_vehicles(people, upper_columns(tables.vehicles), key, min_rows)
-    joined = drivers_with_crashes(pv, crashes, key, min_rows, people)
+    people, vehicles = driver_people(tables.people), upper_columns(tables.vehicles)
+    sides, keys = [], vehicle_join_keys(people, vehicles, key)
+    if keys is not None:
+        sides += [(people, keys[0]), (vehicles.withColumnRenamed(keys[1], keys[0][-1]), keys[0])]
+    if key in people.columns:
+        sides += [(people, [key]), (upper_columns(tables.crashes), [key])]
+    hot = hot_lists(sides, min_rows) if sides else []
+    by_vehicle = (hot.pop(0), hot.pop(0)) if keys is not None else None
+    pv = drivers_with_vehicles(people, vehicles, key, min_rows, by_vehicle)
+    return _with_outcome(drivers_with_crashes(pv, crashes, key, min_rows, people, tuple(hot) or None))
+
+
+def keyed_drivers(store: Keyed, fatalities: DataFrame | None = None) -> DataFrame:
+    """The rows of :func:`joined_drivers` from tables stored by key: the joins need no shuffle."""
+    on = [store.key, SLOT]
+    people, crashes = driver_people(store.people), driver_crashes(store.crashes, fatalities)
+    pv = people.join(prefix_clashes(store.vehicles, people, on, "VEH_"), on, "left")
+    return _with_outcome(pv.join(prefix_clashes(crashes, pv, on, "CRASH_"), on, "left").drop(SLOT))
+
+
+def _with_outcome(joined: DataFrame) -> DataFrame:
     return joined.withColumn("fatal_outcome", F.coalesce("fatal_outcome", F.lit(False)))
 
 
-def driver_features(tables: Tables, min_rows: int = HOT_ROWS) -> DataFrame:
-    """The driver table: crash key, time, place, outcome, age, state, surface and crash cause."""
-    joined = joined_drivers(tables, min_rows)
+def driver_features(joined: DataFrame, key: str) -> DataFrame:
+    """The driver table of joined driver rows: crash key, time, place, outcome, age, state, surface and crash cause."""
     if "CRASH_PRIM_CONTRIBUTORY_CAUSE" in joined.columns:
-        joined = joined.withColumn(
-            "PRIM_CONTRIBUTORY_CAUSE", F.col("CRASH_PRIM_CONTRIBUTORY_CAUSE")
-        )
-    key = crash_key(upper_columns(tables.crashes))
+        joined = joined.withColumn("PRIM_CONTRIBUTORY_CAUSE", F.col("CRASH_PRIM_CONTRIBUTORY_CAUSE"))
     return joined.select(key, *[c for c in DRIVER_COLUMNS if c in joined.columns])
 
 

@@ -364,6 +364,7 @@ FROM driver_rows""",
   LAT, LON, fatal_outcome, age_bin, license_state, surface, PRIM_CONTRIBUTORY_CAUSE
 FROM driver_rows""",
     )
+    sql["driver_features_keyed"] = sql["driver_features"]
     sql["fatal_rate_by_age"] = _with(
         _DRIVER,
         f"""SELECT a.age_bin, coalesce(
