@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadgrain.functions.clean import as_number, day_name, present
+from roadgrain.functions.clean import as_number, computed_once, day_name, present
 from roadgrain.functions.features import non_fatal, safe_rate
 
 PEOPLE_COUNTS = ("persons", "pedestrians", "cyclists")
@@ -113,6 +113,24 @@ def value_counts(df: DataFrame, column: str, k: int | None = None) -> DataFrame:
     return ordered if k is None else ordered.limit(k)
 
 
+def counts_by_each(df: DataFrame, dims: Mapping[str, Column], flags: Mapping[str, Column]) -> DataFrame:
+    """Rows and flagged rows per value of each dimension by itself, and of all rows, from one scan.
+
+    Columns: ``dimension`` (a name, or '' for all rows), the dimensions (NULL but for that one), ``count``
+    and a count per flag. NULL is a value of a dimension.
+    """
+    names = list(dims)
+    taken = df.select(*[c.alias(n) for n, c in dims.items()], *[c.alias(f"__{f}") for f, c in flags.items()])
+    counted = taken.groupingSets([[], *([F.col(n)] for n in names)], *names).agg(
+        F.grouping_id().alias("__set"), F.count(F.lit(1)).alias("count"), *[F.count_if(f"__{f}").alias(f) for f in flags]
+    )
+    # A bit of the id is 0 for the dimension that is grouped by, the first name's bit being the highest.
+    every = 2 ** len(names) - 1
+    ids = {every - 2 ** (len(names) - 1 - i): n for i, n in enumerate(names)} | {every: ""}
+    told = F.element_at(F.create_map(*[F.lit(x).cast(t) for i, n in ids.items() for x, t in ((i, "long"), (n, "string"))]), F.col("__set").cast("long"))
+    return counted.select(told.alias("dimension"), *names, "count", *flags)
+
+
 def injury_rate_by(df: DataFrame, column: str, k: int, flag: str = "injury_any") -> DataFrame:
     """The ``k`` values of ``column`` with the highest share of injured rows."""
     groups = df.groupBy(column).agg(
@@ -253,16 +271,18 @@ def exact_median(
 ) -> DataFrame:
     """Exact median per column, as rows (axis, median), without sorting the values.
 
-    With ``weight``, a row stands for that many equal rows.
+    With ``weight``, a row stands for that many equal rows, see :func:`weighted_middle`.
 
     A histogram of ``bins`` bins between the least and the largest value shows which bin holds the
     middle ranks, a second one divides that bin, and a last pass counts the distinct values of the
     bin found. So no task gets more than ``bins`` rows, or the distinct values of one bin in
     ``bins`` squared, whatever the range of the values and however many rows share one.
     """
+    if weight is not None:
+        ends = weighted_middle(df, columns, weight)
+        return ends.groupBy("axis").agg(((F.min("v") + F.max("v")) / 2).alias("median"))
     pairs = F.array(*[F.struct(F.lit(c).alias("axis"), F.col(c).cast("double").alias("v")) for c in columns])
-    times = (F.lit(1) if weight is None else F.col(weight)).cast("long").alias("w")
-    values = df.select(times, F.inline(pairs)).where("v is not null and not isnan(v)")
+    values = df.select(F.lit(1).cast("long").alias("w"), F.inline(pairs)).where("v is not null and not isnan(v)")
     # One row per column, then one or two bins per column.
     reach = values.groupBy("axis").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.lit(0).cast("long").alias("offset"), F.sum("w").alias("total"))
     for level in range(2):
@@ -314,12 +334,34 @@ def median_center(df: DataFrame, weight: str | None = None) -> DataFrame:
 def approx_center(df: DataFrame, accuracy: int = 10_000, weight: str | None = None) -> DataFrame:
     """Map centre by an approximate median; its rank is off by at most ``1 / accuracy`` of the rows.
 
-    With ``weight``, a row stands for that many equal rows; they are repeated within their task.
+    With ``weight``, a row stands for that many equal rows, and the rank is exact.
     """
-    if weight is not None:
-        df = df.where(F.col(weight) > 0)
-        df = df.select("LAT", "LON", F.explode(F.sequence(F.lit(1).cast("long"), F.col(weight).cast("long"))))
-    return df.agg(
-        F.percentile_approx("LAT", 0.5, accuracy).alias("lat"),
-        F.percentile_approx("LON", 0.5, accuracy).alias("lon"),
-    )
+    if weight is None:
+        return df.agg(F.percentile_approx("LAT", 0.5, accuracy).alias("lat"), F.percentile_approx("LON", 0.5, accuracy).alias("lon"))
+    middle = weighted_middle(df, ["LAT", "LON"], weight)
+    return middle.agg(*[F.min(F.when(F.col("axis") == c, F.col("v"))).alias(n) for c, n in (("LAT", "lat"), ("LON", "lon"))])
+
+
+def weighted_middle(df: DataFrame, columns: Sequence[str], weight: str, ranges: int = 64) -> DataFrame:
+    """The values at the two middle ranks of each column, as rows (axis, v), one where they are equal.
+
+    A row stands for ``weight`` equal rows and none is repeated for it: weights are summed per value,
+    before the shuffle first, and again per range of values. Ranges hold like numbers of distinct
+    values, and only the one or two with a middle rank are put in order. The rows are read once, as all
+    steps after the first share its shuffle.
+    """
+    pairs = F.array(*[F.struct(F.lit(c).alias("axis"), F.col(c).cast("double").alias("v")) for c in columns])
+    values = df.where(F.col(weight) > 0).select(F.col(weight).cast("long").alias("w"), F.inline(pairs))
+    values = values.where("v is not null and not isnan(v)")
+    counted = computed_once(values.groupBy("axis", "v").agg(F.sum("w").alias("w")))
+    # One row of cuts per column.
+    shares = [i / ranges for i in range(1, ranges)]
+    cuts = counted.groupBy("axis").agg(F.percentile_approx("v", shares, 10 * ranges).alias("cuts"))
+    ranged = counted.join(F.broadcast(cuts), "axis").withColumn("bin", F.size(F.filter("cuts", lambda c: c < F.col("v")))).drop("cuts")
+    sums = ranged.groupBy("axis", "bin").agg(F.sum("w").alias("n"))
+    totals = sums.withColumns({"total": F.sum("n").over(Window.partitionBy("axis")), "offset": F.lit(0).cast("long")})
+    found = _middle_ranks(totals).select("axis", "bin", "total", F.col("before").alias("offset"))
+    inside = ranged.join(F.broadcast(found), ["axis", "bin"])
+    # Values of a second range go on counting where the first one ends.
+    first = inside.withColumn("offset", F.min("offset").over(Window.partitionBy("axis")))
+    return _middle_ranks(first.withColumnRenamed("w", "n").withColumn("bin", F.col("v"))).select("axis", "v")

@@ -64,6 +64,12 @@ class CrashData:
     def impact(self) -> DataFrame:
         return crash.impact(self.clean)
 
+    @cached_property
+    def counted(self) -> DataFrame:
+        """Crashes with both fatal flags, for :func:`roadgrain.plans.charts.crash_counts`."""
+        flagged = self.flagged.withColumnRenamed("is_fatal", "is_fatal_any")
+        return crash.distribution(flagged, self.tables.fatalities)
+
     @cached_property
     def distribution(self) -> DataFrame:
         return crash.distribution(self.clean, self.tables.fatalities)

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from roadgrain.functions import features
 from roadgrain.functions.schema import severity_columns
-from roadgrain.plans import crash, drivers, street
+from roadgrain.plans import charts, crash, drivers, street
 from roadgrain.plans.analyses import ANALYSES, Analysis, CrashData
-from roadgrain.plans.report import write_report
+from roadgrain.plans.report import read_report, write_report
 from roadgrain.sources import sinks
 from roadgrain.sources.keyed import write_keyed
 from roadgrain.sources.tables import Tables, load_tables
@@ -31,7 +31,7 @@ def _over_test_tables(fn: Analysis) -> Query:
 
 def queries() -> dict[str, Query]:
     found = {name: _over_test_tables(fn) for name, fn in ANALYSES.items()}
-    more = (schema_tolerant_load, csv_tables, hotspots_without_cause, fatal_points_without_cause, report_outputs, driver_features_keyed)
+    more = (schema_tolerant_load, csv_tables, hotspots_without_cause, fatal_points_without_cause, report_outputs, driver_features_keyed, crash_charts)
     return found | {fn.__name__: fn for fn in more}
 
 
@@ -51,12 +51,22 @@ def fatal_points_without_cause(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A chart series and a map layer as the report writes them, read back: name, rows."""
-    names = ("daily_counts", "hotspot_layer")
+    """A chart series and a map layer as the report writes them, read back through its manifest: name and each row's values."""
     out = f"{sinks.scratch_dir(spark)}/report-{uuid.uuid4().hex}"
-    paths = write_report(crash_tables(spark, sf_dir), out, names)
-    parts = [spark.read.parquet(paths[n]).agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("rows")) for n in names]
-    return parts[0].unionByName(parts[1])
+    write_report(crash_tables(spark, sf_dir), out, ("daily_counts", "hotspot_layer"))
+    read = read_report(spark, out)
+    series = read["daily_counts"].select(F.lit("daily_counts").alias("name"), F.concat_ws("|", "CRASH_DATE", "count").alias("row"))
+    layer = read["hotspot_layer"]
+    place = [F.format_string("%.3f", c) for c in ("lat", "lon")]
+    return series.unionByName(layer.select(F.lit("hotspot_layer").alias("name"), F.concat_ws("|", *place, "radius", "color", "popup").alias("row")))
+
+
+def crash_charts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every dimension of the crash-grain charts with its counts, from one scan."""
+    counts = charts.crash_counts(CrashData(crash_tables(spark, sf_dir)).counted)
+    names = [c for c in counts.columns if c not in ("dimension", "count", *charts.FLAGS)]
+    value = F.coalesce(*[F.col(c).cast("string") for c in names])
+    return counts.select("dimension", value.alias("value"), "count", *charts.FLAGS)
 
 
 def driver_features_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:

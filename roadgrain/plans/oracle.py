@@ -476,8 +476,33 @@ FROM located WHERE is_fatal ORDER BY {heat} LIMIT 5000""",
     )
     sql["report_outputs"] = _with(
         f"{_CRASH},\n{_CELLS}",
-        """SELECT 'daily_counts' AS name, count(DISTINCT cast(CRASH_DATETIME as date)) AS rows FROM clean
-UNION ALL SELECT 'hotspot_layer', count(*) FROM ranked""",
+        f"""SELECT 'daily_counts' AS name, concat_ws('|', cast(CRASH_DATETIME as date), count(*)) AS "row"
+FROM clean WHERE CRASH_DATETIME IS NOT NULL GROUP BY cast(CRASH_DATETIME as date)
+UNION ALL SELECT 'hotspot_layer', concat_ws('|', printf('%.3f', lat), printf('%.3f', lon),
+  cast(greatest(4, least(30, floor(sqrt(count) * 3))) as integer),
+  case when fatal_count > 0 then '#d73027' else '#1a9850' end,
+  concat('Count: ', count, '<br>Injuries: ', injury_any_count, '<br>Fatal: ', fatal_count,
+    '<br>Top cause: ', {_popup("top_cause")})) FROM ranked""",
+    )
+    charts = {
+        "": "NULL",
+        "HOUR": "HOUR",
+        "CRASH_DATE": "cast(CRASH_DATETIME as date)",
+        "CRASH_MONTH": "cast(date_trunc('month', CRASH_DATETIME) as timestamp)",
+        "DAY_OF_WEEK": "coalesce(dayname(CRASH_DATETIME), 'Unknown')",
+        "PRIM_CONTRIBUTORY_CAUSE": "PRIM_CONTRIBUTORY_CAUSE",
+        "WEATHER_CONDITION": "WEATHER_CONDITION",
+        "LIGHTING_CONDITION": "LIGHTING_CONDITION",
+        "ROADWAY_SURFACE_COND": "upper(trim(ROADWAY_SURFACE_COND))",
+    }
+    sql["crash_charts"] = _with(
+        _CRASH,
+        "\nUNION ALL ".join(
+            f"""SELECT '{name}' AS dimension, cast({value} as varchar) AS value, count(*) AS count,
+  count(case when injury_any then 1 end) AS injured, count(case when is_fatal then 1 end) AS fatal,
+  count(case when is_fatal then 1 end) AS deadly FROM flagged GROUP BY 2"""
+            for name, value in charts.items()
+        ),
     )
     sql["schema_tolerant_load"] = """WITH street AS (SELECT cast(o_orderkey as varchar) AS id,
   case when o_orderkey % 83 = 0 then null else cast(o_orderdate as date) end AS CRASH_DATE,

@@ -249,6 +249,24 @@ def test_approx_center_rank_error(spark):
     assert abs(got.lat - 5000) <= 100 and got.lon == 1.0
 
 
+def test_weighted_middle_equals_repeated_rows(spark):
+    rng = random.Random(11)
+    for n in (1, 2, 7, 40, 400):
+        data = [(rng.choice([None, float("nan"), *map(float, range(-9, 200))]), rng.choice([0, 1, 1, 2, 1_000])) for _ in range(n)]
+        df = spark.createDataFrame([*data, (500.0, 0)], "x double, w int")
+        values = sorted(v for v, w in data for _ in range(w) if v is not None and v == v)
+        got = sorted(r["v"] for r in agg.weighted_middle(df, ["x"], "w").collect())
+        assert got == sorted({values[(len(values) - 1) // 2], values[len(values) // 2]} if values else [])
+
+
+def test_weights_are_not_unrolled(spark):
+    df = spark.createDataFrame([(41.0 + i / 1000, -87.0, 3_000_000_000 if i == 700 else 1) for i in range(1_000)], "LAT double, LON double, w long")
+    center = agg.approx_center(df, weight="w")
+    assert center.first() == (41.7, -87.0)
+    text = center._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence" not in text
+
+
 def test_approx_center_counts_drivers(spark):
     """A fatal crash with three drivers counts three times, one without drivers not at all."""
     crashes = [("a", "41.7", "-87.7", "1"), ("b", "41.8", "-87.8", "1"), ("c", "41.9", "-87.9", "1"), ("d", "42.0", "-87.5", "0")]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from roadgrain.operators import joins
-from roadgrain.plans import catalog, crash, report
+from roadgrain.plans import catalog, charts, crash, report
 from roadgrain.plans.analyses import ANALYSES, CrashData
 from roadgrain.sources.tables import Tables
 from roadgrain.sources.views import crash_tables
@@ -60,7 +60,7 @@ def test_cleaned_table_pushes_filters(spark, tmp_path):
     data = CrashData(crash_tables(spark, SF_DIR))
     paths = report.write_report(data.tables, str(tmp_path), ["hotspots_top200", "daily_counts"])
     assert spark.read.parquet(paths["hotspots_top200"]).count() == 200
-    clean = spark.read.parquet(f"{tmp_path}/tables/clean_crashes")
+    clean = spark.read.parquet(paths["daily_counts"].replace("/daily_counts", "/tables/clean_crashes"))
     text = plan(ANALYSES["hotspots_top200"](CrashData(data.tables, clean)))
     assert "IsNotNull(LAT), IsNotNull(LON)" in text
     assert "CRASH_DATE" not in text.split("ReadSchema")[1]
@@ -108,6 +108,51 @@ def test_report_writes_every_small_analysis(spark, tmp_path):
         assert got == sorted(map(repr, ANALYSES[name](direct).collect())), name
 
 
+def test_charts_from_one_scan_equal_single_ones(spark):
+    data = CrashData(crash_tables(spark, SF_DIR))
+    counts = charts.crash_counts(data.counted)
+    assert plan(counts).count("FileScan") == 1
+    stored = counts.cache()
+    for name, (_, chart) in charts.CHARTS.items():
+        assert list(map(repr, chart(stored).collect())) == list(map(repr, ANALYSES[name](data).collect())), name
+    stored.unpersist()
+
+
+def test_report_takes_charts_from_the_counts(spark, tmp_path):
+    tables = crash_tables(spark, SF_DIR)
+    wanted = ["daily_counts", "injury_share", "topk_rate_surface", "hourly_fatal"]
+    paths = report.write_report(tables, str(tmp_path), wanted)
+    run = paths["daily_counts"].removesuffix("/daily_counts")
+    assert spark.read.parquet(f"{run}/tables/crash_counts").where("dimension = ''").count() == 1
+    found = report.read_report(spark, str(tmp_path))
+    assert sorted(found) == sorted(wanted)
+    for name, df in found.items():
+        assert sorted(map(repr, df.collect())) == sorted(map(repr, ANALYSES[name](CrashData(tables)).collect())), name
+
+
+def test_a_failed_report_leaves_the_last_one(spark, tmp_path, monkeypatch):
+    tables, out = crash_tables(spark, SF_DIR), str(tmp_path)
+    with pytest.raises(FileNotFoundError):
+        report.read_report(spark, out)
+    report.write_report(tables, out, ["dow_counts"])
+    broken = lambda d: d.clean.selectExpr("raise_error('broken') as x")
+    monkeypatch.setitem(ANALYSES, "profile_crashes", broken)
+    with pytest.raises(Exception, match="broken"):
+        report.write_report(tables, out, ["dow_counts", "profile_crashes"])
+    assert list(report.read_report(spark, out)) == ["dow_counts"]
+    monkeypatch.undo()
+    report.write_report(tables, out, ["dow_counts", "profile_crashes"])
+    assert sorted(report.read_report(spark, out)) == ["dow_counts", "profile_crashes"]
+
+
+def test_layers_read_their_source_twice_at_most(spark):
+    for name, most in (("period_heat", 2), ("top_cause_layers", 2), ("fatal_by_age_layers", 6), ("fatal_by_surface_layers", 6)):
+        df = catalog.queries()[name](spark, SF_DIR)
+        df.collect()
+        final = plan(df).split("== Initial Plan ==")[0]
+        assert 0 < final.count("FileScan") <= most, name  # of drivers, three tables make the source
+
+
 def test_report_on_lower_case_headers_with_missing_columns(spark, tmp_path):
     t = crash_tables(spark, SF_DIR)
     lower = [df.toDF(*[c.lower().replace("crash_record_id", "rd_no") for c in df.columns]) for df in t]
