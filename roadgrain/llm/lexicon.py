@@ -9,11 +9,13 @@ one flat file that executors map into memory; a chunk that it does not hold is m
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import mmap
 import os
 import re
 import struct
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadgrain.llm import words
-from roadgrain.llm.shared import SPACE_RUN, Rows, documents, text_or_empty, text_rows
+from roadgrain.llm.shared import SPACE_RUN, Rows, documents, stored, text_or_empty, text_rows
 
 #: Words that the automaton holds at most: the bound of what goes to the driver and the executors.
 LEXICON_WORDS = 60_000
@@ -34,6 +36,8 @@ LEXICON_WORDS = 60_000
 LEAST_COUNT = 4
 #: Longer chunks are no lexicon words.
 LONGEST_WORD = 64
+#: Pieces of more bytes are merged by a heap.
+SHORT_PIECE = 48
 #: Chunks whose ids a worker keeps.
 KEPT = 1_000_000
 
@@ -62,36 +66,58 @@ class Merger:
         model = whole["model"]
         self.suffix = model["end_of_word_suffix"]
         self.vocab: dict[str, int] = model["vocab"]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.merges: dict[tuple[int, int], int] = {}
+        self.made: list[int] = []  # the id that the merge of each rank makes
         for rank, merge in enumerate(model["merges"]):
             a, b = merge if isinstance(merge, list) else merge.split(" ")
-            self.merges[self.vocab[a], self.vocab[b]] = (rank, self.vocab[a + b])
+            self.merges[self.vocab[a], self.vocab[b]] = rank
+            self.made.append(self.vocab[a + b])
         self.tokens = {i: t for t, i in self.vocab.items()}
         self.tokens |= {t["id"]: t["content"] for t in whole["added_tokens"]}
         self.added = [t["content"] for t in whole["added_tokens"]]
         self.bytes = words.byte_letters()
 
     def word(self, piece: str) -> list[int]:
-        """Ids of one piece: start from its bytes, merge the pair of lowest rank until none is left."""
+        """Ids of one piece: start from its bytes, merge the leftmost pair of lowest rank until none is left."""
         letters = [self.bytes[b] for b in piece.encode()]
         ids = [self.vocab[c] for c in letters[:-1]] + [self.vocab[letters[-1] + self.suffix]]
-        find = self.merges.get
-        while len(ids) > 1:
-            ranked = [m for pair in zip(ids, ids[1:], strict=False) if (m := find(pair))]
-            if not ranked:
-                break
-            rank, merged = min(ranked)
-            out, at = [], 0
-            while at < len(ids):
-                if at + 1 < len(ids) and find((ids[at], ids[at + 1])) == (rank, merged):
-                    out.append(merged)
-                    at += 2
-                else:
-                    out.append(ids[at])
-                    at += 1
-            ids = out
+        return self._short(ids) if len(ids) <= SHORT_PIECE else self._long(ids)
+
+    def _short(self, ids: list[int]) -> list[int]:
+        """Ranks of all neighbours in a list; a merge changes two of them."""
+        rank_of, none = self.merges.get, len(self.made)
+        ranks = [rank_of(pair, none) for pair in zip(ids, ids[1:], strict=False)]
+        while ranks and (rank := min(ranks)) < none:
+            at = ranks.index(rank)
+            ids[at : at + 2] = [self.made[rank]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = rank_of((ids[at - 1], ids[at]), none)
+            if at < len(ranks):
+                ranks[at] = rank_of((ids[at], ids[at + 1]), none)
         return ids
 
+    def _long(self, ids: list[int]) -> list[int]:
+        """The same by a heap over a linked list, in n log n steps."""
+        rank_of, n = self.merges.get, len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(rank, at) for at in range(n - 1) if (rank := rank_of((ids[at], ids[at + 1]))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, at = heapq.heappop(heap)
+            right = after[at]
+            # Merged away or changed since it was put there.
+            if ids[at] < 0 or right >= n or rank_of((ids[at], ids[right])) != rank:
+                continue
+            ids[at], ids[right] = self.made[rank], -1
+            after[at] = follow = after[right]
+            if follow < n:
+                before[follow] = at
+            for left, beside in ((before[at], at), (at, follow)):
+                if left >= 0 and beside < n and (new := rank_of((ids[left], ids[beside]))) is not None:
+                    heapq.heappush(heap, (new, left))
+        return [i for i in ids if i >= 0]
+
     def plain_chunk(self, chunk: str) -> list[int]:
         return [i for piece in PIECE.findall(chunk.lower()) for i in self.word(piece)]
 
@@ -155,6 +181,11 @@ def compile_automaton(entries: list[tuple[bytes, bytes]]) -> bytes:
     return head + b"".join(p.tobytes() for p in parts)
 
 
+def plain_numbers(part: np.ndarray) -> memoryview | list[int]:
+    """32-bit numbers whose items are plain ones, which those of an array are not; still in the mapped file."""
+    return memoryview(part.view("u1")).cast("I") if sys.byteorder == "little" and len(part) else part.tolist()
+
+
 class Automaton:
     """A compiled lexicon over any buffer, such as a memory-mapped file."""
 
@@ -166,19 +197,20 @@ class Automaton:
         for size, kind in zip(sizes, ("<u4", "<u1", "<u1", "<u4", "<u4", "<u4", "<u4"), strict=True):
             parts.append(np.frombuffer(buffer, kind, size // np.dtype(kind).itemsize, at))
             at += size
-        self.first, self.final, self.labels, self.targets, self.skips, self.ends, self.ids = parts
+        first, self.final, labels, targets, skips, self.ends, self.ids = parts
+        self.first, self.targets, self.skips = (plain_numbers(p) for p in (first, targets, skips))
+        self.labels = labels.tobytes()  # few edges of a state are searched fastest as bytes
 
     def number(self, word: bytes) -> int:
         """The number of a word among the sorted words, or -1."""
-        first, labels = self.first, self.labels
+        first, find, targets, skips = self.first, self.labels.find, self.targets, self.skips
         state, number = self.root, 0
         for byte in word:
-            lo, hi = int(first[state]), int(first[state + 1])
-            at = lo + int(labels[lo:hi].searchsorted(byte))
-            if at == hi or labels[at] != byte:
+            at = find(byte, first[state], first[state + 1])
+            if at < 0:
                 return -1
-            number += int(self.skips[at])
-            state = int(self.targets[at])
+            number += skips[at]
+            state = targets[at]
         return number if self.final[state] else -1
 
     def get(self, word: bytes) -> bytes | None:
@@ -244,11 +276,23 @@ def encoder(path: str, name: str) -> Encoder:
 
 
 def frequent_chunks(df: DataFrame, text_col: str, most: int, least: int) -> DataFrame:
-    """The ``most`` commonest chunks of all texts that come ``least`` times or more."""
+    """The commonest chunks of all texts that come ``least`` times or more, ``most`` of them or somewhat fewer.
+
+    How often a chunk must come is read from a histogram of the counts in steps of a sixteenth of a
+    doubling, so that no task sends more than what is taken.
+    """
     chunk = F.explode(F.split(text_or_empty(text_col), SPACE_RUN)).alias("chunk")
     counts = df.select(chunk).groupBy("chunk").agg(F.count(F.lit(1)).alias("n"))
     usable = (F.col("n") >= least) & (F.length("chunk").between(1, LONGEST_WORD)) & ~F.col("chunk").rlike(r"[\x1c-\x1f]")
-    return counts.filter(usable).orderBy(F.desc("n"), "chunk").limit(most)
+    step = F.floor(F.log2("n") * 16).cast("int")
+    counts = stored(counts.filter(usable).withColumn("step", step), "chunk-counts")
+    taken, lowest = 0, None
+    for row in counts.groupBy("step").agg(F.count(F.lit(1)).alias("chunks")).orderBy(F.desc("step")).collect():  # some hundred rows
+        taken += row["chunks"]
+        if taken > most:
+            break
+        lowest = row["step"]
+    return counts.filter(F.col("step") >= F.lit(lowest)).select("chunk", "n")
 
 
 def build_lexicon(df: DataFrame, *, text_col: str, path: str, most: int, least: int) -> bytes:
@@ -288,8 +332,8 @@ def encode_documents(
 
     One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256, n_lexicon (chunks of the
     text that the lexicon holds), and with ``keep_ids`` the ids and the decoded text. Null and empty
-    texts have no ids and decode to the empty text; repeated rows yield a row each; an empty table
-    yields none; other columns are not read.
+    texts have no ids and decode to the empty text; very long texts and words take time in proportion
+    to their length, but for a logarithm; repeated rows yield a row each; an empty table yields none; other columns are not read.
     """
     path = tokenizer_path or words.default_path()
     spark = df.sparkSession

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -74,6 +75,29 @@ def test_merges_equal_the_library(library):
         assert own.word(word) == library.encode(word, add_special_tokens=False).ids
 
 
+def test_long_words_merge_like_the_library_and_in_time(library):
+    own, rng = lexicon.merger(words.default_path()), random.Random(12)
+    for n in (1, 2, 40, 47, 48, 49, 60, 300, 4_000):
+        for letters in ("abcdefghijklmnopqrstuvwxyz", "ab", "thé"):
+            word = "".join(rng.choices(letters, k=n))
+            assert own.word(word) == library.encode(word, add_special_tokens=False).ids
+    long = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=200_000))
+    start = time.process_time()
+    found = own.word(long)
+    assert time.process_time() - start < 5
+    assert found == library.encode(long, add_special_tokens=False).ids
+
+
+def test_frequent_chunks_are_the_commonest(docs):
+    counts = {f"w{i}": 4 + i for i in range(60)} | {"rare": 2}
+    texts = [(1, " ".join(w for w, n in counts.items() for _ in range(n))), (2, "a " * 500)]
+    all_ = {r["chunk"]: r["n"] for r in lexicon.frequent_chunks(docs(texts), "text", 1_000, 4).collect()}
+    assert all_ == {w: n for w, n in counts.items() if n >= 4} | {"a": 500}
+    some = {r["chunk"]: r["n"] for r in lexicon.frequent_chunks(docs(texts), "text", 30, 4).collect()}
+    assert 20 <= len(some) <= 30 and min(some.values()) > max(n for w, n in all_.items() if w not in some)
+    assert not lexicon.frequent_chunks(docs(texts), "text", 0, 4).collect()
+
+
 @pytest.mark.parametrize("n", [0, 1, 63, 64, 511, 512, 513, 5_000])
 def test_wavelet_matrix_against_a_plain_array(n):
     rng = np.random.default_rng(n)
