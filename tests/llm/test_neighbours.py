@@ -65,6 +65,20 @@ def test_recall_of_probed_lists(spark, monkeypatch):
     assert [i for i, _ in got[0]] == [i for i, _ in want[0]]  # ties go to the smaller ids
 
 
+def test_an_outlying_group_is_filled_up_from_further_lists(spark, monkeypatch):
+    """Tight groups and six vectors far from all: their query gets twenty rows too."""
+    monkeypatch.setattr(neighbours, "LIST_ROWS", 50)
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((40, 16)) * 3
+    rows = [(i, (centres[i % 40] + 0.05 * rng.standard_normal(16)).tolist()) for i in range(2_000)]
+    rows += [(2_000 + i, (50 + rng.standard_normal(16)).tolist()) for i in range(6)]
+    want, got = brute(rows, 20), found(frame(spark, rows))
+    assert all(len(r) == 20 for r in got.values()) and got.keys() == want.keys()
+    assert {i for i, _ in got[2_000][:5]} == set(range(2_001, 2_006))
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+    assert hits / (20 * len(want)) >= 0.9
+
+
 def test_rows_that_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     bad = [None, [], [0.0, 0.0], [1.0, nan], [inf, 1.0], [None, 1.0], [1.0, 2.0, 3.0]]
