@@ -32,6 +32,8 @@ TREES, DEPTH, RATE = 20, 3, 0.3
 STEMS = (4, 5, 6)
 #: The fold that the calibration learns from; fold 0 is held out, the others make the trees.
 CALIBRATION_FOLD = 1
+#: Word pairs that a task holds before it hands them on, and words whose evidence a worker keeps.
+PAIRS_HELD, WORDS_KEPT = 50_000, 500_000
 #: Words around a lexicon word in which a second person counts as near, and of a dense stretch.
 NEAR, STRETCH = 5, 25
 
@@ -73,19 +75,28 @@ def stems(word: str) -> list[str]:
 
 
 def word_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct (toxic, word before, word or stem) of each batch of labelled texts."""
+    """(toxic, word before, word or stem) of labelled texts; a row comes once per ``PAIRS_HELD`` of them, or more often."""
     schema = pa.schema([("toxic", pa.int32()), ("before", pa.string()), ("word", pa.string())])
+    seen: set[tuple[int, str, str]] = set()
+
+    def flush() -> pa.RecordBatch:
+        columns = zip(*seen, strict=True) if seen else [()] * 3
+        batch = pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+        seen.clear()
+        return batch
+
     for batch in batches:
-        seen: set[tuple[int, str, str]] = set()
-        for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            found = WORD.findall((text or "").lower())
-            for before, word in set(zip(["", *found], found, strict=False)):
-                seen.update((toxic, before, w) for w in (word, *stems(word)))
-        rows = Rows(schema, most=50_000)
-        for row in seen:
-            if rows.add(*row):
-                yield rows.take()
-        yield rows.take()
+        for toxic, text in zip(batch.column("toxic"), batch.column("text"), strict=True):
+            before, label = "", toxic.as_py()
+            for match in WORD.finditer((text.as_py() or "").lower()):
+                word = match[0]
+                seen.add((label, before, word))
+                for stem in stems(word):
+                    seen.add((label, before, stem))
+                before = word
+                if len(seen) >= PAIRS_HELD:
+                    yield flush()
+    yield flush()
 
 
 def learn_lexicon(labelled: DataFrame, *, most: int = LEXICON_WORDS, least: float = LEAST_EVIDENCE) -> dict[str, float]:
@@ -105,16 +116,34 @@ def learn_lexicon(labelled: DataFrame, *, most: int = LEXICON_WORDS, least: floa
     return {r["word"]: r["evidence"] for r in best.collect()}
 
 
-def dense_features(text: str, lexicon: dict[str, float]) -> tuple[float, ...]:
+class Evidence(dict):
+    """The evidence of a word or its best stem, 0 for words without any; looked up once per distinct word."""
+
+    def __init__(self, lexicon: dict[str, float]) -> None:
+        super().__init__()
+        self.lexicon = lexicon
+        #: How the words and stems begin: no other word has any evidence.
+        self.starts = {word.rstrip("*")[: STEMS[0]] for word in lexicon}
+
+    def __missing__(self, word: str) -> float:
+        if len(self) >= WORDS_KEPT:
+            self.clear()
+        find = self.lexicon.get
+        found = self[word] = max([find(word, 0.0), *(find(s, 0.0) for s in stems(word))])
+        return found
+
+
+def dense_features(text: str, lexicon: dict[str, float] | Evidence) -> tuple[float, ...]:
     """The features of one text; rates are per word or per character. All are 0 for the empty text.
 
     ``lexicon`` has the evidence of each word and stem.
     """
+    known = lexicon if isinstance(lexicon, Evidence) else Evidence(lexicon)
     lower = text.lower()
     found = WORD.findall(lower)
     words, chars = max(1, len(found)), max(1, len(text))
-    known = {w: max([lexicon.get(w, 0.0), *(lexicon.get(s, 0.0) for s in stems(w))]) for w in set(found)}
-    hits = [i for i, w in enumerate(found) if known[w]]
+    starts, first = known.starts, STEMS[0]
+    hits = [i for i, w in enumerate(found) if w[:first] in starts and known[w]]
     evidence = [math.log1p(known[found[i]]) for i in hits]
     near = sum(1 for i in hits if not SECOND_PERSON.isdisjoint(found[max(0, i - NEAR) : i + NEAR + 1]))
     dense = lo = 0
@@ -123,7 +152,7 @@ def dense_features(text: str, lexicon: dict[str, float]) -> tuple[float, ...]:
             lo += 1
         dense = max(dense, hi - lo + 1)
     mixed = MIXED.findall(lower)
-    hidden = sum(1 for w in mixed if w.translate(STAND_INS).replace(".", "").replace("-", "").replace("_", "") in lexicon)
+    hidden = sum(1 for w in mixed if w.translate(STAND_INS).replace(".", "").replace("-", "").replace("_", "") in known.lexicon)
     signs = {c: text.count(c) for c in "!?*#$%&@"}
     upper = len(re.findall(r"[A-ZÀ-ÖØ-Þ]", text))
     shouted = len(re.findall(r"\b[A-ZÀ-ÖØ-Þ]{2,}\b", text))
@@ -151,7 +180,7 @@ def feature_table(df: DataFrame, lexicon: dict[str, float], *, id_col: str = "do
     shared = df.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, rows = shared.value, Rows(ARROW, most=10_000)
+        own, rows = Evidence(shared.value), Rows(ARROW, most=10_000)
         for batch in batches:
             columns = (batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "text"))
             for doc_id, text_hash, text in zip(*columns, strict=True):
@@ -168,7 +197,7 @@ def labelled_sample(labels: DataFrame, most: int) -> DataFrame:
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_000)) / 1_000_000
     share = min(1.0, most / max(1, known.count()))
-    return stored(known.filter(draw < share).coalesce(1), "labels")
+    return stored(known.filter(draw < share).repartition(1), "labels")
 
 
 def toxicity(
@@ -192,7 +221,7 @@ def toxicity(
     features = stored(feature_table(docs, lexicon), "features")
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(features)
     rows = rows.select("doc_id", "text_hash", "features")
-    train = stored(features.join(sample, "doc_id").coalesce(4), "train")
+    train = stored(features.join(sample, "doc_id").repartition(4), "train")
     train = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(train)
     train = train.select("features", F.col("toxic").cast("double").alias("label"), fold().alias("fold"))
     makes, calibrates = train.filter(F.col("fold") != CALIBRATION_FOLD), train.filter(F.col("fold") == CALIBRATION_FOLD)

@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,6 +139,68 @@ def test_stems_stand_for_longer_words():
     assert own["hit_rate"] == 2 / 5
 
 
+def brute_lexicon(rows, least):
+    """Evidence per word and stem, from sets of (label, word before, word) over all rows."""
+    import math
+    import re
+
+    pairs = set()
+    for toxic, text in rows:
+        found = re.findall(r"[^\W\d_]+", (text or "").lower())
+        for before, word in zip(["", *found], found, strict=False):
+            pairs |= {(toxic, before, w) for w in [word, *(f"{word[:k]}*" for k in (4, 5, 6) if len(word) > k)]}
+    t, c = (sum(p[0] == label for p in pairs) for label in (1, 0))
+    share, scores = t / (t + c), {}
+    for word in {p[2] for p in pairs}:
+        a, b = (sum(p[0] == label and p[2] == word for p in pairs) for label in (1, 0))
+        if a > 2 and a / (a + b) > 0.5:
+            score = a * math.log(a / ((a + b) * share)) + (b * math.log(b / ((a + b) * (1 - share))) if b else 0.0)
+            if score >= least:
+                scores[word] = score
+    return scores
+
+
+@pytest.mark.parametrize("held", [3, 50_000])
+def test_lexicon_equals_brute_force_however_often_pairs_are_handed_on(spark, monkeypatch, held):
+    monkeypatch.setattr(toxicity, "PAIRS_HELD", held)
+    rng = random.Random(5)
+    plain = ["".join(rng.choices("abcdeöF", k=5)) for _ in range(300)] + ["a1b"]
+    rows = []
+    for i in range(60):
+        bad = rng.choices(["insulting", "insults", "Zonk"], k=8 if i % 3 == 0 else 1)
+        words = rng.choices(plain, k=30) + bad
+        rng.shuffle(words)
+        rows.append((int(i % 3 == 0), " ".join(words)))
+    rows += [(1, None), (0, ""), rows[0]]
+    assert list(toxicity.word_pairs([pa.record_batch([pa.array([1]), pa.array(["a b"])], names=["toxic", "text"])]))
+    found = toxicity.learn_lexicon(spark.createDataFrame(rows, "toxic int, text string"), least=1.0)
+    want = brute_lexicon(rows, 1.0)
+    assert found.keys() == want.keys() and want and all(abs(found[w] - want[w]) < 1e-9 for w in want)
+
+
+def brute_features(text, lexicon):
+    """The features that are counts of words, word by word."""
+    import re
+
+    words = re.findall(r"[^\W\d_]+", text.lower())
+    score = lambda w: max([lexicon.get(w, 0), *(lexicon.get(f"{w[:k]}*", 0) for k in (4, 5, 6) if len(w) > k)])
+    hits = [i for i, w in enumerate(words) if score(w)]
+    near = sum(any(words[j] in toxicity.SECOND_PERSON for j in range(max(0, i - 5), min(len(words), i + 6))) for i in hits)
+    dense = max((sum(0 <= j - i <= 25 for j in hits) for i in hits), default=0)
+    return len(hits) / max(1, len(words)), dense, near / max(1, len(words))
+
+
+def test_features_equal_brute_force_also_when_words_are_forgotten(monkeypatch):
+    monkeypatch.setattr(toxicity, "WORDS_KEPT", 3)
+    rng = random.Random(6)
+    lexicon = {"moron": 9.0, "idio*": 4.0, "x": 2.0}
+    known = toxicity.Evidence(lexicon)
+    for _ in range(200):
+        text = " ".join(rng.choices(["you", "Moron", "idiotic", "idio", "fine", "x", "words", "du", "1"], k=rng.randrange(80)))
+        own = dict(zip(toxicity.FEATURES, toxicity.dense_features(text, known), strict=True))
+        assert (own["hit_rate"], own["dense_hits"], own["near_second_person"]) == brute_features(text, lexicon)
+
+
 def test_copies_do_not_make_lexicon_words(spark):
     """Words of one toxic text in a hundred copies have one context each; the planted word has many."""
     copies = [(1, "grumpf lives beside frotz under the plonk")] * 100
