@@ -86,7 +86,7 @@ def test_the_whole_run_equals_the_stages(spark, kept):
 def test_every_operator_is_registered():
     names = set(contract.queries())
     assert set(queries.queries()) | {"pipeline"} <= names
-    assert {n.split("_")[0] for n in queries.queries()} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.queries()} == {f"op{k}" for k in range(1, 14)}
     assert set(queries.oracle_sql()) <= set(contract.oracle_sql())
 
 
