@@ -14,7 +14,10 @@ first ``n - least_common + 1`` of each (its prefix) share one. The join uses thi
 3. Of each list of groups that share a shingle, all are first joined to one hub: members of the one
    are verified against a member of the other. Pairs are expanded only where the ends are in
    different components after that, so that a large set of copies is joined along a star, and no
-   link between components is lost.
+   link between components is lost. Each set has a parity map: a bit for each slot of the hash that
+   is set when the slot holds an odd number of its shingles. Two maps differ in no more bits than
+   their sets differ in shingles, so that pairs that differ in too many are left out by the join
+   itself; for a part of a group, the bits that all and that any of its members have are compared.
 
 Verification compares whole sets. Components are joined by rounds of label exchange on tables.
 """
@@ -41,14 +44,19 @@ HOT_SHARE = 2_000
 HOT_ROWS = 1_000
 #: Rows (a number each) up to which the sets to fetch are broadcast; beyond, they are joined by shuffle.
 BROADCAST_SETS = 2_000_000
+#: Words of 64 bits in the parity map of a set.
+MAP_WORDS = 4
 
 SETS = pa.schema(
-    [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("shingles", pa.list_(pa.int64()))]
+    [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("shingles", pa.list_(pa.int64())), ("parity", pa.list_(pa.int64()))]
 )
 
 
 def set_rows(df: DataFrame, id_col: str, text_col: str, width: int, percent: int, *, whole: bool) -> DataFrame:
-    """doc_id, text_hash, n, h1, h2 (two hashes of the whole set), shingles: the whole set or those below a bound."""
+    """doc_id, text_hash, n, h1, h2 (two hashes of the whole set), shingles: the whole set or those below a bound.
+
+    ``parity`` is the map of a whole set, and empty with those below a bound.
+    """
     bound = np.uint64(min((1 << 64) - 1, int((1 << 64) * REGION * (100 - percent) / 100)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,6 +68,7 @@ def set_rows(df: DataFrame, id_col: str, text_col: str, width: int, percent: int
                 h2 = np.array([np.bitwise_xor.reduce(s * (s >> np.uint64(32) | np.uint64(1))) if len(s) else 0 for s in sets], np.uint64)
             flat = np.concatenate([*cut, np.empty(0, np.uint64)]).view(np.int64)
             offsets = np.cumsum([0, *map(len, cut)]).astype(np.int32)
+            maps = [parity_map(s) if whole else [] for s in sets]
             yield pa.record_batch(
                 [
                     pa.array([k for (k, _), _ in group], pa.int64()),
@@ -68,14 +77,22 @@ def set_rows(df: DataFrame, id_col: str, text_col: str, width: int, percent: int
                     pa.array(h1.view(np.int64)),
                     pa.array(h2.view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+                    pa.array(maps, pa.list_(pa.int64())),
                 ],
                 schema=SETS,
             )
 
-    schema = "doc_id bigint, text_hash bigint, n bigint, h1 bigint, h2 bigint, shingles array<bigint>"
+    schema = "doc_id bigint, text_hash bigint, n bigint, h1 bigint, h2 bigint, shingles array<bigint>, parity array<bigint>"
     return picked(df, id_col, text_col).mapInArrow(run, schema)
 
 
+def parity_map(shingles: np.ndarray) -> list[int]:
+    """A bit for each slot (leading bits of the hash): whether it holds an odd number of the shingles."""
+    slots = (shingles >> np.uint64(64 - (64 * MAP_WORDS - 1).bit_length())).astype(np.int64)
+    odd = np.bincount(slots, minlength=64 * MAP_WORDS).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64).tolist()
+
+
 def named_texts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], str]]:
     for batch in batches:
         columns = (batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "text"))
@@ -151,6 +168,20 @@ def place_fits(percent: int) -> Column:
     return sizes & (before + after >= least)
 
 
+def part_maps(members: DataFrame, *by: str) -> DataFrame:
+    """For each group of ``members``: the bits of the maps that all of them and that any of them have."""
+    words = [F.get("parity", F.lit(i)) for i in range(MAP_WORDS)]
+    both = [f(w).alias(f"{name}{i}") for i, w in enumerate(words) for name, f in (("all", F.bit_and), ("any", F.bit_or))]
+    return members.groupBy(*by).agg(*both)
+
+
+def map_fits(percent: int) -> Column:
+    """Whether some members of parts a and b can link, given their maps."""
+    words = [f"bit_count(a.all{i} & ~b.any{i}) + bit_count(b.all{i} & ~a.any{i})" for i in range(MAP_WORDS)]
+    most = F.col("a.n") + F.col("b.n") - 2 * needed(F.col("a.n"), F.col("b.n"), percent)
+    return F.expr(" + ".join(words)) <= most
+
+
 def hub_pairs(postings: DataFrame, percent: int) -> DataFrame:
     """(a, b): the group that comes first in a shingle's list, and each other one that fits it."""
     first = F.min(F.struct("unique", "n", "group_id", "at")).alias("hub")
@@ -165,8 +196,8 @@ def hub_pairs(postings: DataFrame, percent: int) -> DataFrame:
 def other_pairs(postings: DataFrame, percent: int) -> DataFrame:
     """(a, ca, b, cb): parts of groups in different components that share a shingle and fit.
 
-    ``postings`` has a row for each shingle, group and component with members in it. Lists whose
-    rows are all in one component are dropped first.
+    ``postings`` has a row for each shingle, group and component with members in it, and the maps of
+    that part. Lists whose rows are all in one component are dropped first.
     """
     lists = postings.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     mixed = stored(lists.filter("lo < hi").select("shingle"), "mixed")
@@ -174,7 +205,7 @@ def other_pairs(postings: DataFrame, percent: int) -> DataFrame:
     rows = stored(rows, "mixed-rows")
     a, b = rows.alias("a"), rows.alias("b")
     ordered = F.struct("a.group_id", "a.component") < F.struct("b.group_id", "b.component")
-    both = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.component") != F.col("b.component")) & ordered & place_fits(percent))
+    both = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.component") != F.col("b.component")) & ordered & place_fits(percent) & map_fits(percent))
     names = [("a", "a.group_id"), ("ca", "a.component"), ("b", "b.group_id"), ("cb", "b.component")]
     return both.select(*[F.col(c).alias(n) for n, c in names]).distinct()
 
@@ -259,14 +290,19 @@ def link_sets(sets: DataFrame, percent: int) -> DataFrame:
 
     # Second round: only pairs whose ends are still in different components.
     labelled = members.join(first.withColumnRenamed("node", "set_id"), "set_id", "left")
-    labelled = stored(labelled.withColumn("component", F.coalesce("component", "set_id")), "labelled")
-    parts = labelled.select("group_id", "component").distinct()
-    pairs = other_pairs(postings.join(parts, "group_id"), percent)
-    inside = parts.alias("p").join(parts.alias("q"), (F.col("p.group_id") == F.col("q.group_id")) & (F.col("p.component") < F.col("q.component")))
-    inside = inside.select(F.col("p.group_id").alias("a"), F.col("p.component").alias("ca"), F.col("q.group_id").alias("b"), F.col("q.component").alias("cb"))
-    x = labelled.select(F.col("group_id").alias("a"), F.col("component").alias("ca"), F.col("set_id").alias("x"))
-    y = labelled.select(F.col("group_id").alias("b"), F.col("component").alias("cb"), F.col("set_id").alias("y"))
-    rest = pairs.unionByName(inside).join(x, ["a", "ca"]).join(y, ["b", "cb"])
+    labelled = labelled.withColumn("component", F.coalesce("component", "set_id"))
+    labelled = stored(labelled.join(sets.select("set_id", "n", "parity"), "set_id"), "labelled")
+    parts = stored(part_maps(labelled, "group_id", "n", "component"), "parts")
+    pairs = other_pairs(postings.join(parts.drop("n"), "group_id"), percent)
+    same = (F.col("a.group_id") == F.col("b.group_id")) & (F.col("a.component") < F.col("b.component"))
+    inside = parts.alias("a").join(parts.alias("b"), same & map_fits(percent))
+    inside = inside.select(F.col("a.group_id").alias("a"), F.col("a.component").alias("ca"), F.col("b.group_id").alias("b"), F.col("b.component").alias("cb"))
+    # The members of each part, with a map that is one set's alone.
+    single = labelled.select("group_id", "component", "n", "set_id", *[F.get("parity", F.lit(i)).alias(f"{c}{i}") for i in range(MAP_WORDS) for c in ("all", "any")])
+    left = pairs.unionByName(inside).join(single.withColumnsRenamed({"group_id": "a", "component": "ca"}), ["a", "ca"])
+    apart = (F.col("a.b") == F.col("b.group_id")) & (F.col("a.cb") == F.col("b.component"))
+    rest = left.alias("a").join(single.alias("b"), apart & map_fits(percent))
+    rest = rest.select(F.col("a.set_id").alias("x"), F.col("b.set_id").alias("y"))
     rest = rest.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     tried = stored(rest.join(stars, ["x", "y"], "left_anti"), "pairs")
     more = stored(verified(tried, sets, percent), "links")
@@ -295,14 +331,14 @@ def near_duplicates(
     fetch = F.broadcast(sets) if sets.count() <= BROADCAST_SETS else sets.hint("shuffle_hash")
     whole = set_rows(df, id_col, text_col, width, percent, whole=True).alias("w")
     same = [F.col(f"w.{c}").eqNullSafe(F.col(f"s.{c}")) for c in (*key, "doc_id")]
-    whole = whole.join(fetch.alias("s"), reduce(Column.__and__, same)).select("set_id", "w.n", "shingles")
+    whole = whole.join(fetch.alias("s"), reduce(Column.__and__, same)).select("set_id", "w.n", "shingles", "parity")
     whole = stored(whole.dropDuplicates(["set_id"]), "whole-sets")
     joined = stored(link_sets(whole, percent), "components")
 
     least = joined.join(sets.select("set_id", "doc_id"), "set_id").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = joined.join(least, "component").select("set_id", "component_id")
     linked = sets.join(named, "set_id").select(*key, "component_id")
-    return with_components(rows.drop("shingles"), linked, key)
+    return with_components(rows.drop("shingles", "parity"), linked, key)
 
 
 def with_components(rows: DataFrame, linked: DataFrame, key: list[str]) -> DataFrame:

@@ -155,6 +155,34 @@ def test_near_duplicates_of_odd_rows(odd, empty):
     assert jaccard.near_duplicates(empty).count() == 0
 
 
+def test_parity_maps_never_tell_more_apart_than_the_sets_differ(spark):
+    """For single sets and for parts of several sets, the bits that differ are no more than the shingles that do."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 64, 300, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(0, 300), replace=False), base[: rng.integers(0, 5)]])) for _ in range(60)]
+    rows = [(i % 20, i, jaccard.parity_map(s)) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "part long, set_id long, parity array<long>")
+    for by in ("set_id", "part"):
+        maps = {r[by]: r for r in jaccard.part_maps(df, by).collect()}
+        bits = lambda r, c: [r[f"{c}{i}"] & (1 << 64) - 1 for i in range(jaccard.MAP_WORDS)]  # noqa: E731, B023
+        member = {i: (i if by == "set_id" else i % 20) for i in range(60)}
+        for x in range(60):
+            for y in range(x):
+                a, b = maps[member[x]], maps[member[y]]
+                apart = sum((p & ~q).bit_count() for p, q in zip(bits(a, "all"), bits(b, "any"), strict=True))
+                apart += sum((p & ~q).bit_count() for p, q in zip(bits(b, "all"), bits(a, "any"), strict=True))
+                assert apart <= len(np.setxor1d(sets[x], sets[y]))
+
+
+def test_near_copies_that_link_with_few_others(docs):
+    """A large group of copies so far apart that most share a prefix and do not link."""
+    rng = random.Random(12)
+    base = [f"b{i}" for i in range(120)]
+    rows = [(i, " ".join(edited(rng, base, rng.randrange(2, 9)))) for i in range(300)]
+    components = check_near(docs(rows), 5, 80)
+    assert 20 < components < 290
+
+
 def test_keep_one_of_each_group(docs):
     base = " ".join(f"w{i}" for i in range(100))
     df = docs([(3, base), (1, base + " more"), (2, "other text of its own"), (None, base), (7, None), (8, "")])
