@@ -206,15 +206,24 @@ def fatal_people_layers(people: DataFrame, crashes: DataFrame, key: str) -> Data
 
 
 def fatal_vehicle_type_layer(
-    crashes: DataFrame, vehicles: DataFrame, key: str, vehicle_type: str, types: Sequence[str]
+    crashes: DataFrame,
+    vehicles: DataFrame,
+    key: str,
+    vehicle_type: str,
+    types: Sequence[str],
+    hit_run: tuple[str, Sequence[str]] | None = None,
 ) -> DataFrame:
     """Located fatal crashes whose most frequent vehicle type is one of ``types``.
 
-    Own definition: only a finished map of it is known, and hit-and-run is left out because no
-    column for it is known.
+    Own definition: only a finished map of it is known. With ``hit_run``, a column of the crashes and
+    its values in upper case, only crashes with one of these values are shown; which column that is
+    depends on the tables. A column that is missing raises.
     """
     modes = group_mode(vehicles, [key], vehicle_type, "vehicle_type")
     fatal = present(crashes.where("is_fatal"), "LAT", "LON")
+    if hit_run is not None:
+        column, values = hit_run
+        fatal = fatal.where(normalised(column).isin(*values))
     listed = modes.where(F.col("vehicle_type").isin(*types))
     joined = join_hot(
         fatal.select(key, "LAT", "LON"), listed, [key], right_unique=True, how="inner"

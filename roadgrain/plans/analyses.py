@@ -37,15 +37,22 @@ class CrashData:
 
     Headers are put in upper case, and the crash key is named ``CRASH_RECORD_ID`` in each table
     that has it, whatever its name in the crashes. ``heavy_types`` names the vehicle types of
-    ``fatal_vehicle_type_layer``. Times of day are read in the session's time zone; one with clock
+    ``fatal_vehicle_type_layer``, ``hit_run`` the column and values that mark hit-and-run. Times of day are read in the session's time zone; one with clock
     changes moves the hours that it skips, so anything but UTC is warned of.
     """
 
-    def __init__(self, tables: Tables, clean: DataFrame | None = None, heavy_types: Sequence[str] = ()):
+    def __init__(
+        self,
+        tables: Tables,
+        clean: DataFrame | None = None,
+        heavy_types: Sequence[str] = (),
+        hit_run: tuple[str, Sequence[str]] | None = None,
+    ):
         zone = tables.crashes.sparkSession.conf.get("spark.sql.session.timeZone")
         if zone not in FIXED_ZONES:
             warnings.warn(f"session time zone {zone} may have clock changes; use UTC", stacklevel=2)
         self.heavy_types = tuple(heavy_types)
+        self.hit_run = hit_run
         upper = [upper_columns(df) for df in tables]
         key = crash_key(upper[0])
         named = upper if key == KEY else [df.withColumnRenamed(key, KEY) for df in upper]
@@ -359,7 +366,7 @@ def fatal_rate_by_vehicle_mode(d: CrashData) -> DataFrame:
 @analysis
 def fatal_vehicle_type_layer(d: CrashData) -> DataFrame:
     return layers.fatal_vehicle_type_layer(
-        d.flagged, d.tables.vehicles, KEY, crash.vehicle_type_column(d.tables.vehicles), d.heavy_types
+        d.flagged, d.tables.vehicles, KEY, crash.vehicle_type_column(d.tables.vehicles), d.heavy_types, d.hit_run
     )
 
 

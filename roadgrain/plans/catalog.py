@@ -13,9 +13,9 @@ from roadgrain.functions.schema import severity_columns
 from roadgrain.plans import charts, crash, drivers, street
 from roadgrain.plans.analyses import ANALYSES, Analysis, CrashData
 from roadgrain.plans.report import read_report, write_report
-from roadgrain.sources import sinks
+from roadgrain.sources import monthly, sinks
 from roadgrain.sources.keyed import write_keyed
-from roadgrain.sources.tables import Tables, load_tables
+from roadgrain.sources.tables import Tables, load_tables, split_csv
 from roadgrain.sources.views import crash_tables, street_reports
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,7 @@ def _over_test_tables(fn: Analysis) -> Query:
 def queries() -> dict[str, Query]:
     found = {name: _over_test_tables(fn) for name, fn in ANALYSES.items()}
     more = (schema_tolerant_load, csv_tables, hotspots_without_cause, fatal_points_without_cause, report_outputs, driver_features_keyed, crash_charts)
+    more += (csv_broken_lines, daily_counts_refreshed, cell_counts_refreshed, fatal_hit_run_layer)
     return found | {fn.__name__: fn for fn in more}
 
 
@@ -76,6 +77,49 @@ def driver_features_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.timestamps_as_text(drivers.driver_features(drivers.keyed_drivers(store, tables.fatalities), store.key))
 
 
+def csv_broken_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Good and broken lines of a CSV by their kind, with the fields and characters read from them."""
+    out = f"{sinks.scratch_dir(spark)}/lines-{uuid.uuid4().hex}"
+    columns = ["CRASH_RECORD_ID", "CRASH_DATE", "LATITUDE", "LONGITUDE"]
+    number = F.col("CRASH_RECORD_ID").cast("long")
+    whole = F.concat_ws(",", *[F.coalesce(c, F.lit("")) for c in columns])
+    line = F.when(number % 31 == 0, F.concat("CRASH_RECORD_ID", F.lit(",cut"))).when(number % 37 == 0, F.concat(whole, F.lit(",more"))).otherwise(whole)
+    crash_tables(spark, sf_dir).crashes.select(line.alias("line")).write.text(f"{out}/csv")
+    good, broken = split_csv(spark, f"{out}/csv", f"{out}/split", columns, header=False)
+    fields = [F.count(F.lit(1)).alias("lines"), F.count("LATITUDE").alias("latitudes"), F.sum(F.length("CRASH_RECORD_ID")).alias("chars")]
+    none = F.lit(0).cast("long").alias("latitudes")
+    lost = broken.agg(F.count(F.lit(1)).alias("lines"), none, F.sum(F.length("line")).alias("chars"))
+    return good.agg(*fields).select(F.lit("good").alias("kind"), "*").unionByName(lost.select(F.lit("broken").alias("kind"), "*"))
+
+
+def _refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partial counts of a store whose last months were half filled and are then written anew."""
+    path = f"{sinks.scratch_dir(spark)}/months-{uuid.uuid4().hex}"
+    flagged = CrashData(crash_tables(spark, sf_dir)).flagged
+    monthly.write_months(flagged.where("CRASH_DATETIME < timestamp'2001-06-15'"), path)
+    monthly.write_months(flagged, path, ("2001-06", "2001-07", "2001-08"))
+    return monthly.read_months(spark, path)
+
+
+def daily_counts_refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crashes by day from stored partial counts, after months were added."""
+    return monthly.daily(_refreshed(spark, sf_dir))
+
+
+def cell_counts_refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dated crashes by grid cell in 2001, from the folders of that year's months only."""
+    return monthly.cells(_refreshed(spark, sf_dir).where("CRASH_MONTH >= '2001-01'"))
+
+
+def fatal_hit_run_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fatal crashes of heavy vehicles that a column marks as hit-and-run."""
+    tables = crash_tables(spark, sf_dir)
+    number = F.col("CRASH_RECORD_ID").cast("long")
+    mark = F.when(number % 3 == 0, "Y").when(number % 3 == 1, " y ").when(number % 2 == 0, "N")
+    marked = tables._replace(crashes=tables.crashes.withColumn("LEFT_SCENE", mark))
+    return ANALYSES["fatal_vehicle_type_layer"](CrashData(marked, heavy_types=HEAVY_TYPES, hit_run=("LEFT_SCENE", ("Y",))))
+
+
 def schema_tolerant_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return street.daily_outcomes(street.adapt(street_reports(spark, sf_dir)))
 

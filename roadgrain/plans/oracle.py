@@ -445,6 +445,34 @@ FROM (SELECT HOUR, count(*) AS total, count(case when is_fatal then 1 end) AS fa
         """SELECT CRASH_RECORD_ID, LAT AS lat, LON AS lon, VEHICLE_TYPE_MODE AS vehicle_type
 FROM located JOIN modes USING (CRASH_RECORD_ID)
 WHERE is_fatal AND VEHICLE_TYPE_MODE IN ('Brand#11', 'Brand#22', 'Brand#33')""",
+    )
+    sql["fatal_hit_run_layer"] = _with(
+        f"{_CRASH},\n{_VEHICLES},\n{modes}",
+        """SELECT CRASH_RECORD_ID, LAT AS lat, LON AS lon, VEHICLE_TYPE_MODE AS vehicle_type
+FROM located JOIN modes USING (CRASH_RECORD_ID)
+WHERE is_fatal AND VEHICLE_TYPE_MODE IN ('Brand#11', 'Brand#22', 'Brand#33')
+  AND cast(CRASH_RECORD_ID as bigint) % 3 < 2""",
+    )
+    counts = """count(*) AS count, count(case when injury_any then 1 end) AS injured,
+  count(case when is_fatal then 1 end) AS fatal"""
+    sql["daily_counts_refreshed"] = _with(
+        _CRASH,
+        f"""SELECT cast(CRASH_DATETIME as date) AS CRASH_DATE, {counts}
+FROM flagged WHERE CRASH_DATETIME IS NOT NULL GROUP BY 1""",
+    )
+    sql["cell_counts_refreshed"] = _with(
+        _CRASH,
+        f"""SELECT lat_bin, lon_bin, {counts}
+FROM located WHERE CRASH_DATETIME >= timestamp '2001-01-01' GROUP BY 1, 2""",
+    )
+    sql["csv_broken_lines"] = _with(
+        _CRASHES,
+        """, lines AS (SELECT *, cast(CRASH_RECORD_ID as bigint) AS number, concat(CRASH_RECORD_ID, ',',
+    coalesce(CRASH_DATE, ''), ',', coalesce(LATITUDE, ''), ',', coalesce(LONGITUDE, '')) AS whole FROM crashes)
+SELECT 'good' AS kind, count(*) AS lines, count(LATITUDE) AS latitudes,
+  cast(sum(length(CRASH_RECORD_ID)) as bigint) AS chars FROM lines WHERE number % 31 <> 0 AND number % 37 <> 0
+UNION ALL SELECT 'broken', count(*), 0, cast(sum(case when number % 31 = 0 then length(CRASH_RECORD_ID) + 4
+  else length(whole) + 5 end) as bigint) FROM lines WHERE number % 31 = 0 OR number % 37 = 0""",
     )
     sql["profile_crashes"] = _with(
         _CRASH,
