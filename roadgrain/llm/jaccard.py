@@ -359,6 +359,26 @@ def with_components(rows: DataFrame, linked: DataFrame, key: list[str]) -> DataF
     return named.select("doc_id", F.col("n").alias("n_shingles"), component, "text_hash")
 
 
+#: DuckDB SQL for the query: prefixes by rarity, whole sets compared, components by reachable numbers.
+SQL = r"""WITH RECURSIVE texts AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2]))) END AS s FROM texts),
+kinds AS MATERIALIZED (SELECT row_number() OVER (ORDER BY min(doc_id)) AS k, min(doc_id) AS doc_id, list_sort(s) AS s, len(any_value(s)) AS n FROM sets WHERE len(s) > 0 GROUP BY list_sort(s)),
+rows AS MATERIALIZED (SELECT k, n, unnest(s) AS g FROM kinds),
+shared AS MATERIALIZED (SELECT g, count(*) AS f FROM rows GROUP BY g),
+placed AS MATERIALIZED (SELECT k, n, g, row_number() OVER (PARTITION BY k ORDER BY f, g) AS place FROM rows JOIN shared USING (g)),
+heads AS MATERIALIZED (SELECT * FROM placed WHERE place <= n - (90 * n + 99) // 100 + 1),
+pairs AS MATERIALIZED (SELECT DISTINCT a.k AS x, b.k AS y FROM heads a JOIN heads b ON a.g = b.g AND a.k < b.k AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)),
+links AS MATERIALIZED (SELECT x, y FROM pairs JOIN kinds a ON a.k = x JOIN kinds b ON b.k = y
+  WHERE 190 * len(list_intersect(a.s, b.s)) >= 90 * (a.n + b.n)),
+ways AS MATERIALIZED (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(k, r) AS (SELECT k, k FROM kinds WHERE k IN (SELECT x FROM ways) UNION SELECT y, r FROM reach JOIN ways ON x = k WHERE r < y),
+least AS (SELECT k, min(r) AS r FROM reach GROUP BY k),
+named AS (SELECT a.s, coalesce(b.doc_id, a.doc_id) AS component_id FROM kinds a LEFT JOIN least l ON l.k = a.k LEFT JOIN kinds b ON b.k = l.r)
+SELECT sets.doc_id, len(sets.s) AS n_shingles, coalesce(component_id, sets.doc_id) AS component_id
+FROM sets LEFT JOIN named ON list_sort(sets.s) = named.s"""
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir)).drop("text_hash")
 

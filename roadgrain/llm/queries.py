@@ -47,6 +47,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": exact.SQL,
         "op7_licence_scan": licences.sql(),
+        "op8_near_duplicates": jaccard.SQL,
         "op12_merkle_manifest": manifest.sql(),
         "op13_repetition_rules": repetition.sql(),
     }

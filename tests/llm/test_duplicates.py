@@ -7,7 +7,9 @@ import random
 import re
 from collections import defaultdict
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,6 +185,15 @@ def test_near_copies_that_link_with_few_others(docs):
     assert 20 < components < 290
 
 
+def test_near_duplicates_sql_equals_brute_force():
+    rows = corpus(random.Random(6), 250) + [(5_000, None), (5_001, ""), (5_002, "A b"), (5_003, "a B"), (5_004, " \x0b")]
+    documents = pd.DataFrame(rows, columns=["doc_id", "text"])
+    with duckdb.connect() as db:
+        db.register("documents", documents)
+        found = db.execute(jaccard.SQL).fetchall()
+    assert sorted(map(repr, found)) == brute_near(rows, 3, 90)
+
+
 def test_keep_one_of_each_group(docs):
     base = " ".join(f"w{i}" for i in range(100))
     df = docs([(3, base), (1, base + " more"), (2, "other text of its own"), (None, base), (7, None), (8, "")])
