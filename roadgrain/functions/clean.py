@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -24,6 +25,12 @@ LON_RANGE = (-88.0, -87.3)
 # Fixed value: clock time in free text, hour in group 1 and AM/PM in group 2.
 CLOCK_PATTERN = r"(\d{1,2}):\d{2}:\d{2}\s*([AP]M)?"
 STARTS_WITH_YEAR = r"^\d{4}(-|$)"
+# ISO-like text whose time of day is followed by an offset or the name of a zone.
+NAMES_ZONE = r"[T ]\d[\d:.]* *[A-Za-z+-]"
+# Letters of a date pattern that stand for a zone, outside quoted text.
+ZONE_LETTERS = r"[VzOXxZ]"
+# Day names, Sunday first.
+DAY_NAMES = ("Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday")
 
 
 def present(df: DataFrame, *columns: str) -> DataFrame:
@@ -47,15 +54,30 @@ def as_number(c: str | Column) -> Column:
     return F.when(F.abs(number) < float("inf"), number)
 
 
+def utc_wall_time(instant: Column) -> Column:
+    """The wall time in UTC of an instant, as a time without a zone."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(instant), F.lit("1970-01-01").cast("timestamp_ntz"))
+
+
+def parse_format(c: Column, pattern: str) -> Column:
+    """Time without a zone from text of one pattern; where the pattern has a zone, the wall time in UTC."""
+    if re.search(ZONE_LETTERS, re.sub("'[^']*'", "", pattern)):
+        return utc_wall_time(F.try_to_timestamp(c, F.lit(pattern)))
+    return utc_wall_time(F.try_to_timestamp(F.concat(c, F.lit(" Z")), F.lit(f"{pattern} XXX")))
+
+
 def parse_ts(c: str | Column, formats: Sequence[str] = (US_PATTERN,)) -> Column:
-    """Timestamp from the first of ``formats`` that fits, else from ISO-like text, else NULL.
+    """Time without a zone from the first of ``formats`` that fits, else from ISO-like text, else NULL.
 
-    Text must hold a date: a time alone would be given the date of the day of the run. The result is
-    in the session's time zone, which is to be one without clock changes (see ``CrashData``).
+    Text must hold a date: a time alone would be given the date of the day of the run. Wall times are
+    taken as they are written and text that names its zone as the wall time in UTC, so that the result
+    is the same in every session, also in hours that clock changes skip or repeat. A column that holds
+    times already is read as its text.
     """
-    c = F.col(c) if isinstance(c, str) else c
-    iso = F.when(F.trim(c).rlike(STARTS_WITH_YEAR), F.try_to_timestamp(c))
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in formats], iso)
+    c = (F.col(c) if isinstance(c, str) else c).cast("string")
+    zoned = F.when(F.trim(c).rlike(NAMES_ZONE), utc_wall_time(F.try_to_timestamp(c)))
+    iso = F.when(F.trim(c).rlike(STARTS_WITH_YEAR), zoned.otherwise(c.try_cast("timestamp_ntz")))
+    return F.coalesce(*[parse_format(c, f) for f in formats], iso)
 
 
 def with_datetime(
@@ -81,9 +103,24 @@ def date_parts(df: DataFrame, ts: str = "CRASH_DATETIME") -> DataFrame:
     )
 
 
+def weekday(ts: str | Column = "CRASH_DATETIME") -> Column:
+    """English day name, NULL for a missing timestamp; by the date, as formatting would go through the session's zone."""
+    return F.get(F.array(*map(F.lit, DAY_NAMES)), F.dayofweek(ts) - 1)
+
+
 def day_name(ts: str | Column = "CRASH_DATETIME") -> Column:
     """English day name, ``Unknown`` for a missing timestamp."""
-    return F.coalesce(F.date_format(ts, "EEEE"), F.lit("Unknown"))
+    return F.coalesce(weekday(ts), F.lit("Unknown"))
+
+
+def month_start(ts: str | Column = "CRASH_DATETIME") -> Column:
+    """The first instant of the month, without a zone."""
+    return F.trunc(F.to_date(ts), "month").cast("timestamp_ntz")
+
+
+def month_name(ts: str | Column = "CRASH_DATETIME") -> Column:
+    """The month as ``yyyy-MM``."""
+    return F.substring(F.to_date(ts).cast("string"), 1, 7)
 
 
 def with_lat_lon(df: DataFrame) -> DataFrame:

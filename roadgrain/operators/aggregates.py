@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadgrain.functions.clean import as_number, computed_once, day_name, present
+from roadgrain.functions.clean import as_number, computed_once, day_name, month_start, present
 from roadgrain.functions.features import non_fatal, safe_rate
 
 PEOPLE_COUNTS = ("persons", "pedestrians", "cyclists")
@@ -63,7 +63,7 @@ def daily_counts(df: DataFrame, ts: str = "CRASH_DATETIME") -> DataFrame:
 
 def monthly_counts(df: DataFrame, ts: str = "CRASH_DATETIME") -> DataFrame:
     """Crashes per month, keyed by the month's first instant."""
-    months = present(df, ts).groupBy(F.date_trunc("month", ts).alias("CRASH_MONTH"))
+    months = present(df, ts).groupBy(month_start(ts).alias("CRASH_MONTH"))
     return months.agg(F.count(F.lit(1)).alias("count")).orderBy("CRASH_MONTH")
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Callable, Sequence
 from functools import cached_property
 
@@ -22,7 +21,6 @@ from roadgrain.sources.tables import Tables
 
 DRIVERS = ("drivers", "fatal_drivers")
 CAUSE = "PRIM_CONTRIBUTORY_CAUSE"
-FIXED_ZONES = ("UTC", "Etc/UTC", "GMT", "Etc/GMT", "Z", "+00:00", "Universal", "Etc/Universal")
 # Most points per layer.
 HEAT_CAP = 50_000
 MARKER_CAP = 3_000
@@ -37,8 +35,8 @@ class CrashData:
 
     Headers are put in upper case, and the crash key is named ``CRASH_RECORD_ID`` in each table
     that has it, whatever its name in the crashes. ``heavy_types`` names the vehicle types of
-    ``fatal_vehicle_type_layer``, ``hit_run`` the column and values that mark hit-and-run. Times of day are read in the session's time zone; one with clock
-    changes moves the hours that it skips, so anything but UTC is warned of.
+    ``fatal_vehicle_type_layer``, ``hit_run`` the column and values that mark hit-and-run.
+    Times carry no zone, so that results do not depend on the session's one.
     """
 
     def __init__(
@@ -48,9 +46,6 @@ class CrashData:
         heavy_types: Sequence[str] = (),
         hit_run: tuple[str, Sequence[str]] | None = None,
     ):
-        zone = tables.crashes.sparkSession.conf.get("spark.sql.session.timeZone")
-        if zone not in FIXED_ZONES:
-            warnings.warn(f"session time zone {zone} may have clock changes; use UTC", stacklevel=2)
         self.heavy_types = tuple(heavy_types)
         self.hit_run = hit_run
         upper = [upper_columns(df) for df in tables]

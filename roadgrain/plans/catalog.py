@@ -96,7 +96,7 @@ def _refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Partial counts of a store whose last months were half filled and are then written anew."""
     path = f"{sinks.scratch_dir(spark)}/months-{uuid.uuid4().hex}"
     flagged = CrashData(crash_tables(spark, sf_dir)).flagged
-    monthly.write_months(flagged.where("CRASH_DATETIME < timestamp'2001-06-15'"), path)
+    monthly.write_months(flagged.where("CRASH_DATETIME < timestamp_ntz'2001-06-15'"), path)
     monthly.write_months(flagged, path, ("2001-06", "2001-07", "2001-08"))
     return monthly.read_months(spark, path)
 

@@ -27,7 +27,7 @@ def crash_counts(crashes: DataFrame) -> DataFrame:
     if "CRASH_DATETIME" in crashes.columns:
         dims |= {
             "CRASH_DATE": F.to_date("CRASH_DATETIME"),
-            "CRASH_MONTH": F.date_trunc("month", "CRASH_DATETIME"),
+            "CRASH_MONTH": clean.month_start(),
             "DAY_OF_WEEK": clean.day_name(),
         }
     dims |= {c: F.col(c) for c in (CAUSE, WEATHER, LIGHT, SURFACE) if c in crashes.columns}

@@ -81,7 +81,7 @@ def distribution(crashes: DataFrame, fatalities: DataFrame | None = None) -> Dat
     else:
         df = crashes.withColumn("is_fatal", features.fatal_flag(column))
     if "CRASH_DATETIME" in df.columns:
-        df = df.withColumn("DAY_OF_WEEK", F.date_format("CRASH_DATETIME", "EEEE"))
+        df = df.withColumn("DAY_OF_WEEK", clean.weekday())
     names = ("LIGHTING_CONDITION", "WEATHER_CONDITION", "PRIM_CONTRIBUTORY_CAUSE")
     return clean.clean_category(df, (*names, SURFACE_NAMES[0]), ())
 

@@ -22,7 +22,7 @@ def adapt(df: DataFrame) -> DataFrame:
     """
     df = clean.with_datetime(upper_columns(df))
     key = crash_key(df)
-    df = default_column(df, "CRASH_DATETIME", None, "timestamp")
+    df = default_column(df, "CRASH_DATETIME", None, "timestamp_ntz")
     df = default_column(df, "PRIM_CONTRIBUTORY_CAUSE", "UNKNOWN")
     df = df.withColumns(
         {

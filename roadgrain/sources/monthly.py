@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadgrain.functions.clean import month_name
 from roadgrain.functions.features import with_grid_bin
 
 MONTH = "CRASH_MONTH"
@@ -26,7 +27,7 @@ def partial_counts(flagged: DataFrame) -> DataFrame:
     df = with_grid_bin(flagged.where(F.col("CRASH_DATETIME").isNotNull()))
     if CAUSE not in df.columns:
         df = df.withColumn(CAUSE, F.lit(None).cast("string"))
-    keys = [F.to_date("CRASH_DATETIME").alias("CRASH_DATE"), "lat_bin", "lon_bin", CAUSE, F.date_format("CRASH_DATETIME", "yyyy-MM").alias(MONTH)]
+    keys = [F.to_date("CRASH_DATETIME").alias("CRASH_DATE"), "lat_bin", "lon_bin", CAUSE, month_name().alias(MONTH)]
     counts = [F.count(F.lit(1)).alias("count"), F.count_if("injury_any").alias("injured"), F.count_if("is_fatal").alias("fatal")]
     return df.groupBy(*keys).agg(*counts)
 
@@ -38,7 +39,7 @@ def write_months(flagged: DataFrame, path: str, months: Sequence[str] | None = N
     """
     spark = flagged.sparkSession
     if months is not None:
-        flagged = flagged.where(F.date_format("CRASH_DATETIME", "yyyy-MM").isin(*months))
+        flagged = flagged.where(month_name().isin(*months))
     counts = partial_counts(flagged).select(*_names())
     if months:
         # A row without crashes names a month, so that its partition is replaced in any case.

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import pytest
+
 from roadgrain.functions import clean, features, schema
+from roadgrain.operators import aggregates as agg
+from roadgrain.plans import crash
 
 
 def column(spark, values, kind="string"):
@@ -155,3 +159,52 @@ def test_text_without_a_date_is_no_timestamp(spark):
 
 def test_only_finite_text_is_a_number(spark):
     assert evaluate(spark, ["1.5", "nan", "Infinity", "-Infinity", "x", None], clean.as_number("c")) == [1.5] + [None] * 5
+
+
+WALL_TIMES = [
+    ("03/10/2024 02:30:00 AM", "2024-03-10 02:30:00"),  # skipped in Chicago
+    ("11/03/2024 01:30:00 AM", "2024-11-03 01:30:00"),  # comes twice there
+    ("2024-03-10T02:30:00.25", "2024-03-10 02:30:00.25"),
+    ("2024-03-10 02:30:00+02:00", "2024-03-10 00:30:00"),
+    ("2024-03-10T02:30:00Z", "2024-03-10 02:30:00"),
+    (" 2024-03-10", "2024-03-10 00:00:00"),
+    ("2024", "2024-01-01 00:00:00"),
+    ("13/40/2024 02:30:00 AM", None),
+    ("", None),
+    (None, None),
+]
+
+
+@pytest.fixture(params=["UTC", "America/Chicago", "Asia/Amman"])
+def zone(spark, request):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", request.param)
+    yield request.param
+    spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_times_do_not_depend_on_the_session(spark, zone):
+    texts = [t for t, _ in WALL_TIMES]
+    assert evaluate(spark, texts, clean.parse_ts("c").cast("string")) == [want for _, want in WALL_TIMES]
+    df = column(spark, texts, "string").select(clean.parse_ts("c").alias("CRASH_DATETIME"))
+    got = clean.date_parts(df).select("HOUR", "DAY_OF_WEEK_NUM", clean.day_name(), clean.month_name()).collect()
+    assert [tuple(r) for r in got[:4]] == [(2, 1, "Sunday", "2024-03"), (1, 1, "Sunday", "2024-11"), (2, 1, "Sunday", "2024-03"), (0, 1, "Sunday", "2024-03")]
+    assert tuple(got[-1]) == (None, None, "Unknown", None)
+
+
+def test_typed_columns_and_zoned_patterns_are_read(spark, zone):
+    df = spark.sql("select timestamp_ntz'2024-03-10 02:30:00' as c, date'2005-04-01' as d, '10.03.2024 02:30 +0200' as z")
+    got = df.select(
+        clean.parse_ts("c").cast("string"), clean.parse_ts("d").cast("string"), clean.parse_ts("z", ["dd.MM.yyyy HH:mm XX"]).cast("string"), clean.month_start("d").cast("string")
+    ).first()
+    assert tuple(got) == ("2024-03-10 02:30:00", "2005-04-01 00:00:00", "2024-03-10 00:30:00", "2005-04-01 00:00:00")
+
+
+def test_crash_charts_are_the_same_in_every_zone(spark, zone):
+    rows = [(str(i), t, "41.9", "-87.6") for i, (t, _) in enumerate(WALL_TIMES)]
+    crashes = spark.createDataFrame(rows, "CRASH_RECORD_ID string, CRASH_DATE string, LATITUDE string, LONGITUDE string")
+    cleaned = crash.clean_crashes(crashes)
+    assert dict(cleaned.dtypes)["CRASH_DATETIME"] == "timestamp_ntz"
+    assert [tuple(r) for r in agg.hour_counts(cleaned).collect()] == [(0, 3), (1, 1), (2, 3)]
+    assert [tuple(map(str, r)) for r in agg.daily_counts(cleaned).collect()] == [("2024-01-01", "1"), ("2024-03-10", "5"), ("2024-11-03", "1")]
+    assert [tuple(map(str, r)) for r in agg.monthly_counts(cleaned).collect()] == [("2024-01-01 00:00:00", "1"), ("2024-03-01 00:00:00", "5"), ("2024-11-01 00:00:00", "1")]
