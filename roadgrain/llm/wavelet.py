@@ -1,16 +1,17 @@
 """Token shards as wavelet matrices.
 
 A shard holds the ids of consecutive documents as bit planes, the highest bit first; each plane
-keeps the tokens in the order of a stable split by the bits above it. With the count of ones up to
-each block of a plane, one file answers access, count and the place of the k-th occurrence in one
-step per plane, without unpacking the ids.
+keeps the tokens in the order of a stable split by the bits above it. The file stores the count of
+ones up to each block and word beside each plane, so that it answers access, count and the place of
+the k-th occurrence in one step per plane. Documents are read by access to their places.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +23,13 @@ from pyspark.sql import functions as F
 from roadgrain.llm import words
 from roadgrain.llm.shared import Rows, documents, scratch_path, text_rows
 
-MAGIC = b"WVMX"
-#: Bits per block of the rank directory.
-BLOCK = 512
+MAGIC = b"WVMR"
+#: Bits per block of the rank directory, and per word.
+BLOCK, WORD = 512, 64
+#: Parts of a shard file before its planes.
+PARTS_BEFORE = 4
+#: Places that are looked up at once.
+READ_TOKENS = 1 << 16
 #: Tokens after which a task closes a shard.
 SHARD_TOKENS = 2_000_000
 END_ID = 1
@@ -50,20 +55,42 @@ ARROW_READ = pa.schema(
 )
 
 
+class OnDemand(Sequence):
+    """A list whose items are made when they are first asked for."""
+
+    def __init__(self, make: Callable[[int], object], n: int) -> None:
+        self.make, self.n = cache(make), n
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, i: int) -> object:
+        return self.make(range(self.n)[i])
+
+
 class WaveletMatrix:
-    """Bit planes over a sequence of unsigned ids."""
+    """Bit planes over a sequence of unsigned ids, as 64-bit words.
 
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int]) -> None:
-        self.n, self.planes, self.zeros = n, planes, zeros
-        self.ranks = [self._directory(p) for p in planes]
+    ``ranks`` holds two tables for each plane: the ones before each block, and before each word of it.
+    """
+
+    def __init__(self, n: int, planes: Sequence, zeros: list[int], ranks: Sequence) -> None:
+        self.n, self.planes, self.zeros, self.ranks = n, planes, zeros, ranks
+
+    @staticmethod
+    def _plane(ones: np.ndarray) -> np.ndarray:
+        """The bits as words; whole blocks, with a place after the last bit."""
+        bits = np.zeros((len(ones) // BLOCK + 1) * BLOCK, bool)
+        bits[: len(ones)] = ones
+        return np.packbits(bits, bitorder="little").view("<u8")
 
     @staticmethod
-    def _directory(plane: np.ndarray) -> np.ndarray:
-        """Ones before each block."""
-        words_ = np.zeros(-(-len(plane) // (BLOCK // 8)) * (BLOCK // 8), np.uint8)
-        words_[: len(plane)] = plane
-        per_block = np.bitwise_count(words_.view(np.uint64)).reshape(-1, BLOCK // 64).sum(axis=1, dtype=np.int64)
-        return np.concatenate(([0], np.cumsum(per_block)))
+    def _directory(plane: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ones before each block, and in each block before each of its words."""
+        held = np.bitwise_count(plane).astype(np.int64).reshape(-1, BLOCK // WORD)
+        upto = held.cumsum(axis=1)
+        blocks = np.concatenate(([0], upto[:-1, -1].cumsum()))
+        return blocks.astype("<u4"), (upto - held).ravel().astype("<u2")
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
@@ -72,35 +99,39 @@ class WaveletMatrix:
         planes, zeros = [], []
         for k in range(bits - 1, -1, -1):
             ones = (order & order.dtype.type(1 << k)) != 0
-            planes.append(np.packbits(ones, bitorder="little"))
+            planes.append(cls._plane(ones))
             low = order[~ones]
             zeros.append(len(low))
             order = np.concatenate((low, order[ones]))
-        return cls(len(ids), planes, zeros)
+        return cls(len(ids), planes, zeros, [cls._directory(p) for p in planes])
+
+    def look_up(self, level: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bit of a plane at each place, and the ones before it: a word and two table entries."""
+        (blocks, inner), word, bit = self.ranks[level], at >> 6, (at & 63).astype(np.uint64)
+        bits = self.planes[level][word]
+        below = np.bitwise_count(bits & ((np.uint64(1) << bit) - np.uint64(1)))
+        ones = blocks[at // BLOCK].astype(np.int64) + inner[word] + below
+        return (bits >> bit & np.uint64(1)).astype(bool), ones
 
     def ones_before(self, level: int, at: np.ndarray) -> np.ndarray:
         """Ones of a plane before each place."""
-        plane, block = self.planes[level], at // BLOCK
-        found = self.ranks[level][block].copy()
-        for step in range(BLOCK // 8):  # whole bytes of the block before the place
-            byte = block * (BLOCK // 8) + step
-            inside = (byte + 1) * 8 <= at
-            found += np.where(inside, np.bitwise_count(plane[np.minimum(byte, len(plane) - 1)]), 0)
-        byte, rest = at // 8, at % 8
-        last = plane[np.minimum(byte, len(plane) - 1)] & ((1 << rest) - 1).astype(np.uint8)
-        return found + np.where(rest > 0, np.bitwise_count(last), 0)
+        return self.look_up(level, at)[1]
 
     def access(self, at: np.ndarray) -> np.ndarray:
         """The ids at the given places."""
         at = np.asarray(at, np.int64)
         found = np.zeros(len(at), np.uint32)
-        for level, plane in enumerate(self.planes):
-            bit = (plane[at // 8] >> (at % 8).astype(np.uint8)) & 1
+        for level in range(len(self.planes)):
+            bit, ones = self.look_up(level, at)
             found = (found << np.uint32(1)) | bit
-            ones = self.ones_before(level, at)
-            at = np.where(bit == 1, self.zeros[level] + ones, at - ones)
+            at = np.where(bit, self.zeros[level] + ones, at - ones)
         return found
 
+    def between(self, start: int, end: int) -> np.ndarray:
+        """The ids from ``start`` up to ``end``, by access to so many places at a time."""
+        steps = range(start, end, READ_TOKENS)
+        return np.concatenate([np.empty(0, np.uint32), *(self.access(np.arange(a, min(a + READ_TOKENS, end))) for a in steps)])
+
     def _range(self, token: int, start: int, end: int) -> tuple[int, int]:
         for level in range(len(self.planes)):
             lo, hi = self.ones_before(level, np.array([start, end], np.int64)).tolist()
@@ -132,11 +163,11 @@ class WaveletMatrix:
 
     def _place(self, level: int, k: int, one: int) -> int:
         """The place of the k-th bit of a kind in a plane."""
-        ranks = self.ranks[level]
+        ranks = self.ranks[level][0].astype(np.int64)
         before = ranks if one else np.arange(len(ranks)) * BLOCK - ranks
         block = int(np.searchsorted(before, k, side="right")) - 1
-        lo = block * (BLOCK // 8)
-        bits = np.unpackbits(self.planes[level][lo : lo + BLOCK // 8], bitorder="little")
+        words_ = self.planes[level][block * (BLOCK // WORD) : (block + 1) * (BLOCK // WORD)]
+        bits = np.unpackbits(words_.view(np.uint8), bitorder="little")
         return block * BLOCK + int(np.flatnonzero(bits == one)[k - int(before[block])])
 
     def occurrences(self, token: int) -> np.ndarray:
@@ -148,7 +179,7 @@ class WaveletMatrix:
         wide = np.uint16 if len(self.planes) <= 16 else np.uint32
         values = np.zeros(self.n, wide)
         for level in range(len(self.planes) - 1, -1, -1):
-            ones = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
+            ones = np.unpackbits(self.planes[level].view(np.uint8), count=self.n, bitorder="little").view(bool)
             above, zeros = np.empty_like(values), self.zeros[level]
             above[~ones] = values[:zeros]
             above[ones] = values[zeros:] | wide(1 << (len(self.planes) - 1 - level))
@@ -157,35 +188,49 @@ class WaveletMatrix:
 
 
 def write_shard(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
-    """One shard file: head, documents (id, null mark, length), zeros per plane, planes, each part compressed."""
+    """One shard file: head, documents (id, null mark, length), zeros per plane, then each plane and its two
+    tables of ranks; each part is compressed by itself."""
     matrix, press = WaveletMatrix.build(ids), zstandard.ZstdCompressor(level=1).compress
-    nulls = np.array([d is None for d in doc_ids], np.uint8)
     parts = [
-        np.array([d or 0 for d in doc_ids], "<i8").tobytes(),
-        nulls.tobytes(),
-        np.array(lengths, "<i8").tobytes(),
-        np.array(matrix.zeros, "<i8").tobytes(),
-        *(p.tobytes() for p in matrix.planes),
+        np.array([d or 0 for d in doc_ids], "<i8"),
+        np.array([d is None for d in doc_ids], np.uint8),
+        np.array(lengths, "<i8"),
+        np.array(matrix.zeros, "<i8"),
     ]
-    pressed = [press(p) for p in parts]
+    for plane, ranks in zip(matrix.planes, matrix.ranks, strict=True):
+        parts += [plane, *ranks]
+    pressed = [press(p.tobytes()) for p in parts]
     head = MAGIC + struct.pack("<QQI", len(ids), len(doc_ids), len(pressed))
     return head + struct.pack(f"<{len(pressed)}Q", *map(len, pressed)) + b"".join(pressed)
 
 
-def read_shard(payload: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
-    """Document ids, lengths and the matrix of a shard file."""
+def shard_parts(payload: bytes) -> tuple[int, int, Callable[[int, str], np.ndarray]]:
+    """Tokens, planes, and how to open a part of the file as numbers of a kind."""
     if payload[:4] != MAGIC:
         raise ValueError("not a token shard")
     n, _, count = struct.unpack_from("<QQI", payload, 4)
-    at = 24 + 8 * count
     sizes = struct.unpack_from(f"<{count}Q", payload, 24)
-    open_, parts = zstandard.ZstdDecompressor().decompress, []
-    for size in sizes:
-        parts.append(open_(payload[at : at + size]))
-        at += size
-    doc_ids = [None if null else int(d) for d, null in zip(np.frombuffer(parts[0], "<i8"), parts[1], strict=True)]
-    lengths, zeros = np.frombuffer(parts[2], "<i8"), np.frombuffer(parts[3], "<i8").tolist()
-    return doc_ids, lengths, WaveletMatrix(n, [np.frombuffer(p, np.uint8) for p in parts[4:]], zeros)
+    ends = np.cumsum([24 + 8 * count, *sizes]).tolist()
+
+    def part(i: int, kind: str) -> np.ndarray:
+        return np.frombuffer(zstandard.ZstdDecompressor().decompress(payload[ends[i] : ends[i + 1]]), kind)
+
+    return n, (count - PARTS_BEFORE) // 3, part
+
+
+def open_matrix(payload: bytes) -> WaveletMatrix:
+    """The matrix of a shard file; a plane and its ranks are unpacked when they are first needed."""
+    n, planes, part = shard_parts(payload)
+    first = range(PARTS_BEFORE, PARTS_BEFORE + 3 * planes, 3)
+    ranks = OnDemand(lambda k: (part(first[k] + 1, "<u4"), part(first[k] + 2, "<u2")), planes)
+    return WaveletMatrix(n, OnDemand(lambda k: part(first[k], "<u8"), planes), part(3, "<i8").tolist(), ranks)
+
+
+def shard_documents(payload: bytes) -> tuple[list[int | None], list[int]]:
+    """Document ids and lengths of a shard file; no plane is read."""
+    part = shard_parts(payload)[2]
+    doc_ids = [None if null else d for d, null in zip(part(0, "<i8").tolist(), part(1, "u1").tolist(), strict=True)]
+    return doc_ids, part(2, "<i8").tolist()
 
 
 def write_shards(
@@ -250,9 +295,9 @@ def read_documents(shards: DataFrame) -> DataFrame:
         rows = Rows(ARROW_READ, most=20_000)
         for batch in batches:
             for part, shard, start, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                doc_ids, lengths, matrix = read_shard(payload)
-                ids, at = matrix.ids(), 0
-                for doc_id, n in zip(doc_ids, lengths.tolist(), strict=True):
+                matrix, at = open_matrix(payload), 0
+                ids = matrix.between(0, matrix.n)
+                for doc_id, n in zip(*shard_documents(payload), strict=True):
                     if rows.add(doc_id, start + at, n, zlib.crc32(ids[at : at + n]), part, shard):
                         yield rows.take()
                     at += n
@@ -273,7 +318,7 @@ def count_tokens(shards: DataFrame, token: int) -> DataFrame:
         for batch in batches:
             rows = Rows(schema)
             for part, shard, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows.add(part, shard, read_shard(payload)[2].count(token))
+                rows.add(part, shard, open_matrix(payload).count(token))
             yield rows.take()
 
     return shards.select("part", "shard", "payload").mapInArrow(run, "part int, shard int, n bigint")

@@ -113,6 +113,33 @@ def test_wavelet_matrix_against_a_plain_array(n):
         assert own.select(token, len(places)) == -1
 
 
+@pytest.mark.parametrize("n", [0, 1, 512, 5_000])
+def test_shard_file_stores_its_ranks(n):
+    rng = np.random.default_rng(n)
+    ids = rng.integers(0, 300, n).astype(np.uint32)
+    payload = wavelet.write_shard([None, 7], [n // 3, n - n // 3], ids)
+    assert wavelet.shard_documents(payload) == ([None, 7], [n // 3, n - n // 3])
+    built, own = WaveletMatrix.build(ids), wavelet.open_matrix(payload)
+    assert (own.n, own.zeros, len(own.planes)) == (n, built.zeros, len(built.planes))
+    for level in range(len(own.planes)):
+        plain = np.unpackbits(own.planes[level].view(np.uint8), bitorder="little")
+        ones = np.concatenate(([0], plain.cumsum()))[:-1]
+        blocks, inner = own.ranks[level]
+        assert blocks.tolist() == ones[:: wavelet.BLOCK].tolist()
+        assert (blocks.repeat(wavelet.BLOCK // wavelet.WORD) + inner).tolist() == ones[:: wavelet.WORD].tolist()
+        assert own.ones_before(level, np.arange(n + 1)).tolist() == [*ones, ones[-1] + plain[-1]][: n + 1]
+    assert np.array_equal(own.between(0, n), ids) and np.array_equal(own.between(n // 3, n // 2), ids[n // 3 : n // 2])
+    assert own.count(5) == int((ids == 5).sum()) and np.array_equal(own.occurrences(5), np.flatnonzero(ids == 5))
+    with pytest.raises(ValueError, match="not a token shard"):
+        wavelet.open_matrix(b"WVMX" + payload[4:])
+
+
+def test_planes_are_unpacked_when_needed():
+    opened = []
+    some = wavelet.OnDemand(lambda i: opened.append(i) or i * 2, 4)
+    assert some[1] == some[1] == 2 and opened == [1] and list(some) == [0, 2, 4, 6] and some[-1] == 6
+
+
 def test_shards_read_back(spark, odd, library, tmp_path):
     wavelet.write_shards(odd, str(tmp_path / "s"), shard_tokens=20_000)
     shards = spark.read.parquet(str(tmp_path / "s"))
