@@ -3,7 +3,7 @@
 A shard holds the ids of consecutive documents as bit planes, the highest bit first; each plane
 keeps the tokens in the order of a stable split by the bits above it. The file stores the count of
 ones up to each block and word beside each plane, so that it answers access, count and the place of
-the k-th occurrence in one step per plane. Documents are read by access to their places.
+the k-th occurrence in one step per plane. Whole shards are read by undoing the splits.
 """
 
 from __future__ import annotations
@@ -76,6 +76,12 @@ class WaveletMatrix:
 
     def __init__(self, n: int, planes: Sequence, zeros: list[int], ranks: Sequence) -> None:
         self.n, self.planes, self.zeros, self.ranks = n, planes, zeros, ranks
+        self.upto = OnDemand(self._before_words, len(planes))
+
+    def _before_words(self, level: int) -> np.ndarray:
+        """Ones before each word of a plane: its two tables of ranks added up."""
+        blocks, inner = self.ranks[level]
+        return blocks.astype(np.int64).repeat(BLOCK // WORD) + inner
 
     @staticmethod
     def _plane(ones: np.ndarray) -> np.ndarray:
@@ -106,12 +112,11 @@ class WaveletMatrix:
         return cls(len(ids), planes, zeros, [cls._directory(p) for p in planes])
 
     def look_up(self, level: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The bit of a plane at each place, and the ones before it: a word and two table entries."""
-        (blocks, inner), word, bit = self.ranks[level], at >> 6, (at & 63).astype(np.uint64)
+        """The bit of a plane at each place, and the ones before it: a word and the ranks beside it."""
+        word, bit = at >> 6, (at & 63).view(np.uint64)
         bits = self.planes[level][word]
         below = np.bitwise_count(bits & ((np.uint64(1) << bit) - np.uint64(1)))
-        ones = blocks[at // BLOCK].astype(np.int64) + inner[word] + below
-        return (bits >> bit & np.uint64(1)).astype(bool), ones
+        return (bits >> bit & np.uint64(1)).view(np.int64), self.upto[level][word] + below
 
     def ones_before(self, level: int, at: np.ndarray) -> np.ndarray:
         """Ones of a plane before each place."""
@@ -120,12 +125,12 @@ class WaveletMatrix:
     def access(self, at: np.ndarray) -> np.ndarray:
         """The ids at the given places."""
         at = np.asarray(at, np.int64)
-        found = np.zeros(len(at), np.uint32)
+        found = np.zeros(len(at), np.int64)
         for level in range(len(self.planes)):
             bit, ones = self.look_up(level, at)
-            found = (found << np.uint32(1)) | bit
+            found = found << 1 | bit
             at = np.where(bit, self.zeros[level] + ones, at - ones)
-        return found
+        return found.astype(np.uint32)
 
     def between(self, start: int, end: int) -> np.ndarray:
         """The ids from ``start`` up to ``end``, by access to so many places at a time."""
@@ -296,7 +301,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
         for batch in batches:
             for part, shard, start, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 matrix, at = open_matrix(payload), 0
-                ids = matrix.between(0, matrix.n)
+                ids = matrix.ids()
                 for doc_id, n in zip(*shard_documents(payload), strict=True):
                     if rows.add(doc_id, start + at, n, zlib.crc32(ids[at : at + n]), part, shard):
                         yield rows.take()
