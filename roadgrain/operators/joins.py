@@ -27,6 +27,11 @@ from roadgrain.operators.aggregates import PEOPLE_COUNTS, VEHICLE_COUNTS
 HOT_ROWS = 1_000_000
 MOST_HOT = 100_000
 NULL_PARTS = 1_024
+# Rows that a task of a large join gets, tasks up to which Spark's own number is left, and hash buckets
+# in which keys are counted first.
+TASK_ROWS = 1_000_000
+FEW_PARTS = 8
+BUCKETS = 1 << 18
 
 
 def hot_keys(df: DataFrame, on: Sequence[str], min_rows: int) -> DataFrame:
@@ -40,24 +45,51 @@ def hot_keys(df: DataFrame, on: Sequence[str], min_rows: int) -> DataFrame:
     return hot.select(*on, F.ceil(F.col("__n") / min_rows).cast("int").alias("__parts"))
 
 
-def hot_lists(sides: Sequence[tuple[DataFrame, Sequence[str]]], min_rows: int = HOT_ROWS) -> list[DataFrame | None]:
-    """The hot keys of each (frame, key columns), counted in one job; None where there are none.
+def hot_lists(
+    sides: Sequence[tuple[DataFrame, Sequence[str]]], min_rows: int = HOT_ROWS
+) -> tuple[list[DataFrame | None], list[int]]:
+    """The hot keys of each (frame, key columns), None where there are none, and the rows of each frame.
 
     For plans that join several large tables: they learn before they are built that (as nearly always)
-    nothing needs salting. A list has at most rows / ``min_rows`` keys, and ``MOST_HOT`` at most.
+    nothing needs salting. Rows are counted by hash bucket of their key, so that no task holds a count for
+    each key; keys are counted only in buckets with more than ``min_rows`` rows, which all hot keys are in.
+    A list has at most rows / ``min_rows`` keys, and ``MOST_HOT`` at most.
     """
-    counted = []
-    for i, (df, on) in enumerate(sides):
-        keys = hot_keys(df, on, min_rows)
-        texts = F.array(*[F.col(c).cast("string") for c in on])
-        counted.append(keys.select(F.lit(i).alias("side"), texts.alias("key"), "__parts"))
-    found = reduce(DataFrame.unionByName, counted).collect()
+    placed = [df.select(*on).withColumn("__bucket", _bucket(on)) for df, on in sides]
+    by_bucket = reduce(DataFrame.unionByName, [df.select(F.lit(i).alias("side"), F.col("__bucket").alias("bucket")) for i, df in enumerate(placed)])
+    full = F.when((F.col("n") > min_rows) & (F.col("bucket") >= 0), F.col("bucket"))
+    counted = by_bucket.groupBy("side", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    counted = {r["side"]: r for r in counted.groupBy("side").agg(F.sum("n").alias("rows"), F.collect_list(full).alias("full")).collect()}
+    rows = [counted[i]["rows"] if i in counted else 0 for i in range(len(sides))]
+    keys = []
+    for i, (_, on) in enumerate(sides):
+        if i in counted and counted[i]["full"]:
+            own = hot_keys(placed[i].where(F.col("__bucket").isin(counted[i]["full"])), on, min_rows)
+            keys.append(own.select(F.lit(i).alias("side"), F.array(*[F.col(c).cast("string") for c in on]).alias("key"), "__parts"))
+    found = reduce(DataFrame.unionByName, keys).collect() if keys else []
     lists = []
     for i, (df, on) in enumerate(sides):
         own = [(r["key"], r["__parts"]) for r in found if r["side"] == i]
         typed = [F.col("key")[j].cast(df.schema[c].dataType).alias(c) for j, c in enumerate(on)]
         lists.append(df.sparkSession.createDataFrame(own, "key array<string>, __parts int").select(*typed, "__parts") if own else None)
-    return lists
+    return lists, rows
+
+
+def _bucket(on: Sequence[str]) -> Column:
+    """A hash bucket of the key, -1 for one with a NULL part."""
+    missing = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
+    return F.when(missing, -1).otherwise(F.pmod(F.xxhash64(*on), F.lit(BUCKETS)).cast("int"))
+
+
+def parts_for(rows: int) -> int | None:
+    """Tasks for so many rows, so that one task's share does not grow with them; None for few rows."""
+    parts = -(-rows // TASK_ROWS)
+    return parts if parts > FEW_PARTS else None
+
+
+def in_parts(df: DataFrame, parts: int | None, *columns: str) -> DataFrame:
+    """``df`` dealt over ``parts`` tasks by ``columns``; as it is without a number."""
+    return df if parts is None else df.repartition(parts, *columns)
 
 
 def with_parts(df: DataFrame, hot: DataFrame, on: Sequence[str], name: str) -> DataFrame:
@@ -80,6 +112,7 @@ def join_hot(
     keys_from: DataFrame | None = None,
     how: str = "left",
     hot: tuple[DataFrame | None, DataFrame | None] | None = None,
+    parts: int | None = None,
 ) -> DataFrame:
     """``left.join(right, on, how)`` in which hot and NULL keys are spread over many tasks.
 
@@ -90,7 +123,8 @@ def join_hot(
     round. A NULL key matches nothing, so its rows go anywhere. ``right_unique`` promises one right
     row per key and saves the count of that side. ``keys_from`` is a cheaper frame than ``left`` to
     count its keys in, say the table that ``left`` was joined from. ``hot`` has the hot keys of both
-    sides, listed before (see :func:`hot_lists`); None in it means that there are none.
+    sides, listed before (see :func:`hot_lists`); None in it means that there are none. ``parts`` is the
+    number of tasks to join in (see :func:`parts_for`), by default Spark's own.
     """
     one = F.array(F.lit(0))
     every = lambda parts: F.coalesce(F.sequence(F.lit(0), F.col(parts) - 1), one)
@@ -100,7 +134,11 @@ def join_hot(
     hot_left, hot_right = hot or (hot_keys(left if keys_from is None else keys_from, on, min_rows), None)
     if hot and hot_left is None and hot_right is None:
         spread = F.when(missing, deal(left, F.lit(NULL_PARTS), left.columns)).otherwise(0)
-        return left.withColumn("__salt_l", spread).join(present(right, *on).withColumn("__salt_l", F.lit(0)), [*on, "__salt_l"], how).drop("__salt_l")
+        # Not a literal: the optimizer would take it out of the join keys, and NULL keys would meet in one task.
+        zero = F.pmod(F.spark_partition_id(), F.lit(1))
+        dealt, plain = left.withColumn("__salt_l", spread), present(right, *on).withColumn("__salt_l", zero)
+        by = [*on, "__salt_l"]
+        return in_parts(dealt, parts, *by).join(in_parts(plain, parts, *by), by, how).drop("__salt_l")
     if hot:
         none = left.sparkSession.createDataFrame([], right.select(*on).withColumn("__parts", F.lit(0)).schema)
         hot_left, hot_right = (none if h is None else h for h in (hot_left, hot_right))
@@ -111,7 +149,7 @@ def join_hot(
     copied = with_parts(present(right, *on), hot_left, on, "__l").withColumn("__salt_l", F.explode(every("__l")))
     dealt, copied = dealt.drop("__l"), copied.drop("__l")
     if right_unique:
-        return dealt.join(copied, [*on, *sides], how).drop(*sides)
+        return in_parts(dealt, parts, *on, *sides).join(in_parts(copied, parts, *on, *sides), [*on, *sides], how).drop(*sides)
 
     hot_right = hot_keys(right, on, min_rows) if hot_right is None else hot_right
     dealt = with_parts(dealt, hot_right, on, "__r").withColumn("__copied", F.col("__r").isNotNull())
@@ -119,7 +157,7 @@ def join_hot(
     copied = with_parts(copied, hot_right, on, "__r")
     copied = copied.withColumn("__salt_r", deal(copied, F.coalesce("__r", F.lit(1)), right.columns))
     copied = copied.drop("__r").withColumn("__hit", F.lit(True))
-    joined = dealt.join(copied, [*on, *sides], how)
+    joined = in_parts(dealt, parts, *on, *sides).join(in_parts(copied, parts, *on, *sides), [*on, *sides], how)
     # A copied left row has a partner in some part, as its key was counted on the right; a copy
     # without one is no row of the result, unless its key is without any partner there.
     return joined.where(~F.col("__copied") | F.col("__hit").isNotNull()).drop(*sides, "__copied", "__hit")
@@ -177,6 +215,7 @@ def drivers_with_vehicles(
     key: str,
     min_rows: int = HOT_ROWS,
     hot: tuple[DataFrame | None, DataFrame | None] | None = None,
+    parts: int | None = None,
 ) -> DataFrame:
     """People with their vehicle on (crash, vehicle id); one row per person and matching vehicle."""
     keys = vehicle_join_keys(people, vehicles, key)
@@ -184,7 +223,7 @@ def drivers_with_vehicles(
         return people
     on, vehicle_id = keys
     right = vehicles.withColumnRenamed(vehicle_id, on[-1])
-    return join_hot(people, prefix_clashes(right, people, on, "VEH_"), on, min_rows, hot=hot)
+    return join_hot(people, prefix_clashes(right, people, on, "VEH_"), on, min_rows, hot=hot, parts=parts)
 
 
 def drivers_with_crashes(
@@ -194,12 +233,13 @@ def drivers_with_crashes(
     min_rows: int = HOT_ROWS,
     keys_from: DataFrame | None = None,
     hot: tuple[DataFrame | None, DataFrame | None] | None = None,
+    parts: int | None = None,
 ) -> DataFrame:
     """Driver rows with their crash: driver grain, a crash counts once per driver."""
     if key not in pv.columns or key not in crashes.columns:
         return pv
     right = prefix_clashes(crashes, pv, [key], "CRASH_")
-    return join_hot(pv, right, [key], min_rows, keys_from=keys_from, hot=hot)
+    return join_hot(pv, right, [key], min_rows, keys_from=keys_from, hot=hot, parts=parts)
 
 
 def flag_members(

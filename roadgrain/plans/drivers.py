@@ -25,6 +25,7 @@ from roadgrain.operators.joins import (
     drivers_with_vehicles,
     flag_members,
     hot_lists,
+    parts_for,
     vehicle_join_keys,
 )
 from roadgrain.sources.keyed import SLOT, Keyed
@@ -74,7 +75,8 @@ def driver_crashes(crashes: DataFrame, fatalities: DataFrame | None = None) -> D
 def joined_drivers(tables: Tables, min_rows: int = HOT_ROWS) -> DataFrame:
     """One row per driver, matching vehicle and crash, with the columns of all three.
 
-    Hot keys are counted by one job while the plan is built, so that it salts only where there are any.
+    Rows and hot keys are counted while the plan is built, so that it salts only where there are any and
+    the joins get as many tasks as the rows need.
     """
     crashes = driver_crashes(tables.crashes, tables.fatalities)
     key = crash_key(crashes)
@@ -84,10 +86,11 @@ def joined_drivers(tables: Tables, min_rows: int = HOT_ROWS) -> DataFrame:
         sides += [(people, keys[0]), (vehicles.withColumnRenamed(keys[1], keys[0][-1]), keys[0])]
     if key in people.columns:
         sides += [(people, [key]), (upper_columns(tables.crashes), [key])]
-    hot = hot_lists(sides, min_rows) if sides else []
+    hot, rows = hot_lists(sides, min_rows) if sides else ([], [])
+    tasks = [parts_for(sum(rows[i : i + 2])) for i in range(0, len(rows), 2)]
     by_vehicle = (hot.pop(0), hot.pop(0)) if keys is not None else None
-    pv = drivers_with_vehicles(people, vehicles, key, min_rows, by_vehicle)
-    return _with_outcome(drivers_with_crashes(pv, crashes, key, min_rows, people, tuple(hot) or None))
+    pv = drivers_with_vehicles(people, vehicles, key, min_rows, by_vehicle, tasks.pop(0) if keys is not None else None)
+    return _with_outcome(drivers_with_crashes(pv, crashes, key, min_rows, people, tuple(hot) or None, tasks.pop(0) if tasks else None))
 
 
 def keyed_drivers(store: Keyed, fatalities: DataFrame | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import statistics
 from collections import Counter
 from datetime import date
@@ -418,3 +419,30 @@ def test_layers_keep_their_caps(spark):
     got = layers.period_heat(df, KEY, 200).groupBy("layer").count()
     assert rows(got) == [("DAY", 200), ("NIGHT", 100)]
     assert rows(layers.period_heat(df.drop("period"), KEY, 5).groupBy("layer").count()) == [("ALL", 5)]
+
+
+def test_hot_lists_give_keys_and_rows(spark):
+    many = spark.range(90).selectExpr("if(id < 60, 'hot', if(id < 70, null, cast(id as string))) as k", "id % 2 as v")
+    lists, n = joins.hot_lists([(many, ["k"]), (many, ["k", "v"]), (many.where("k <> 'hot'"), ["k"]), (many.limit(0), ["k"])], 20)
+    assert n == [90, 90, 20, 0] and lists[2] is None and lists[3] is None
+    assert [tuple(r) for r in lists[0].collect()] == [("hot", 3)]
+    assert sorted(tuple(r) for r in lists[1].collect()) == [("hot", 0, 2), ("hot", 1, 2)]
+
+
+def test_join_of_many_rows_has_its_own_number_of_tasks(spark, monkeypatch):
+    monkeypatch.setattr(joins, "TASK_ROWS", 10)
+    assert joins.parts_for(80) is None and joins.parts_for(171) == 18
+    left = spark.range(200).selectExpr("if(id % 4 = 0, null, cast(id as string)) as k", "id as x")
+    right = spark.range(200).selectExpr("cast(id as string) as k", "id as y")
+    want = rows(left.join(right, ["k"], "left"))
+    for hot in ((None, None), None):
+        assert rows(joins.join_hot(left, right, ["k"], 50, hot=hot, parts=18).select("k", "x", "y")) == want
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for parts, n in ((18, 18), (None, int(spark.conf.get("spark.sql.shuffle.partitions")))):
+            plan = joins.join_hot(left, right, ["k"], 50, hot=(None, None), parts=parts)._jdf.queryExecution().executedPlan().toString()
+            # By key and salt, so that rows without a key do not meet in one task.
+            assert len(re.findall(rf"hashpartitioning\(k#\d+, __salt_l#\d+, {n}\)", plan)) == 2
+            assert plan.count("Exchange") == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
