@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from roadgrain.functions.clean import present
 from roadgrain.functions.schema import crash_key, upper_columns
-from roadgrain.operators.joins import HOT_ROWS, NULL_PARTS, deal, hot_keys, join_hot, vehicle_join_keys, with_parts
+from roadgrain.operators.joins import HOT_ROWS, NULL_PARTS, deal, hot_lists, join_hot, parts_for, vehicle_join_keys, with_parts
 from roadgrain.sources.tables import Tables
 
 SLOT = "__SLOT"  # in upper case, as headers are put into it
@@ -33,7 +33,8 @@ class Keyed(NamedTuple):
 
 
 def write_keyed(tables: Tables, path: str, buckets: int | None = None, min_rows: int = HOT_ROWS) -> Keyed:
-    """Store people, vehicles and crashes under ``path`` in ``buckets`` (by default the shuffle partitions).
+    """Store people, vehicles and crashes under ``path`` in ``buckets`` (by default the shuffle partitions,
+    or more where there are many rows). Rows and hot keys are counted once, before the tables are written.
 
     People and vehicles must have the crash key and a vehicle id. Vehicles without one and crashes
     without people match no driver and are left out.
@@ -44,10 +45,11 @@ def write_keyed(tables: Tables, path: str, buckets: int | None = None, min_rows:
     if keys is None or key not in keys[0]:
         raise ValueError("people and vehicles need the crash key and a vehicle id")
     (_, person_id), vehicle_id = keys
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-
     named = people.withColumn("__id", _id(person_id))
-    hot = hot_keys(named, [key, "__id"], min_rows)
+    (hot, hot_right), rows = hot_lists([(named, [key, "__id"]), (crashes, [key])], min_rows)
+    n = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), parts_for(sum(rows)) or 0)
+    if hot is None:
+        hot = spark.createDataFrame([], named.select(key, "__id", F.lit(0).alias("__parts")).schema)
     dealt = with_parts(named, hot, [key, "__id"], "__parts")
     parts = F.when(F.col(key).isNull(), F.lit(NULL_PARTS)).otherwise(F.coalesce("__parts", F.lit(1)))
     dealt = dealt.withColumn(SLOT, _slot(deal(dealt, parts, people.columns))).drop("__id", "__parts")
@@ -60,7 +62,9 @@ def write_keyed(tables: Tables, path: str, buckets: int | None = None, min_rows:
     vehicles = _write(copied.drop("__id", "__parts", "__part", vehicle_id), f"{path}/vehicles", key, n)
 
     slots = present(people.select(key, SLOT), key).distinct()
-    crashes = _write(join_hot(slots, crashes, [key], min_rows, how="inner"), f"{path}/crashes", key, n)
+    (hot_left,), _ = hot_lists([(slots, [key])], min_rows)
+    met = join_hot(slots, crashes, [key], min_rows, how="inner", hot=(hot_left, hot_right), parts=parts_for(sum(rows)))
+    crashes = _write(met, f"{path}/crashes", key, n)
     spark.createDataFrame([(key, n)], "key string, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path}/layout")
     return Keyed(people, vehicles, crashes, key)
 

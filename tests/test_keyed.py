@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 from roadgrain.functions.schema import CRASH_KEY as KEY
+from roadgrain.operators import joins
 from roadgrain.plans import catalog, drivers
 from roadgrain.sources import keyed
 from tests.test_operators import driver_tables, rows
@@ -55,3 +56,23 @@ def test_tables_without_ids_are_refused(spark, tmp_path):
     tables = driver_tables(spark)
     with pytest.raises(ValueError, match="vehicle id"):
         keyed.write_keyed(tables._replace(vehicles=tables.vehicles.drop("VEHICLE_ID")), str(tmp_path))
+
+
+def test_more_rows_get_more_buckets(spark, tmp_path, monkeypatch):
+    tables = driver_tables(spark)
+    want = rows(drivers.keyed_drivers(keyed.write_keyed(tables, str(tmp_path / "few"))).select(*KEEP))
+    monkeypatch.setattr(joins, "TASK_ROWS", 1)
+    monkeypatch.setattr(joins, "FEW_PARTS", 0)
+    n = tables.people.count() + tables.crashes.count()
+    store = keyed.write_keyed(tables, str(tmp_path / "many"))
+    buckets = spark.read.parquet(str(tmp_path / "many" / "layout")).first()["buckets"]
+    assert buckets == max(n, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    assert rows(drivers.keyed_drivers(store).select(*KEEP)) == want
+
+
+def test_hot_keys_are_counted_once_before_the_tables_are_written(spark, tmp_path, monkeypatch):
+    found = []
+    monkeypatch.setattr(keyed, "hot_lists", lambda sides, least: found.append(len(sides)) or joins.hot_lists(sides, least))
+    monkeypatch.setattr(joins, "hot_keys", lambda *_: pytest.fail("counted by key"))
+    keyed.write_keyed(driver_tables(spark), str(tmp_path), 4)
+    assert found == [2, 1]
