@@ -13,7 +13,7 @@ import numpy as np
 
 BASE = 0x9DDFEA08EB382D69  # odd, so it has an inverse modulo 2**64
 #: Bytes over which one running sum goes; a task holds about a dozen numbers for each.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 @lru_cache(maxsize=1)

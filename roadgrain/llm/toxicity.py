@@ -33,7 +33,7 @@ STEMS = (4, 5, 6)
 #: The fold that the calibration learns from; fold 0 is held out, the others make the trees.
 CALIBRATION_FOLD = 1
 #: Word pairs that a task holds before it hands them on, and words whose evidence a worker keeps.
-PAIRS_HELD, WORDS_KEPT = 50_000, 500_000
+PAIRS_HELD, WORDS_KEPT = 50_000, 100_000
 #: Words around a lexicon word in which a second person counts as near, and of a dense stretch.
 NEAR, STRETCH = 5, 25
 

@@ -10,10 +10,11 @@ from collections import defaultdict
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from roadgrain.llm import exact, jaccard, shingles
+from roadgrain.llm import exact, jaccard, shared, shingles
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -221,3 +222,16 @@ def test_shingles_do_not_depend_on_the_slices(monkeypatch):
     shingles.powers.cache_clear()
     assert all(np.array_equal(a, b) for a, b in zip(whole, shingles.shingle_sets(texts, 3), strict=True))
     shingles.powers.cache_clear()
+
+
+def test_stored_steps_hand_few_rows_at_once_to_python(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    found = [r["n"] for r in shared.stored(spark.range(0, 5_000, 1, 1).mapInArrow(sizes, "n bigint"), "sizes").collect()]
+    assert sum(found) == 5_000 and max(found) <= shared.ARROW_ROWS
+    assert spark.conf.get(name) == before
